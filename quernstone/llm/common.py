@@ -8,10 +8,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: A word is a run of characters other than space, tab, newline, vertical tab, form feed and return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -67,6 +69,42 @@ def slices(texts: list[str | None], most_chars: int = 2_000_000) -> Iterator[tup
         yield start, len(texts)
 
 
-def by_text_bytes(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Only the named columns: a column that the input has besides can't clash with one of an operator's own."""
-    return df.select(*columns)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def append_columns(df: DataFrame, text_col: str, compute: Callable[[list[str | None]], list[pa.Array]], fields: list[tuple[str, DataType]], most_chars: int = 2_000_000) -> DataFrame:
+    """df with further columns that compute makes from the texts, in one pass over Arrow batches.
+
+    compute gets a run of whole texts with about most_chars characters and returns an array for each field.
+    """
+    out = StructType([*df.schema.fields, *[StructField(name, kind) for name, kind in fields]])
+    names, at = out.names, df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(texts := batch.column(at).to_pylist(), most_chars):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, *compute(texts[a:b])], names)
+
+    return df.mapInArrow(run, out)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, label) of about `most` labelled rows that aren't held out, or of all if there are fewer: a row is in by the
+    hash of its id. The sampled ids, at most a few MB by that bound, are broadcast, so that texts don't move. An id with
+    several labels has the greatest; texts that repeat count once."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label")).where(~held_out)
+    n = known.count()
+    share = min(1.0, most / max(n, 1))
+    ids = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(ids), "id")
+    return stored(rows, "sample").dropDuplicates(["text"])

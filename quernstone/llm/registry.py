@@ -1,9 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from quernstone.llm import fingerprints, sentencepiece_codec, token_counts, url_filters
+from quernstone.llm import fingerprints, sentencepiece_codec, token_counts, toxicity, url_filters
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (fingerprints, sentencepiece_codec, token_counts, url_filters):
+for _module in (fingerprints, sentencepiece_codec, token_counts, toxicity, url_filters):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
