@@ -108,3 +108,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
     ids = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(ids), "id")
     return stored(rows, "sample").dropDuplicates(["text"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of the edges (a, b): component is the least node that can be reached.
+
+    Large-star and small-star steps in turn: every node's larger neighbours, then its smaller ones, are tied to the least of
+    them all, until only stars are left. Minima are combined before they are shuffled, and each round's edges are written
+    to the shared folder."""
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = stored(moved.unionByName(least.withColumnRenamed("m", "b")).distinct(), "edges")
+        heads = edges.select(F.col("b").alias("a")).distinct()
+        if edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() and edges.join(heads, "a", "left_semi").isEmpty():
+            break
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,9 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from quernstone.llm import fingerprints, sentencepiece_codec, token_counts, toxicity, url_filters
+from quernstone.llm import decontamination, fingerprints, jaccard_join, sentencepiece_codec, token_counts, toxicity, url_filters
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (fingerprints, sentencepiece_codec, token_counts, toxicity, url_filters):
+for _module in (decontamination, toxicity, sentencepiece_codec, jaccard_join, fingerprints, url_filters, token_counts):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
