@@ -1,9 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from quernstone.llm import decontamination, fingerprints, jaccard_join, language_id, quality, sentencepiece_codec, token_counts, toxicity, url_filters
+from quernstone.llm import decontamination, fingerprints, jaccard_join, katz_lm, language_id, quality, sentencepiece_codec, token_counts, toxicity, url_filters
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (language_id, decontamination, toxicity, sentencepiece_codec, quality, jaccard_join, fingerprints, url_filters, token_counts):
+for _module in (language_id, decontamination, toxicity, sentencepiece_codec, quality, jaccard_join, katz_lm, fingerprints, url_filters, token_counts):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
