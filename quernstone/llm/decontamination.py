@@ -34,7 +34,11 @@ TERMS, RANK, POWER_STEPS = 1 << 16, 256, 3
 BLOCK, PASSAGE, PASSAGES_AT_ONCE = 16, 64, 20_000
 #: A term in more than this share of the documents doesn't count, unless an item has no other.
 COMMON = 0.1
-COSINE, SAME, PARAPHRASE, ANSWER = 0.4, 0.7, 0.5, 0.75
+#: A candidate's cosine, and how much of the passage's length it reaches at least (less for passages longer than a window, which it
+#: holds in part): a window with a word or two of a passage isn't one.
+COSINE, LEAST = 0.4, 0.4
+#: Shares of the passage in common: it's the same beyond one, a paraphrase beyond the other if so much of the answer is there.
+SAME, PARAPHRASE, ANSWER = 0.7, 0.5, 0.75
 _SPACES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -178,10 +182,13 @@ class LatentIndex:
             rows = self.passages.where(F.pmod(F.xxhash64("item_id", "at"), F.lit(parts)) == k).orderBy("item_id", "at").collect()
             vectors, words = np.zeros((len(rows), self.basis.shape[1]), np.float32), [r["words"] for r in rows]
             for i, w in enumerate(words):
-                at, x = _weighed(np.array(w, np.int64).view(np.uint64), self.weights, self.row_of)
+                at, x = _weighed(np.array(w, np.int64).view(np.uint64), self.weights, self.row_of, whole=True)
                 vectors[i] = x @ self.basis[at]
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-            yield {"items": [r["item_id"] for r in rows], "words": words, "answers": [set(r["answer"]) for r in rows], "vectors": vectors, "basis": self.basis, "weights": self.weights, "row_of": self.row_of}
+            length = np.linalg.norm(vectors, axis=1)
+            vectors /= np.maximum(length[:, None], 1e-12)
+            needed = LEAST * length * np.minimum(1, np.array([1.5 * BLOCK / max(len(w), 1) for w in words]))
+            needed[length < 1e-9] = np.inf
+            yield {"items": [r["item_id"] for r in rows], "words": words, "answers": [set(r["answer"]) for r in rows], "vectors": vectors, "needed": needed.astype(np.float32), "basis": self.basis, "weights": self.weights, "row_of": self.row_of}
 
     def matches(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, item_id, at, cosine, common, share): each document's items, with the first word of the best window, its
@@ -219,12 +226,12 @@ class LatentIndex:
         return docs
 
 
-def _weighed(hashes: np.ndarray, weights: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the basis and TF-IDF weights, of length 1, of a passage's terms."""
+def _weighed(hashes: np.ndarray, weights: np.ndarray, row_of: np.ndarray, *, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the basis and TF-IDF weights of a passage's terms, of length 1 unless whole."""
     t, n = np.unique(terms_of(hashes), return_counts=True)
     keep = weights[t] > 0
     w = weights[t[keep]] * n[keep]
-    return row_of[t[keep]], w / max(float(np.linalg.norm(w)), 1e-12)
+    return row_of[t[keep]], w if whole else w / max(float(np.linalg.norm(w)), 1e-12)
 
 
 def search(texts: list[str | None], index: dict) -> list[tuple[int, int, int, float, int, float]]:
@@ -244,21 +251,24 @@ def search(texts: list[str | None], index: dict) -> list[tuple[int, int, int, fl
     named, at = np.unique(block, return_index=True)
     weight = index["weights"][terms_of(flat[hit])]
     sums = np.add.reduceat(index["basis"][row[hit]] * weight[:, None], at, axis=0)
-    # a window is a block and the next one of the same text, if that has terms, and then again each alone
+    # a window is a block, and the next one if that is of the same text and has terms as well
+    windows = sums
     follows = np.flatnonzero((np.diff(named) == 1) & (np.searchsorted(first, named[1:], "right") == np.searchsorted(first, named[:-1], "right")))
-    windows = np.concatenate([sums, sums[follows] + sums[follows + 1]])
-    places = np.concatenate([named, named[follows]])
-    width = np.concatenate([np.full(len(named), BLOCK), np.full(len(follows), 2 * BLOCK)])
-    cosine = (windows @ index["vectors"].T) / np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-12)
+    windows[follows] += sums[follows + 1]
+    norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
+    some = np.flatnonzero(norm >= index["needed"].min() * COSINE)
+    along = windows[some] @ index["vectors"].T
     best: dict[tuple[int, int], tuple[float, int, float, int]] = {}
-    w, k = np.nonzero(cosine >= COSINE)
-    for i in np.lexsort((-cosine[w, k], places[w])):
-        d = int(np.searchsorted(first, places[w[i]], "right")) - 1
+    w, k = np.nonzero((along >= index["needed"]) & (along >= COSINE * norm[some, None]))
+    cosine = along[w, k] / norm[some[w]]
+    places = named[some[w]]
+    for i in np.lexsort((-cosine, places)):
+        d = int(np.searchsorted(first, places[i], "right")) - 1
         pair, words = (d, int(k[i])), index["words"][k[i]]
         if pair in best and best[pair][0] == 1.0:
             continue
-        begin = int(places[w[i]] - first[d]) * BLOCK
-        around = hashes[d][max(0, begin - len(words)) : begin + int(width[w[i]]) + len(words)].view(np.int64).tolist()
+        begin = int(places[i] - first[d]) * BLOCK
+        around = hashes[d][max(0, begin - len(words)) : begin + 2 * BLOCK + len(words)].view(np.int64).tolist()
         common = common_subsequence(words, around)
         share = common / len(words)
         if share < SAME:
@@ -269,7 +279,7 @@ def search(texts: list[str | None], index: dict) -> list[tuple[int, int, int, fl
             if len(telling & set(around)) < ANSWER * len(telling):
                 continue
         if pair not in best or share > best[pair][0]:
-            best[pair] = (share, common, float(cosine[w[i], k[i]]), begin)
+            best[pair] = (share, common, float(cosine[i]), begin)
     return [(d, k, begin, cos, common, share) for (d, k), (share, common, cos, begin) in best.items()]
 
 
