@@ -5,11 +5,13 @@ Ties always end with an id, so every result is the same on any number of partiti
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import strip
+from quernstone.operators.tables import checkpointed
 
 
 
@@ -22,6 +24,17 @@ def number(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+def number_all(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """df with a number from 1 over all rows in a total order: rows are dealt out by ranges of the order and numbered within
+    each, and what comes before a range is added from one count for each of them."""
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = dict(zip([p for p, _ in counts], accumulate([n for _, n in counts], initial=0), strict=False))
+    offsets = F.create_map(*[F.lit(x) for p, n in before.items() for x in (p, n)]) if before else F.create_map().cast("map<bigint,int>")
+    return placed.withColumn(name, (F.col("_id") - F.shiftleft(part, 33) + F.element_at(offsets, part) + 1).cast("long")).drop("_id")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], most: int = 1) -> DataFrame:
     """The first rows of each key. The number is a literal, so every task keeps that many before the shuffle."""
     return number(df, keys, order, "_n").where(F.col("_n") <= most).drop("_n")
