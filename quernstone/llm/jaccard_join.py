@@ -111,14 +111,14 @@ def _repeated(tokens: DataFrame) -> DataFrame:
 
 
 def _candidates_with_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, n, prefix) of the classes that keep enough shared tokens; prefix: the first tokens, rarest first, that others have too."""
+    """(key, n, rest, prefix) of the classes that keep enough shared tokens; rest: how many those are; prefix: the first of them, rarest first."""
     tokens = sets.select("key", F.explode("tokens").alias("token"))
     shared = tokens.join(_repeated(tokens), "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     n = F.col("n")
     alive = sets.select("key", "n").join(shared, "key").where(F.size("shared") >= needed(n, percent))
     # the tokens of one class alone come first in the order and take up the head of the prefix
     left = n - needed(n, percent) + 1 - (n - F.size("shared"))
-    return alive.select("key", "n", F.transform(F.slice("shared", F.lit(1), left), lambda s: s["token"]).alias("prefix"))
+    return alive.select("key", "n", F.size("shared").alias("rest"), F.transform(F.slice("shared", F.lit(1), left), lambda s: s["token"]).alias("prefix"))
 
 
 def _met(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -149,8 +149,10 @@ def _met(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(compare, "a long, b long, shared int")
 
 
-def _near_size(x: Column, y: Column, percent: int) -> Column:
-    return (100 * x >= percent * y) & (100 * y >= percent * x)
+def _possible(n_a: Column, n_b: Column, rest_a: Column, rest_b: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be alike if they share no token before the places at which so many are left of them."""
+    most = F.least(rest_a, rest_b)
+    return (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a) & (100 * most >= percent * (n_a + n_b - most))
 
 
 def _bounded(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
@@ -189,30 +191,44 @@ class JaccardJoin:
         return full.alias("s").join(few.alias("a"), F.expr("s.digest = a.digest AND s.id <=> a.id")).select("a.key", "a.n", "s.tokens").dropDuplicates(["key"])
 
     def _index(self) -> DataFrame:
-        return self.prefixes.select("key", "n", F.explode("prefix").alias("token"))
+        """(token, key, n, rest) of every prefix token; rest: the tokens from this place on that others share."""
+        placed = self.prefixes.select("key", "n", "rest", F.posexplode("prefix").alias("at", "token"))
+        return placed.select("token", "key", "n", (F.col("rest") - F.col("at")).alias("rest"))
 
     def all_links(self) -> DataFrame:
         """(a, b, shared) for every two linked classes, a < b."""
-        left, right = (self._index().select("token", F.col("key").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
-        pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & _near_size(F.col("n_a"), F.col("n_b"), self.percent)).select("a", "b").distinct()
+        left, right = (self._index().select("token", F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("rest").alias(f"rest_{k}")) for k in "ab")
+        possible = _possible(F.col("n_a"), F.col("n_b"), F.col("rest_a"), F.col("rest_b"), self.percent)
+        pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & possible).select("a", "b").distinct()
         return _met(pairs, self.sets, self.percent)
 
     def _pivot_pairs(self) -> DataFrame:
         index = self._index()
-        pivots = index.groupBy("token").agg(F.min(F.struct("key", "n")).alias("p")).select("token", F.col("p.key").alias("pivot"), F.col("p.n").alias("m"))
-        chosen = index.join(pivots, "token").where((F.col("pivot") != F.col("key")) & _near_size(F.col("n"), F.col("m"), self.percent)).groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("times"))
+        pivots = index.groupBy("token").agg(F.min(F.struct("key", "n", "rest")).alias("p")).select("token", F.col("p.key").alias("pivot"), F.col("p.n").alias("m"), F.col("p.rest").alias("left"))
+        possible = _possible(F.col("n"), F.col("m"), F.col("rest"), F.col("left"), self.percent)
+        chosen = index.join(pivots, "token").where((F.col("pivot") != F.col("key")) & possible).groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("times"))
         return chosen.groupBy("key").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("pivot")).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
 
     def _cross_pairs(self, found: DataFrame) -> DataFrame:
-        """Pairs that share a prefix token and that the components found so far keep apart."""
-        index = stored(self._index().join(found.withColumnRenamed("node", "key"), "key", "left").select("token", F.coalesce("component", "key").alias("group"), "key", "n"), "index")
-        groups = index.select("token", "group").distinct()
+        """Pairs that share a prefix token and that the components found so far keep apart. Whole groups are compared
+        by their bounds first, and their members only where those allow a link."""
+        index = stored(self._index().join(found.withColumnRenamed("node", "key"), "key", "left").select("token", F.coalesce("component", "key").alias("group"), "key", "n", "rest"), "index")
+        groups = index.groupBy("token", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
         groups = groups.join(groups.groupBy("token").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("token"), "token", "left_semi")
-        two = groups.withColumnRenamed("group", "ga").join(groups.withColumnRenamed("group", "gb"), "token").where("ga < gb")
-        left, right = (index.select("token", F.col("group").alias(f"g{k}"), F.col("key").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
-        pairs = two.join(left, ["token", "ga"]).join(right, ["token", "gb"]).where(_near_size(F.col("n_a"), F.col("n_b"), self.percent))
+        ga, gb = (groups.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("group", "low", "high", "rest")]) for k in "ab")
+        c = {x: F.col(x) for x in ("low_a", "high_a", "rest_a", "low_b", "high_b", "rest_b", "n", "rest", "n_a", "rest_of_a")}
+        two = ga.join(gb, "token").where((F.col("group_a") < F.col("group_b")) & self._bounds(c["low_a"], c["high_a"], c["rest_a"], c["low_b"], c["high_b"], c["rest_b"]))
+        member = lambda k: index.select("token", F.col("group").alias(f"group_{k}"), F.col("key").alias(k), "n", "rest")
+        half = two.join(member("a"), ["token", "group_a"]).where(self._bounds(c["n"], c["n"], c["rest"], c["low_b"], c["high_b"], c["rest_b"]))
+        half = half.select("token", "group_b", "a", F.col("n").alias("n_a"), F.col("rest").alias("rest_of_a"))
+        pairs = half.join(member("b"), ["token", "group_b"]).where(_possible(c["n_a"], c["n"], c["rest_of_a"], c["rest"], self.percent))
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+    def _bounds(self, low_a: Column, high_a: Column, rest_a: Column, low_b: Column, high_b: Column, rest_b: Column) -> Column:
+        """_possible for some sizes within these ranges."""
+        most = F.least(rest_a, rest_b)
+        return (100 * high_a >= self.percent * low_b) & (100 * high_b >= self.percent * low_a) & (100 * most >= self.percent * (low_a + low_b - most))
+
     def components(self) -> DataFrame:
         """(id, n_shingles, component_id) for every row."""
         links = stored(_met(self._pivot_pairs(), self.sets, self.percent).select("a", "b"), "links")
