@@ -40,7 +40,7 @@ def load_entities(spark: SparkSession, path: str) -> DataFrame:
 
 def load_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, path, text, ord) of the text files of a folder: cleaned bodies, ordered by path, named by their stem."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     path = F.url_decode(F.regexp_replace(F.regexp_replace("path", r"\+", "%2B"), "^file:/+", "/"))
     docs = files.select(path.alias("path"), T.clean_corpus_text("raw").alias("text")).orderBy("path")
     return with_order(docs).select(F.regexp_extract("path", r"([^/]*)\.txt$", 1).alias("doc_id"), "path", "text", "ord")
