@@ -103,6 +103,9 @@ class LatentIndex:
         self.size = self.passages.count()
         if self.size:
             self._weigh(docs.select(text_col))
+            # without documents no term has a weight, and nothing can be found
+            self.size = self.size if len(self.terms) else 0
+        if self.size:
             self._decompose(min(rank, self.size))
 
     def _weigh(self, docs: DataFrame) -> None:
