@@ -163,7 +163,7 @@ def subpage_links(pages: DataFrame, hosts: list[str], key: str = "page_id") -> D
     def absolute(base: pd.Series, href: pd.Series) -> pd.Series:
         return pd.Series([urljoin(b or "", h) for b, h in zip(base, href, strict=True)])
 
-    join = F.pandas_udf(lambda base, href: absolute(base, href), "string", F.PandasUDFType.SCALAR)
+    join = F.pandas_udf(absolute, "string")
     links = links.withColumn("link", T.normalize_url(join("url", "href"))).withColumn("low", F.lower(F.concat_ws(" ", "text", "href")))
     host = lambda c: F.regexp_extract(F.lower(F.col(c)), "^[a-z]+://([^/?#]*)", 1)
     links = links.where((host("link") == host("url")) & (F.col("link") != T.normalize_url("url")) & T.allowed_url("link", hosts))

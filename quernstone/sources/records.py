@@ -88,7 +88,7 @@ def decoded(content: Column | str, content_type: Column | str) -> Column:
     """decode_bytes as a column, with the character set of a content type."""
     declared = F.nullif(F.regexp_extract(T.col(content_type), r"(?i)charset=([\w-]+)", 1), F.lit(""))
 
-    def run(contents, names):
+    def run(contents: pd.Series, names: pd.Series) -> pd.Series:
         return pd.Series([decode_bytes(c, n) for c, n in zip(contents, names, strict=True)], dtype="object")
 
-    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(content, declared)
+    return F.pandas_udf(run, "string")(content, declared)
