@@ -17,7 +17,6 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -125,15 +124,15 @@ def mine_lexicon(sample: DataFrame) -> dict[str, float]:
     """Words and stems with their log-odds, from (text, label): those that toxic documents have far more often than others."""
 
     def counts(label: int, wanted=None):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: Counter[str] = Counter()
-            for frame in frames:
-                for text in frame["text"]:
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
                     have = {f for w in {bare(t) for t in text.split()} if len(w) > 1 for f in features_of_word(w)}
                     found.update(have if wanted is None else have & wanted.value)
-            yield pd.DataFrame({"feature": list(found), "n": list(found.values())})
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["feature", "n"])
 
-        rows = sample.where(F.col("label") == label).select("text").mapInPandas(run, "feature string, n long")
+        rows = sample.where(F.col("label") == label).select("text").mapInArrow(run, "feature string, n long")
         return rows.groupBy("feature").agg(F.sum("n").alias("n"))
 
     size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
