@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quernstone.functions.fuzzy import likeness
 from quernstone.functions.query import text_matches
 from quernstone.functions.text import col
+from quernstone.operators.rank import sort_results
+from quernstone.operators.search import Search
 
 
 def text_filter(value: Column | str, needle: str, *, fuzzy: bool = False, threshold: int = 70) -> Column:
@@ -50,3 +52,16 @@ def query_text(free: Column | str, research: Column | str, paper: Column | str,
 def clamp(k: int, threshold: int) -> tuple[int, int]:
     """The number of results between 3 and 20, the threshold between 0 and 100."""
     return min(20, max(3, k)), min(100, max(0, threshold))
+
+
+def form_search(search: Search, *, free: str = "", research: str = "", paper: str = "", name: str = "", k: int = 8, threshold: int = 70, fuzzy: bool = True, order: str = "score") -> DataFrame:
+    """What a search form shows: the query that its fields amount to, its results filtered by the other fields, and sorted."""
+    k, threshold = clamp(k, threshold)
+    spark = search.docs.sparkSession
+    asked = spark.range(1).select(F.lit(1).alias("query_id"), query_text(F.lit(free), F.lit(research), F.lit(paper), F.lit(name)).alias("raw"))
+    found = search.run(asked, top_k=k, fuzzy=fuzzy, threshold=threshold)
+    texts = search.entities.select("name", "department", F.concat_ws(" ", col("research_direction"), col("personal_intro")).alias("own"), col("papers_text").alias("listed"))
+    bodies = search.docs.select("doc_id", col("text").alias("body"))
+    full = found.join(texts, ["name", "department"], "left").join(bodies, "doc_id", "left").withColumn("research", F.concat_ws(" ", "own", "body")).withColumn("papers", F.concat_ws(" ", "listed", "body"))
+    kept = filter_results(full, name=name, research=research, paper=paper, fuzzy=fuzzy, threshold=threshold)
+    return sort_results(kept, order).select(*found.columns)

@@ -100,6 +100,12 @@ def test_filters(search, spark):
     assert evaluate.summarize(evaluate.evaluate_modes(search, spark.createDataFrame([(1, "王一", "王一", "")], "query_id int, query string, expected string, note string"))).count() == 2
 
 
+def test_form(search):
+    assert [r.name for r in filters.form_search(search, free="wireless", research="无线").collect()] == ["赵五"]
+    assert filters.form_search(search, free="wireless", name="王").count() == 0
+    assert [r.name for r in filters.form_search(search, name="王 一", order="department").collect()] == ["王一", "王一"]
+
+
 def test_merge_picks_all_names(spark):
     with pytest.raises(ValueError):
         merge.pick_by_name(spark.createDataFrame([("a",)], "n string"), ["a", "z"], "n")
