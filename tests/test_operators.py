@@ -45,6 +45,18 @@ def test_artifacts(spark, tmp_path):
     assert "| ord |" in (tmp_path / "log.md").read_text()
 
 
+def test_captured_lists(spark, tmp_path):
+    (tmp_path / "list.jsonl").write_text("\n".join(json.dumps({"page": p, "data": [{"name": f"n{p}{i}", "cn_url": f"u{i}", "college_id": p, "site_id": i} for i in range(2)]}) for p in (2, 1)))
+    roster = R.load_roster(spark, str(tmp_path / "list.jsonl"))
+    assert [r.name for r in roster.orderBy("ord").collect()] == ["n10", "n11", "n20", "n21"]
+    (tmp_path / "meta.json").write_text(json.dumps({"colleges": [{"collegeId": 1, "collegeName": "c", "count": 3}]}))
+    assert [(r.collegeId, r.collegeName) for r in R.load_colleges(spark, str(tmp_path / "meta.json")).collect()] == [(1, "c")]
+    pages = spark.createDataFrame([("http://a.b/x/y z.htm", "<p>")], "url string, html string")
+    assert sinks.raw_pages(pages).first()["file"] == "x_y_z_htm.html"
+    sinks.save_state(roster, str(tmp_path / "state"))
+    assert spark.read.json(str(tmp_path / "state")).where("saved_at IS NOT NULL").count() == 4
+
+
 def test_numbers_over_all_rows(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(7)
     assert sorted((r.x, r.n) for r in rank.number_all(df, ["x"], "n").collect()) == [(i, i + 1) for i in range(1000)]
