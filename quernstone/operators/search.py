@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.fuzzy import likeness
 from quernstone.functions.query import planned
-from quernstone.functions.text import col, normalize_text, occurrences, snippet, tokens
+from quernstone.functions.text import col, normalize_text, snippet, tokens
 from quernstone.operators.index import Index, build_index, token_scores
+from quernstone.operators.phrases import phrase_counts
 from quernstone.operators.rank import dedupe_and_rank
 from quernstone.operators.tables import checkpointed
 
@@ -70,8 +71,8 @@ class Search:
         """Documents and entities that contain a phrase, white space apart; documents score by how often."""
         phrases = plans.select("query_id", F.explode("phrases").alias("phrase")).withColumn("needle", normalize_text("phrase")).where("needle <> ''")
         phrases = small(phrases.withColumn("terms", tokens("phrase")).withColumn("terms", F.when(F.size("terms") > 0, F.col("terms")).otherwise(F.array("phrase"))))
-        docs = self.docs.withColumn("hay", normalize_text("text")).join(phrases, F.expr("contains(hay, needle)"))
-        docs = docs.select("query_id", "doc_id", (1 + F.log1p(occurrences(F.col("hay"), F.col("needle")))).alias("score"), snippet("text", F.col("terms")).alias("snippet"))
+        found = phrase_counts(self.docs.select("doc_id", normalize_text("text").alias("hay")), phrases).join(phrases, "needle")
+        docs = found.join(self.docs.select("doc_id", "text"), "doc_id").select("query_id", "doc_id", (1 + F.log1p("n")).alias("score"), snippet("text", F.col("terms")).alias("snippet"))
         docs = docs.join(self.of_doc, "doc_id").join(self.entities.select(F.col("ord").alias("entity"), "name", "department", "url"), "entity").select("query_id", "score", "name", "department", "url", "doc_id", "snippet")
         hay = normalize_text(F.concat_ws(" ", *map(col, ("name", "research_direction", "personal_intro", "papers_text"))))
         hits = self.entities.withColumn("hay", hay).join(phrases, F.expr("contains(hay, needle)")).withColumn("score", F.lit(1.0))

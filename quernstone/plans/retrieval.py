@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import query as Q
 from quernstone.functions import text as T
-from quernstone.operators import evaluate, filters, index, rank
+from quernstone.operators import evaluate, filters, index, phrases, rank
 from quernstone.operators.search import Search, doc_entities, entity_docs, small
 from quernstone.plans import fixtures as X
 
@@ -98,8 +98,8 @@ def phrase_count_topk(spark, sf_dir):
     phrase = F.array_join(F.slice(F.split("text", " "), 1, 4), " ")
     wanted = small(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.normalize_text(phrase).alias("needle")).where("needle <> ''"))
     docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize_text("text").alias("hay"))
-    hits = docs.join(wanted, F.expr("contains(hay, needle)"))
-    return _ranked(hits.select("query_id", "doc_id", (1 + F.log1p(T.occurrences(F.col("hay"), F.col("needle")))).alias("score")), 5).select("query_id", "doc_id", "score", "rank")
+    hits = phrases.phrase_counts(docs, wanted).join(wanted, "needle")
+    return _ranked(hits.select("query_id", "doc_id", (1 + F.log1p("n")).alias("score")), 5).select("query_id", "doc_id", "score", "rank")
 
 
 @query("""WITH q AS (SELECT c_custkey AS query_id, replace(c_name, 'Customer', 'Supplier') AS raw FROM customer WHERE c_custkey % 5 = 0)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators import display, evaluate, extract, filters, index, merge, rank
+from quernstone.operators import display, evaluate, extract, filters, index, merge, phrases, rank
 from quernstone.operators.search import Search, search_one
 from quernstone.plans import fixtures as X
 from quernstone.sources import records as R
@@ -112,6 +112,13 @@ def test_filters(search, spark):
     assert evaluate.summarize(evaluate.evaluate_modes(search, spark.createDataFrame([(1, "王一", "王一", "")], "query_id int, query string, expected string, note string"))).count() == 2
 
 
+def test_few_and_many_phrases(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id", "lower(text) AS hay").unionByName(spark.createDataFrame([(-1, None), (-2, "aaaa"), (-3, "")], "doc_id long, hay string"))
+    wanted = spark.createDataFrame([("the",), ("er",), ("aa",), ("",), ("a",), ("no such thing",)], "needle string")
+    few, many, parts = (sorted(map(tuple, phrases.phrase_counts(docs, wanted, few=f, batch=b).collect())) for f, b in ((64, 100), (0, 100), (0, 2)))
+    assert few == many == parts and (-2, "aa", 2) in few
+
+
 def test_form(search):
     assert [r.name for r in filters.form_search(search, free="wireless", research="无线").collect()] == ["赵五"]
     assert filters.form_search(search, free="wireless", name="王").count() == 0
