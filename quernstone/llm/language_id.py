@@ -28,8 +28,9 @@ from quernstone.llm.common import append_columns, fresh, remainder, slices, stor
 BITS = 12
 #: Sampled texts and centroids of each language, rounds of clustering.
 TEXTS, CENTROIDS, ROUNDS = 1_500, 4, 6
-#: A text is rejected beyond its language's distance at this quantile of the sample, and somewhat more.
-REJECTED, MARGIN = 0.999, 1.15
+#: A text is rejected beyond its language's distance at this quantile of the sample, and somewhat more; one of less than
+#: 2^SHORT_BANDS characters is too short to tell, and is rejected only if nothing of it is known.
+REJECTED, MARGIN, SHORT_BANDS = 0.999, 1.15, 8
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _LETTERS = np.array([b if b > 127 or chr(b).isalpha() else 0 for b in range(256)], np.uint32)
@@ -42,7 +43,7 @@ def gram_counts(texts: list[str | None]) -> np.ndarray:
     owner = np.repeat(np.arange(len(raw) + 1), [2, *[len(x) + 2 for x in raw]])
     c = _LETTERS[flat]
     a, b, d = c[:-2], c[1:-1], c[2:]
-    real = np.flatnonzero((b > 0) & ((a > 0) | (d > 0)))
+    real = np.flatnonzero(b > 0)
     gram = ((a[real] << 16 | b[real] << 8 | d[real]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
     at = (owner[real + 1] - 1) << BITS | gram.astype(np.int64)
     return np.bincount(at, minlength=len(raw) << BITS).reshape(len(raw), 1 << BITS)
@@ -93,8 +94,8 @@ def _gram_weights(training: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
-            for a, b in slices(texts := batch.column(0).to_pylist(), 500_000):
-                total += (gram_counts(texts[a:b]) > 0).sum(axis=0)
+            for _, _, texts in slices(batch.column(0), 500_000):
+                total += (gram_counts(texts) > 0).sum(axis=0)
             n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, 1 << BITS)), pa.array(np.r_[n, total])], ["gram", "n"])
 
@@ -125,9 +126,9 @@ def fit_languages(docs: DataFrame, *, lang_col: str = "lang", id_col: str = "doc
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(rows := batch.column(2).to_pylist(), 500_000):
-                x = vectors(rows[a:b], shared.value).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(_length_band(rows[a:b]), pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], ["k", "h", "band", "x"])
+            for a, b, rows in slices(batch.column(2), 500_000):
+                x = vectors(rows, shared.value).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(_length_band(rows), pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], ["k", "h", "band", "x"])
 
     points = stored(sample.select("k", "h", "text").mapInArrow(describe, "k int, h long, band int, x binary"), "points").coalesce(8)
     start = points.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("h", "x"))).where(F.col("r") <= centroids).orderBy("k", "h").collect()
@@ -167,8 +168,7 @@ def _moved(points: DataFrame, middle: np.ndarray, owner: np.ndarray) -> np.ndarr
 
 
 def _least_cosines(points: DataFrame, middle: np.ndarray, owner: np.ndarray, languages: int) -> np.ndarray:
-    """The cosine below which a text is rejected, by language and band of lengths. A band that the sample hardly has takes
-    the bound of the next shorter one."""
+    """The cosine below which a text is rejected, by language and band of lengths (powers of two)."""
     shared = points.sparkSession.sparkContext.broadcast((middle, owner))
 
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,12 +180,13 @@ def _least_cosines(points: DataFrame, middle: np.ndarray, owner: np.ndarray, lan
     far = points.mapInArrow(cosines, "k int, band int, cosine double").groupBy("k", "band").agg(F.percentile_approx("cosine", 1 - REJECTED, 10_000).alias("least"), F.count(F.lit(1)).alias("n"))
     least = np.full((languages, 13), np.nan)
     for r in far.where("n >= 20").collect():
-        least[r["k"], r["band"]] = 1 - MARGIN * (1 - r["least"])
-    for row in least:
-        bound = 0.0
-        for band in range(13):
-            row[band] = bound = max(0.0, row[band]) if not np.isnan(row[band]) else bound
-    return least
+        least[r["k"], r["band"]] = max(0.0, 1 - MARGIN * (1 - r["least"]))
+    least[:, :SHORT_BANDS] = 0
+    for band in range(SHORT_BANDS, 13):  # a band that the sample hardly has takes the next shorter one's bound
+        least[:, band] = np.where(np.isnan(least[:, band]), least[:, band - 1], least[:, band])
+    # cosines rise with length, so no band has a higher bound than a longer one
+    longer = np.minimum.accumulate(least[:, ::-1], axis=1)[:, ::-1]
+    return np.ascontiguousarray(np.hstack([least[:, :SHORT_BANDS], longer[:, SHORT_BANDS:]]))
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
