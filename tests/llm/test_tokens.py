@@ -102,8 +102,9 @@ def katz(training, texts, vocabulary):
 TRAINING = ["a b a b c", "a b d A", "c a b", "e f a b c c", "a a b", None, "", "a b c d e f g h", "a b " * 12, "h g f x y z", "a c"]
 
 
-@pytest.mark.parametrize("vocabulary", [1, 3, 100])
-def test_katz_like_the_recursion(spark, vocabulary):
+@pytest.mark.parametrize(("vocabulary", "front"), [(1, 2048), (3, 2), (100, 0), (100, 3), (100, 2048)])
+def test_katz_like_the_recursion(spark, monkeypatch, vocabulary, front):
+    monkeypatch.setattr(K, "FRONT", front)
     texts = [*TRAINING, "q", "q q a b zz", "b a", "g h i j", "a b c"]
     model = K.KatzModel(frame(spark, TRAINING), vocabulary=vocabulary)
     words, p, want = katz(TRAINING, texts, vocabulary)
