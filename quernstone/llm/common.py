@@ -10,7 +10,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -57,16 +59,18 @@ def remainder(key: Column, divisor: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(divisor)).cast("int")
 
 
-def slices(texts: list[str | None], most_chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts with about most_chars characters each, so that a task's arrays stay small."""
-    start = total = 0
-    for i, text in enumerate(texts):
-        total += len(text or "")
-        if total >= most_chars:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def slices(column: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(first row, end, texts) of runs of an Arrow batch's texts with about most_bytes each: of a batch of long texts only
+    one run at a time is turned into Python strings and arrays."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "left")) + 1)
+        end = min(end, len(ends))
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end
+    pa.default_memory_pool().release_unused()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -81,19 +85,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def append_columns(df: DataFrame, text_col: str, compute: Callable[[list[str | None]], list[pa.Array]], fields: list[tuple[str, DataType]], most_chars: int = 2_000_000) -> DataFrame:
+def append_columns(df: DataFrame, text_col: str, compute: Callable[[list[str | None]], list[pa.Array]], fields: list[tuple[str, DataType]], most_bytes: int = 2_000_000) -> DataFrame:
     """df with further columns that compute makes from the texts, in one pass over Arrow batches.
 
-    compute gets a run of whole texts with about most_chars characters and returns an array for each field.
+    compute gets a run of whole texts with about most_bytes bytes and returns an array for each field.
     """
     out = StructType([*df.schema.fields, *[StructField(name, kind) for name, kind in fields]])
     names, at = out.names, df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(texts := batch.column(at).to_pylist(), most_chars):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, *compute(texts[a:b])], names)
+            for a, b, texts in slices(batch.column(at), most_bytes):
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *compute(texts)], names)
 
     return df.mapInArrow(run, out)
 

@@ -119,9 +119,10 @@ class LatentIndex:
             found, n = np.zeros(TERMS, np.int64), 0
             for batch in batches:
                 n += batch.num_rows
-                for text in batch.column(0).to_pylist():
-                    t = terms_of(word_hashes(text))
-                    found[np.unique(t[shared.value[t]])] += 1
+                for _, _, texts in slices(batch.column(0)):
+                    for text in texts:
+                        t = terms_of(word_hashes(text))
+                        found[np.unique(t[shared.value[t]])] += 1
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, found[at]])], ["t", "n"])
 
@@ -205,8 +206,8 @@ class LatentIndex:
             def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     ids = batch.column(0).to_pylist()
-                    for a, b in slices(texts := batch.column(1).to_pylist(), 1_000_000):
-                        found = search(texts[a:b], shared.value)
+                    for a, _, texts in slices(batch.column(1), 1_000_000):
+                        found = search(texts, shared.value)
                         rows = [(ids[a + d], shared.value["items"][k], *rest) for d, k, *rest in found]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int32(), pa.float32(), pa.int32(), pa.float64()), strict=True)], ["id", "item_id", "at", "cosine", "common", "share"])
 

@@ -78,9 +78,9 @@ def sketches(docs: DataFrame, words: int, percent: int, share: float) -> DataFra
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(texts := batch.column(1).to_pylist()):
+            for a, b, texts in slices(batch.column(1)):
                 n, digest, known, sure = [], [], [], []
-                for text in texts[a:b]:
+                for text in texts:
                     x = shingle_set(text, words)
                     low = int(np.searchsorted(x, below, "right"))
                     n.append(len(x))
@@ -97,8 +97,8 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(texts := batch.column(1).to_pylist()):
-                found = [shingle_set(t, words) for t in texts[a:b]]
+            for a, b, texts in slices(batch.column(1)):
+                found = [shingle_set(t, words) for t in texts]
                 digest = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), digest, _lists(found)], ["id", "digest", "tokens"])
 
