@@ -81,7 +81,8 @@ class PieceCodec:
         for part in (np.array(left), np.array(right)):
             early = due[part] >= due[np.array(whole)]
             self.single_step[part[early & (due[part] >= 0)]] = True
-        self.kept: dict[str, tuple[int, str, bytes]] = {}
+        self.kept: dict[str, str] = {}
+        self.odd: dict[str, bytes] = {}
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of each pair; _NONE where there is no such piece."""
@@ -158,15 +159,20 @@ class PieceCodec:
                 out[w].append(self.unknown)
         return out
 
-    def learn(self, words: Sequence[str]) -> dict[str, tuple[int, str, bytes]]:
-        """Number of ids, the ids in decimal, and the decoded bytes of words that aren't kept; keeps them."""
-        found = {}
+    def learn(self, words: Sequence[str]) -> tuple[dict[str, str], dict[str, bytes]]:
+        """The ids, in decimal, of words that aren't kept, and the decoded bytes of those that decode to something else; keeps them."""
+        found, odd = {}, {}
         for w, ids in zip(words, self.encode_words(words), strict=True):
-            found[w] = len(ids), ",".join(map(str, ids)), b"".join([self.surface[i] for i in ids])
+            found[w] = ",".join(map(str, ids))
+            decoded = b"".join([self.surface[i] for i in ids])
+            if decoded != w.replace(SPACE, " ").encode("utf-8", "replace"):
+                odd[w] = decoded
         if len(self.kept) + len(found) > KEPT_WORDS:
             self.kept.clear()
+            self.odd.clear()
         self.kept.update(x for x in found.items() if len(x[0]) <= KEPT_LENGTH)
-        return found
+        self.odd.update(x for x in odd.items() if len(x[0]) <= KEPT_LENGTH)
+        return found, odd
 
     def split(self, text: str | None) -> list[str]:
         return _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -184,16 +190,20 @@ class PieceCodec:
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         split = [self.split(x) for x in texts]
-        missing = list({w for words in split for w in words} - self.kept.keys())
+        every = {w for words in split for w in words}
+        learnt, odd = self.learn(list(every - self.kept.keys()))
+        if gone := every - self.kept.keys() - learnt.keys():  # started afresh
+            more, others = self.learn(list(gone))
+            learnt, odd = learnt | more, odd | others
         kept = self.kept
-        learnt = self.learn(missing)
-        if len(missing) and len(kept) <= len(learnt):  # started afresh
-            learnt |= self.learn(list({w for words in split for w in words} - self.kept.keys() - learnt.keys()))
-        for words in split:
-            known = [kept.get(w) or learnt[w] for w in words]
-            ids = ",".join([k[1] for k in known])
-            text = self.decoded(b"".join([k[2] for k in known]))
-            yield sum([k[0] for k in known]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
+        for text, words in zip(texts, split, strict=True):
+            ids = ",".join([kept.get(w) or learnt[w] for w in words])
+            strange = self.odd | odd if self.odd or odd else {}
+            if strange and not strange.keys().isdisjoint(words):
+                back = self.decoded(b"".join([strange.get(w) or w.replace(SPACE, " ").encode("utf-8", "replace") for w in words]))
+            else:
+                back = (text or "").replace(SPACE, " ")
+            yield ids.count(",") + 1 if words else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -214,8 +224,8 @@ def encode_texts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for batch in batches:
-            for a, b in slices(texts := batch.column(1).to_pylist()):
-                split = [codec.split(x) for x in texts[a:b]]
+            for a, b, texts in slices(batch.column(1)):
+                split = [codec.split(x) for x in texts]
                 words = list({w for s in split for w in s})
                 ids = dict(zip(words, codec.encode_words(words), strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([[i for w in s for i in ids[w]] for s in split], pa.list_(pa.int32()))], ["id", "ids"])
@@ -244,8 +254,8 @@ def piece_digests(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", t
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for batch in batches:
-            for a, b in slices(texts := batch.column(1).to_pylist()):
-                n, ids, text = zip(*codec.digests(texts[a:b]), strict=True)
+            for a, b, texts in slices(batch.column(1)):
+                n, ids, text = zip(*codec.digests(texts), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids), pa.array(text)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
