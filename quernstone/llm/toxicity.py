@@ -54,7 +54,7 @@ def bare(token: str) -> str:
 class WordClasses:
     """What each token is, looked up in the lexicon once and then kept in a table of bounded size."""
 
-    def __init__(self, lexicon: dict[str, float], most: int = 200_000):
+    def __init__(self, lexicon: dict[str, float], most: int = 150_000):
         self.lexicon, self.most = lexicon, most
         self.kept: dict[str, int] = {}
         self.weight: dict[str, float] = {}
@@ -81,8 +81,6 @@ class WordClasses:
                 found |= _UNDONE
         if weight:
             self.weight[token] = weight
-        if len(self.kept) >= self.most:
-            self.kept.clear()
         self.kept[token] = found
         return found
 
@@ -90,6 +88,9 @@ class WordClasses:
         tokens = (text or "").split()
         if not tokens:
             return [0.0] * len(FEATURES)
+        if len(self.kept) >= self.most:  # between texts, so that a text's words all have their weights
+            self.kept.clear()
+            self.weight.clear()
         get, classify = self.kept.get, self.classify
         kinds = np.array([k if (k := get(t)) is not None else classify(t) for t in tokens], np.int64)
         n = len(tokens)
