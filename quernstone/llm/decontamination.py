@@ -34,11 +34,12 @@ TERMS, RANK, POWER_STEPS = 1 << 16, 256, 3
 BLOCK, PASSAGE, PASSAGES_AT_ONCE = 16, 64, 20_000
 #: A term in more than this share of the documents doesn't count, unless an item has no other.
 COMMON = 0.1
-#: A candidate's cosine, and how much of the passage's length it reaches at least (less for passages longer than a window, which it
-#: holds in part): a window with a word or two of a passage isn't one.
-COSINE, LEAST = 0.4, 0.4
+#: A candidate's cosine: the only gate before the bounds of may_match, which lose nothing.
+COSINE = 0.4
 #: Shares of the passage in common: it's the same beyond one, a paraphrase beyond the other if so much of the answer is there.
 SAME, PARAPHRASE, ANSWER = 0.7, 0.5, 0.75
+#: Places of the bitmaps of may_match, and how many of them, and of an answer's words, are looked at at once.
+PLACES, BITMAPS_AT_ONCE, ANSWER_WORDS = 4096, 512, 32
 _SPACES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -190,9 +191,8 @@ class LatentIndex:
                 vectors[i] = x @ self.basis[at]
             length = np.linalg.norm(vectors, axis=1)
             vectors /= np.maximum(length[:, None], 1e-12)
-            needed = LEAST * length * np.minimum(1, np.array([1.5 * BLOCK / max(len(w), 1) for w in words]))
-            needed[length < 1e-9] = np.inf
-            yield {"items": [r["item_id"] for r in rows], "words": words, "answers": [set(r["answer"]) for r in rows], "vectors": vectors, "needed": needed.astype(np.float32), "basis": self.basis, "weights": self.weights, "row_of": self.row_of}
+            telling = [{x for x in r["answer"] if self.weights[x >> 48 & 0xFFFF] > 0} or set(r["answer"]) for r in rows]
+            yield {"items": [r["item_id"] for r in rows], "words": words, "telling": telling, "vectors": vectors, "basis": self.basis, "weights": self.weights, "row_of": self.row_of, **_bounds(words, telling)}
 
     def matches(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, item_id, at, cosine, common, share): each document's items, with the first word of the best window, its
@@ -238,6 +238,52 @@ def _weighed(hashes: np.ndarray, weights: np.ndarray, row_of: np.ndarray, *, who
     return row_of[t[keep]], w if whole else w / max(float(np.linalg.norm(w)), 1e-12)
 
 
+def _places(lists: list[list[int]], width: int) -> np.ndarray:
+    """Places of the first words of each list in a bitmap; the place after the last, which is never set, fills up."""
+    out = np.full((len(lists), width), PLACES, np.int32)
+    for i, x in enumerate(lists):
+        out[i, : len(x)] = [y & PLACES - 1 for y in x[:width]]
+    return out
+
+
+def _bounds(words: list[list[int]], telling: list[set[int]]) -> dict:
+    """What may_match needs of the passages: lengths, numbers of telling words, and the places of both in a bitmap."""
+    size, n = np.array([len(w) for w in words]), np.array([len(t) for t in telling])
+    return {"size": size, "n_telling": n, "word_places": _places(words, max(size, default=0)), "telling_places": _places([sorted(t) for t in telling], ANSWER_WORDS)}
+
+
+def may_match(flat: np.ndarray, low: np.ndarray, high: np.ndarray, begin: np.ndarray, k: np.ndarray, index: dict) -> np.ndarray:
+    """Which candidates can still match: passage k around the window that begins at a place of flat, in a text from low to high.
+
+    The common subsequence has no more words than the passage has that occur around the window, and no more of the
+    answer is there than occurs. Words are looked up in bitmaps of their hashes, and lengths are rounded up to blocks, so
+    both counts can come out too large but never too small: what is left out fails the exact checks of search.
+    """
+    out = np.zeros(len(k), bool)
+    size = index["size"][k]
+    reach = -(-size // BLOCK) * BLOCK
+    area, which = np.unique(begin * (PASSAGE + BLOCK) + reach, return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    cuts = np.searchsorted(which[order], np.arange(0, len(area) + BITMAPS_AT_ONCE, BITMAPS_AT_ONCE))
+    for part in range(len(cuts) - 1):
+        some = order[cuts[part] : cuts[part + 1]]
+        row = which[some] - part * BITMAPS_AT_ONCE
+        _, one = np.unique(row, return_index=True)
+        one = some[one]
+        a, b = np.maximum(low[one], begin[one] - reach[one]), np.minimum(high[one], begin[one] + 2 * BLOCK + reach[one])
+        n = b - a
+        at = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        seen = np.zeros((len(one), PLACES + 1), bool)
+        seen[np.repeat(np.arange(len(one)), n), (flat[at] & np.uint64(PLACES - 1)).astype(np.int64)] = True
+        share = np.count_nonzero(seen[row[:, None], index["word_places"][k[some]]], axis=1) / size[some]
+        fit = share >= PARAPHRASE
+        some, row, share = some[fit], row[fit], share[fit]
+        n = index["n_telling"][k[some]]
+        answer = np.count_nonzero(seen[row[:, None], index["telling_places"][k[some]]], axis=1) + np.maximum(n - ANSWER_WORDS, 0)
+        out[some] = (share >= SAME) | (answer >= ANSWER * n)
+    return out
+
+
 def search(texts: list[str | None], index: dict) -> list[tuple[int, int, int, float, int, float]]:
     """(text, passage, first word of the window, cosine, common words, share) of all passages found in the texts."""
     hashes = [word_hashes(x) for x in texts]
@@ -260,12 +306,15 @@ def search(texts: list[str | None], index: dict) -> list[tuple[int, int, int, fl
     follows = np.flatnonzero((np.diff(named) == 1) & (np.searchsorted(first, named[1:], "right") == np.searchsorted(first, named[:-1], "right")))
     windows[follows] += sums[follows + 1]
     norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
-    some = np.flatnonzero(norm >= index["needed"].min() * COSINE)
+    some = np.flatnonzero(norm > 0)
     along = windows[some] @ index["vectors"].T
     best: dict[tuple[int, int], tuple[float, int, float, int]] = {}
-    w, k = np.nonzero((along >= index["needed"]) & (along >= COSINE * norm[some, None]))
-    cosine = along[w, k] / norm[some[w]]
+    w, k = np.nonzero(along >= COSINE * norm[some, None])
     places = named[some[w]]
+    d = np.searchsorted(first, places, "right") - 1
+    left = may_match(flat, start[d], start[d + 1], start[d] + (places - first[d]) * BLOCK, k, index)
+    w, k, places = w[left], k[left], places[left]
+    cosine = along[w, k] / norm[some[w]]
     for i in np.lexsort((-cosine, places)):
         d = int(np.searchsorted(first, places[i], "right")) - 1
         pair, words = (d, int(k[i])), index["words"][k[i]]
@@ -278,8 +327,7 @@ def search(texts: list[str | None], index: dict) -> list[tuple[int, int, int, fl
         if share < SAME:
             if share < PARAPHRASE:
                 continue
-            answer, rare = index["answers"][k[i]], index["weights"]
-            telling = {x for x in answer if rare[x >> 48 & 0xFFFF] > 0} or answer
+            telling = index["telling"][k[i]]
             if len(telling & set(around)) < ANSWER * len(telling):
                 continue
         if pair not in best or share > best[pair][0]:
