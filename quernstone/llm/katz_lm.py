@@ -1,21 +1,22 @@
 """Language-model scores: a Katz backoff bigram model with Good-Turing discounts.
 
-Counts of words and of word pairs, over all training texts, are tables keyed by n-gram. Pairs are counted over the VOCABULARY
-most frequent words, the end of a text (which also is the history of its first word), and one class for all rarer words;
-a rarer word has its discounted share of that class, so every word keeps its own probability and all of them, with
-one kind of unseen word, add up to 1 after every history. Seen pairs have discounted relative counts; what is left of a
+Counts of words and of word pairs, over all training texts, are tables keyed by n-gram. Pairs are counted over all words and
+the end of a text (which also is the history of its first word). The HEAD most frequent words are broadcast and have
+short numbers; all others are told apart by their keys, in tables that are joined, which gives the same scores. A
+vocabulary, if one is given, has one class for all rarer words instead; a rarer word has its discounted share of it.
+All words, with one kind of unseen word, add up to 1 after every history. Seen pairs have discounted relative counts; what is left of a
 history is spread over the unseen ones by a backoff weight that is normalised exactly.
 
 The recursion p(w|h) = p2(w|h) if seen, else alpha(h) p1(w) is evaluated for each token as alpha(h) p1(w), which
-needs the vocabulary alone, and a correction where the pair is in the table of pairs (or a rare word in the table
-of words), which is joined by key.
+needs the broadcast words alone, and a correction where the pair is in the table of pairs (or a rarer word in the table
+of words, which then also is the history of one token), which is joined by key.
 
 Defined results
   null or empty text: the end token alone. No training text: every word is unseen, with probability 1.
   A history with reliable counts alone leaves the unseen pairs one count more than it has.
   Good-Turing discounts that come out beyond (0, 1), as with few counts, are replaced by (r - 0.5) / r.
   null and repeated ids: each row is scored; an empty table gives an empty result; columns besides the id and the text aren't read.
-  Words are told apart by 62 bits of a hash.
+  Words are told apart by 62 bits of a hash, and pairs with a rarer word by 63 bits of one.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.common import remainder, slices, stored, table
 
-#: Words whose pairs are counted; it bounds what is broadcast (8 numbers for each).
-VOCABULARY = 65_536
+#: Words that are broadcast (8 numbers for each); it bounds no counts.
+HEAD = 65_536
 #: Of them the most frequent ones whose pairs are a dense block of FRONT * FRONT * 4 bytes = 16 MB, broadcast and not joined.
 FRONT = 2_048
 #: Counts up to this are discounted.
@@ -52,6 +53,16 @@ def word_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.array([len(k) for k in parts], np.int64)
 
 
+def pair_keys(before: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+    """Key of each pair: from the numbers if both words are broadcast, else a negative one, from a hash of both."""
+    with np.errstate(over="ignore"):
+        x = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = ((x ^ x >> np.uint64(29)) + word.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x = (x ^ x >> np.uint64(31) | np.uint64(1 << 63)).view(np.int64)
+        return np.where(np.maximum(before, word) < size, before * size + word, x)
+
+
 def discounts(n: dict[int, int], most: int = LEAST_RELIABLE) -> list[float]:
     """Good-Turing discounts of the counts 1 to most, from the numbers n of n-grams with each count (Katz's form)."""
     out = []
@@ -74,13 +85,13 @@ def _count_of_counts(counts: DataFrame) -> dict[int, int]:
 
 
 class KatzModel:
-    """words: (key, c, p) of all training words; pairs: (key, delta) of all pairs but those of the dense block, as tables. The rest is arrays over
-    the vocabulary, the end (the last but one) and the class of rarer words (the last)."""
+    """words: (key, c, p) of all training words; pairs: (key, delta) of all pairs but those of the dense block; after: (key, backoff) of rarer words, as
+    tables. The rest is arrays over the broadcast words, the end (the last but one) and the rarer words (the last)."""
 
-    def __init__(self, texts: DataFrame, *, text_col: str = "text", vocabulary: int = VOCABULARY):
-        self.spark = texts.sparkSession
+    def __init__(self, texts: DataFrame, *, text_col: str = "text", vocabulary: int | None = None):
+        self.spark, self.whole = texts.sparkSession, vocabulary is None
         texts = texts.select(F.col(text_col).alias("text"))
-        self._count_words(texts, vocabulary)
+        self._count_words(texts, HEAD if vocabulary is None else vocabulary)
         self._count_pairs(texts)
 
     def _count_words(self, texts: DataFrame, vocabulary: int) -> None:
@@ -104,7 +115,7 @@ class KatzModel:
         self.size = len(head) + 2
         counts = np.array([c for _, c, _ in head] + [end["c"] if end else 0, 0], float)
         self.p1 = np.array([x for _, _, x in head] + [end["p"] if end else 0.0, 0.0])
-        self.p1[-1] = max(1.0 - self.p1.sum(), self.unseen)
+        self.p1[-1] = self.unseen if self.whole else max(1.0 - self.p1.sum(), self.unseen)
         self.base_least = -np.log10(self.tokens + 0.5 * (self.distinct + 1))
         self.base = np.log10(counts + 0.5) + self.base_least
         self.known = counts > 0
@@ -125,6 +136,14 @@ class KatzModel:
         out[ends] = self.size - 2
         return out, np.r_[self.size - 2, out[:-1]]
 
+    def numbers(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As classes, but with their keys in place of the class for rarer words if all pairs are counted."""
+        word, before = self.classes(keys, n)
+        if self.whole:
+            word = np.where(word == self.size - 1, keys, word)
+            before = np.r_[self.size - 2, word[:-1]]
+        return word, before
+
     def _count_pairs(self, texts: DataFrame) -> None:
         self.backoff = np.zeros(self.size)
         shared = self.spark.sparkContext.broadcast(self._arrays())
@@ -133,23 +152,28 @@ class KatzModel:
             model = shared.value
             for batch in batches:
                 for _, _, rows in slices(batch.column(0), CHUNK):
-                    word, before = KatzModel.classes(model, *word_keys(rows))
-                    keys, n = np.unique(before * model.size + word, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "c"])
+                    word, before = KatzModel.numbers(model, *word_keys(rows))
+                    order = np.lexsort((word, before))
+                    word, before = word[order], before[order]
+                    at = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (before[1:] != before[:-1])])
+                    yield pa.RecordBatch.from_arrays([pa.array(before[at]), pa.array(word[at]), pa.array(np.diff(np.r_[at, len(word)]))], ["before", "word", "c"])
 
-        pairs = stored(texts.mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "pairs")
+        pairs = stored(texts.mapInArrow(count, "before long, word long, c long").groupBy("before", "word").agg(F.sum("c").alias("c")), "pairs")
         d = discounts(_count_of_counts(pairs))
-        size = F.lit(self.size)
-        lower = F.broadcast(self.spark.createDataFrame([(i, float(p), int(self.front[i])) for i, p in enumerate(self.p1)], "word long, p1 double, front_word int"))  # a row for each class
-        split = pairs.select("key", "c", F.expr(f"key div {self.size}").alias("before"), F.pmod("key", size).alias("word")).join(lower, "word")
         kept = _discounted(F.col("c"), d)
-        history = split.groupBy("before").agg(F.sum("c").alias("n"), F.sum(kept).alias("kept"), F.sum("p1").alias("p1"), F.count(F.lit(1)).alias("seen")).collect()
+        rarer = F.col("word") >= self.size
+        lower = F.broadcast(self.spark.createDataFrame([(i, float(p), int(self.front[i])) for i, p in enumerate(self.p1)], "word long, p1 double, front_word int"))  # a row for each class
+        split = pairs.where(~rarer).join(lower, "word")
+        if self.whole:
+            p1 = self.words.select(F.col("key").alias("word"), F.col("p").alias("p1"), F.lit(-1).alias("front_word"))
+            split = stored(split.unionByName(pairs.where(rarer).join(p1, "word")), "split")
+        after = split.groupBy("before").agg(F.sum("c").alias("n"), F.sum(kept).alias("kept"), F.sum("p1").alias("p1"), F.count(F.lit(1)).alias("seen"))
         scale = np.ones(self.size)
         total = np.ones(self.size)
-        for r in history:
+        for r in after.where(F.col("before") < self.size).collect():
             h, left = r["before"], 1 - r["p1"]
             total[h] = r["n"]
-            if r["seen"] == self.size or left < 1e-12:  # nothing is unseen after it
+            if (r["seen"] == self.size and not self.whole) or left < 1e-12:  # nothing is unseen after it
                 scale[h] = r["n"] / r["kept"]
             else:
                 if r["kept"] >= r["n"] * (1 - 1e-12):  # only reliable counts: the unseen share one further count
@@ -157,10 +181,27 @@ class KatzModel:
                 self.backoff[h] = np.log10((1 - scale[h] * r["kept"] / r["n"]) / left)
         rows = [(i, float(scale[i] / total[i]), float(self.backoff[i]), int(self.front[i])) for i in range(self.size)]
         of = F.broadcast(self.spark.createDataFrame(rows, "before long, factor double, backoff double, front_before int"))  # a row for each class
+        every = split.where(F.col("before") < self.size).join(of, "before")
+        if self.whole:
+            # the same for rarer histories, as a table
+            none, reliable = F.col("p1") > 1 - 1e-12, F.col("kept") >= F.col("n") * (1 - 1e-12)
+            factor = F.when(none, 1 / F.col("kept")).when(reliable, 1 / (F.col("n") + 1)).otherwise(1 / F.col("n"))
+            left = F.when(none, F.lit(0.0)).otherwise(F.log10((1 - F.col("factor") * F.col("kept")) / (1 - F.col("p1"))))
+            table_of = after.where(F.col("before") >= self.size).withColumn("factor", factor).select("before", "factor", left.alias("backoff"), F.lit(-1).alias("front_before"))
+            table_of = stored(table_of, "after")
+            self.after = table_of.select(F.col("before").alias("key"), "backoff")
+            every = every.unionByName(split.where(F.col("before") >= self.size).join(table_of, "before"))
         delta = F.log10(kept * F.col("factor")) - F.col("backoff") - F.log10("p1")
-        every = split.join(of, "before").withColumn("delta", delta.cast("float"))
+        every = every.withColumn("delta", delta.cast("float"))
         dense = (F.col("front_before") >= 0) & (F.col("front_word") >= 0)
-        self.pairs = every.where(~dense).select("key", "delta")
+        size = self.size
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                before, word = (batch.column(i).to_numpy() for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(pair_keys(before, word, size)), batch.column(2)], ["key", "delta"])
+
+        self.pairs = every.where(~dense).select("before", "word", "delta").mapInArrow(keyed, "key long, delta float")
         block = every.where(dense).select("front_before", "front_word", "delta").toArrow()  # FRONT * FRONT rows at most
         self.block = np.zeros((max(FRONT, 1), max(FRONT, 1)), np.float32)
         self.block[block["front_before"].to_numpy(), block["front_word"].to_numpy()] = block["delta"].to_numpy()
@@ -168,16 +209,20 @@ class KatzModel:
     def _arrays(self) -> KatzModel:
         """The model without its tables, for the workers."""
         out = object.__new__(KatzModel)
-        out.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("spark", "words", "pairs")}
+        out.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("spark", "words", "pairs", "after")}
         return out
 
     def corrections(self) -> DataFrame:
-        """(key, known, base, score): what a seen pair or a known rare word adds to the sums over the vocabulary."""
+        """(key, known, base, score): what a seen pair or a known rarer word, also as the history of the next, adds to the sums over the broadcast words."""
         rare = self.words.where(F.col("key") != END_WORD)
         if len(self.head):
-            head = F.broadcast(self.spark.createDataFrame([(int(k),) for k in self.head], "key long"))  # VOCABULARY rows at most
+            head = F.broadcast(self.spark.createDataFrame([(int(k),) for k in self.head], "key long"))  # a row for each broadcast word
             rare = rare.join(head, "key", "left_anti")
-        rare = rare.select("key", F.lit(1).alias("known"), F.log10((F.col("c") + 0.5) / 0.5).alias("base"), F.log10(F.col("p") / self.unseen).cast("float").alias("score"))
+        score = F.log10(F.col("p") / (self.unseen if self.unseen > 0 else 1.0))
+        if self.whole:
+            rare = rare.join(self.after, "key")
+            score = score + F.col("backoff")
+        rare = rare.select("key", F.lit(1).alias("known"), F.log10((F.col("c") + 0.5) / 0.5).alias("base"), score.cast("float").alias("score"))
         return rare.unionByName(self.pairs.select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), F.col("delta").cast("float").alias("score")))
 
     def score(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,10 +234,9 @@ class KatzModel:
 
         def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
-            rare = np.log10(m.unseen / m.p1[-1])
             with np.errstate(divide="ignore"):
                 p1 = np.log10(m.p1)
-            p1[-1] += rare
+            p1[-1] = np.log10(m.unseen if m.unseen > 0 else 1.0)
             for batch in batches:
                 for a, b, rows in slices(batch.column(2)):
                     keys, n = word_keys(rows)
@@ -237,12 +281,13 @@ def _near_ids(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _keyed(model: KatzModel, base: int, ids: np.ndarray, texts: list[str | None]) -> pa.RecordBatch:
-    """A row for each pair, and each word beyond the vocabulary, of some texts, with the rows that it occurs in."""
+    """A row for each pair, and each word that isn't broadcast, of some texts, with the rows that it occurs in."""
     keys, n = word_keys(texts)
     word, before = model.classes(keys, n)
     owner = np.repeat((ids - base).astype(np.int32), n)
     rare, joined = word == model.size - 1, (model.front[word] < 0) | (model.front[before] < 0)
-    key = np.concatenate([before[joined] * model.size + word[joined], keys[rare]])
+    second, first = model.numbers(keys, n)
+    key = np.concatenate([pair_keys(first[joined], second[joined], model.size), keys[rare]])
     order = np.argsort(key, kind="stable")
     key, owner = key[order], np.concatenate([owner[joined], owner[rare]])[order]
     if not len(key):

@@ -1,0 +1,18 @@
+"""The language model counts the pairs of all words, however few of them are broadcast."""
+
+import pytest
+
+from quernstone.llm import katz_lm as K
+from tests.llm.test_tokens import TRAINING, frame, katz
+
+
+@pytest.mark.parametrize(("head", "front"), [(0, 0), (1, 2048), (3, 2), (5, 0), (100, 3)])
+def test_every_word_has_its_pairs(spark, monkeypatch, head, front):
+    monkeypatch.setattr(K, "HEAD", head)
+    monkeypatch.setattr(K, "FRONT", front)
+    texts = [*TRAINING, "q", "q q a b zz", "b a", "g h i j", "a b c", "x y z", "z y x"]
+    want = katz(TRAINING, texts, 1_000)[2]
+    got = {r.doc_id: r for r in K.KatzModel(frame(spark, TRAINING)).score(frame(spark, texts)).collect()}
+    for i, (n, known, base, score) in enumerate(want):
+        assert (got[i].n_tokens, got[i].n_known) == (n, known)
+        assert got[i].base_score == pytest.approx(base, abs=1e-9) and got[i].score == pytest.approx(score, abs=1e-5)
