@@ -29,8 +29,10 @@ BITS = 12
 #: Sampled texts and centroids of each language, rounds of clustering.
 TEXTS, CENTROIDS, ROUNDS = 1_500, 4, 6
 #: A text is rejected beyond its language's distance at this quantile of the sample, and somewhat more; one of less than
-#: 2^SHORT_BANDS characters is too short to tell, and is rejected only if nothing of it is known.
+#: 2^SHORT_BANDS characters only below a share of the cosine that nearly all texts had when they were cut to its length.
 REJECTED, MARGIN, SHORT_BANDS = 0.999, 1.15, 8
+#: The quantile of cut texts and the share of its cosine, and the bytes of texts that are held at once.
+CUT_REJECTED, CUT_SHARE, CUT_BYTES = 0.95, 0.5, 500_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _LETTERS = np.array([b if b > 127 or chr(b).isalpha() else 0 for b in range(256)], np.uint32)
@@ -136,7 +138,35 @@ def fit_languages(docs: DataFrame, *, lang_col: str = "lang", id_col: str = "doc
     middle = _normal(np.stack([np.frombuffer(r["x"], np.float16) for r in start]).astype(np.float32))
     for _ in range(ROUNDS):
         middle = _moved(points, middle, owner)
-    return LanguageModel(names, idf, middle, owner, _least_cosines(points, middle, owner, len(names)))
+    least = _least_cosines(points, middle, owner, len(names))
+    # the first band beyond the short ones has few texts as well; no band has a higher bound than the next one that isn't short
+    cut = np.minimum(_least_when_cut(sample, idf, middle, owner, len(names)), least[:, [SHORT_BANDS + 1]])
+    least[:, : SHORT_BANDS + 1] = np.maximum(least, cut)[:, : SHORT_BANDS + 1]
+    return LanguageModel(names, idf, middle, owner, least)
+
+
+def _least_when_cut(sample: DataFrame, idf: np.ndarray, middle: np.ndarray, owner: np.ndarray, languages: int) -> np.ndarray:
+    """The cosine below which a text is rejected, by language and band of lengths, from training texts cut to the least length of each
+    band: texts of every length have a bound, although the sample has few short ones."""
+    shared = sample.sparkSession.sparkContext.broadcast((idf, middle, owner))
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, middle, owner = shared.value
+        for batch in batches:
+            for a, b, rows in slices(batch.column(1), CUT_BYTES):
+                k = batch.column(0).to_numpy()[a:b]
+                for band in range(1, SHORT_BANDS + 1):
+                    size = (1 << band) - 1
+                    long = [i for i, x in enumerate(rows) if len(x) >= size and _LETTER.search(x[:size])]
+                    if long:
+                        cosine = np.where(owner[None] == k[long, None], vectors([rows[i][:size] for i in long], idf) @ middle.T, -1).max(axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(k[long]), pa.array(np.full(len(long), band, np.int32)), pa.array(cosine, pa.float64())], ["k", "band", "cosine"])
+
+    far = sample.select("k", "text").mapInArrow(cosines, "k int, band int, cosine double").groupBy("k", "band").agg(F.percentile_approx("cosine", 1 - CUT_REJECTED, 10_000).alias("least"), F.count(F.lit(1)).alias("n"))
+    least = np.zeros((languages, 13))
+    for r in far.where("n >= 20").collect():
+        least[r["k"], r["band"]] = CUT_SHARE * max(0.0, r["least"])
+    return least
 
 
 
