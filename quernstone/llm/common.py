@@ -43,31 +43,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: later work restarts there,
     not at the input, when an executor is lost. The folder goes when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quernstone/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers evenly, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def remainder(key: Column, divisor: int) -> Column:
     """crc32 of the key as text, modulo divisor: the split that training and held-out rows are told apart by."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(divisor)).cast("int")
 
 
-def slices(column: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int, list[str | None]]]:
-    """(first row, end, texts) of runs of an Arrow batch's texts with about most_bytes each: of a batch of long texts only
-    one run at a time is turned into Python strings and arrays."""
+def slices(column: pa.Array, most_bytes: int = 2_000_000, most_rows: int = 1 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(first row, end, texts) of runs of an Arrow batch's texts with about most_bytes and at most most_rows each: of a batch
+    of long texts, or of very many, only one run at a time is turned into Python strings and arrays."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(ends):
         before = ends[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "left")) + 1)
-        end = min(end, len(ends))
+        end = min(end, len(ends), start + most_rows)
         yield start, end, column.slice(start, end - start).to_pylist()
         start = end
     pa.default_memory_pool().release_unused()

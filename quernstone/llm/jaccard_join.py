@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import components, fresh, slices, stored, table
+from quernstone.llm.common import components, fresh, mixed, slices, stored, table
 
 WORDS, PERCENT = 4, 85
 #: Sets up to SHORT tokens have all their tokens counted in the first thinning, others those whose hash is below SHARE.
@@ -41,13 +41,6 @@ SHORT, SHARE = 64, 0.25
 _MIX, _SEEDS = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit numbers evenly, one to one."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; A-Z count as a-z."""
     found = text.encode("utf-8", "replace").lower().split() if text else []

@@ -1,66 +1,95 @@
-"""Language-model scores: a Katz backoff bigram model with Good-Turing discounts.
+"""Language-model scores: a Katz backoff bigram model with Good-Turing discounts over all words.
 
-Counts of words and of word pairs, over all training texts, are tables keyed by n-gram. Pairs are counted over all words and
-the end of a text (which also is the history of its first word). The HEAD most frequent words are broadcast and have
-short numbers; all others are told apart by their keys, in tables that are joined, which gives the same scores. A
-vocabulary, if one is given, has one class for all rarer words instead; a rarer word has its discounted share of it.
-All words, with one kind of unseen word, add up to 1 after every history. Seen pairs have discounted relative counts; what is left of a
-history is spread over the unseen ones by a backoff weight that is normalised exactly.
+p(w|h) is the discounted relative count of the pair (h, w) where training has it, else alpha(h) p(w): the recursion ends
+with the discounted share of the word, and one kind of unseen word has what the discounts leave. alpha(h) spreads what is
+left of a history over exactly the words that it wasn't seen with, so all words and the unseen one add up to 1.
+The end of a text is a word, and the history of a text's first word.
 
-The recursion p(w|h) = p2(w|h) if seen, else alpha(h) p1(w) is evaluated for each token as alpha(h) p1(w), which
-needs the broadcast words alone, and a correction where the pair is in the table of pairs (or a rarer word in the table
-of words, which then also is the history of one token), which is joined by key.
+Every pair of words is counted, and every token has its pair looked up, in tables that are partitioned by history. Two kinds of words
+differ only in how they are stored. The HEAD most frequent ones have short numbers, which are broadcast with their counts.
+Their pairs are gathered by history (those of the FRONT most frequent histories by pair) together with the rows
+that have them, so that counting and looking up need one shuffle. A rarer word carries its neighbours: its group has
+its own count and those of the pairs on both sides. Pairs of two of the FRONT words are looked up in a broadcast block.
+So a key that is shuffled is a word or pair with at most one FRONT-th of all tokens, however frequent a word is.
 
 Defined results
   null or empty text: the end token alone. No training text: every word is unseen, with probability 1.
   A history with reliable counts alone leaves the unseen pairs one count more than it has.
   Good-Turing discounts that come out beyond (0, 1), as with few counts, are replaced by (r - 0.5) / r.
-  null and repeated ids: each row is scored; an empty table gives an empty result; columns besides the id and the text aren't read.
-  Words are told apart by 62 bits of a hash, and pairs with a rarer word by 63 bits of one.
+  null and repeated ids: each row is scored; ids may be of any type; a null train mark counts as false.
+  an empty table gives an empty result; columns besides the id, the text and the mark aren't read, whatever their names.
+  very long texts: a text is tokenised in pieces of PIECE bytes; all its tokens are held at once (8 bytes each, some times over).
+  Words are told apart by 62 bits of a hash; ties of equal counts have no bearing on scores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from quernstone.llm.common import remainder, slices, stored, table
+from quernstone.llm.common import mixed, remainder, slices, stored, table
 
-#: Words that are broadcast (8 numbers for each); it bounds no counts.
-HEAD = 65_536
-#: Of them the most frequent ones whose pairs are a dense block of FRONT * FRONT * 4 bytes = 16 MB, broadcast and not joined.
-FRONT = 2_048
+#: Words that are broadcast at most (36 bytes each), and the most frequent ones of them, whose pairs are a block of
+#: FRONT * FRONT * 4 bytes = 16 MB; neither bounds a count or changes a score.
+HEAD, FRONT = 1 << 20, 2_048
 #: Counts up to this are discounted.
 LEAST_RELIABLE = 5
-#: Bytes of texts whose n-grams a task sums up at once.
-CHUNK = 32_000_000
-END_WORD = (1 << 62) | 1
+#: Bytes of texts whose n-grams a task sums up at once, and of them that are hashed at once.
+CHUNK, PIECE = 16_000_000, 1_000_000
+#: Tokens for each bucket of pairs, which a task gathers at once.
+BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 256
+#: Keys of words have this bit; numbers of broadcast words are below 2^SHIFT.
+RARE, SHIFT = 1 << 62, 21
+END_WORD = RARE | 1
+_COUNTS = [f"n{r}" for r in range(1, LEAST_RELIABLE + 2)]
+_PLAIN = bytes(32 if c in b"\t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_BYTES = np.random.default_rng(41).integers(0, 1 << 64, 256, dtype=np.uint64)
+_RATIO = 0x9E3779B97F4A7C13  # odd, and 3 modulo 8
 
 
-def word_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(key of each token, tokens of each text); A-Z count as a-z, and every text ends with END_WORD."""
-    parts = []
-    for x in texts:
-        words = (x or "").encode("utf-8", "replace").lower().split()
-        keys = np.full(len(words) + 1, END_WORD, np.int64)
-        keys[:-1] = (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(2)).astype(np.int64) | 1 << 62
-        parts.append(keys)
-    return np.concatenate(parts), np.array([len(k) for k in parts], np.int64)
+@lru_cache(maxsize=2)
+def _powers(inverse: bool) -> np.ndarray:
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(PIECE - 1, np.uint64(pow(_RATIO, -1 if inverse else 1, 1 << 64)))])
 
 
-def pair_keys(before: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
-    """Key of each pair: from the numbers if both words are broadcast, else a negative one, from a hash of both."""
-    with np.errstate(over="ignore"):
-        x = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = ((x ^ x >> np.uint64(29)) + word.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        x = (x ^ x >> np.uint64(31) | np.uint64(1 << 63)).view(np.int64)
-        return np.where(np.maximum(before, word) < size, before * size + word, x)
+def word_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(key of each token, tokens of each text); A-Z count as a-z, and every text ends with END_WORD."""
+    raw = [(x or "").encode("utf-8", "replace").translate(_PLAIN) for x in texts]
+    data = b" ".join([*raw, b""])
+    flat = np.frombuffer(data, np.uint8)
+    starts, hashes, a = [], [], 0
+    while a < len(data):
+        b = data.rfind(b" ", a, a + PIECE) + 1
+        if not b:  # one word longer than a piece
+            b = data.find(b" ", a + PIECE) + 1
+            starts.append(np.array([a]))
+            hashes.append(np.array([xxhash.xxh3_64_intdigest(data[a : b - 1])], np.uint64))
+        else:
+            piece = flat[a:b]
+            edge = np.diff((piece != 32).view(np.int8), prepend=0)
+            first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            total = np.r_[np.uint64(0), np.cumsum(_BYTES[piece] * _powers(False)[: len(piece)], dtype=np.uint64)]
+            starts.append(first + a)
+            hashes.append(mixed((total[end] - total[first]) * _powers(True)[first]))
+        a = b
+    word = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+    at = np.concatenate(starts) if starts else np.empty(0, np.int64)
+    ends = np.cumsum([len(x) + 1 for x in raw])
+    before = np.searchsorted(at, ends)  # words up to the end of each text
+    keys = np.empty(len(word) + len(raw), np.int64)
+    last = before + np.arange(len(raw))
+    keys[last] = END_WORD
+    inner = np.ones(len(keys), bool)
+    inner[last] = False
+    keys[inner] = np.maximum((word >> np.uint64(2)).astype(np.int64) | RARE, END_WORD + 1)
+    return keys, np.diff(before, prepend=0) + 1
 
 
 def discounts(n: dict[int, int], most: int = LEAST_RELIABLE) -> list[float]:
@@ -76,236 +105,305 @@ def discounts(n: dict[int, int], most: int = LEAST_RELIABLE) -> list[float]:
     return out
 
 
-def _discounted(c: Column, d: list[float]) -> Column:
-    return F.when(c <= len(d), F.get(F.array(*map(F.lit, d)), (c - 1).cast("int")) * c).otherwise(c.cast("double"))
+def _discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.r_[0.0, d, 1.0][np.minimum(c, len(d) + 1)] * c
 
 
-def _count_of_counts(counts: DataFrame) -> dict[int, int]:
-    return {r["c"]: r["n"] for r in counts.where(F.col("c") <= LEAST_RELIABLE + 1).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+def _discounted_column(c: Column, d: list[float]) -> Column:
+    return F.when(c <= len(d), F.get(F.array(*map(F.lit, d)), (c - 1).cast("int")) * c).otherwise(c.cast("double"))
 
 
-class KatzModel:
-    """words: (key, c, p) of all training words; pairs: (key, delta) of all pairs but those of the dense block; after: (key, backoff) of rarer words, as
-    tables. The rest is arrays over the broadcast words, the end (the last but one) and the rarer words (the last)."""
+def left_over(n: np.ndarray, kept: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(factor, log10 of alpha) of histories: n is the count, kept the discounted counts of the words seen after it, p the
+    sum of those words' own probabilities. A seen pair has factor times its discounted count."""
+    n, kept, left = np.maximum(n, 1), np.maximum(kept, 1e-300), 1 - p
+    none, reliable = left < 1e-12, kept >= n * (1 - 1e-12)
+    factor = np.where(none, 1 / kept, np.where(reliable, 1 / (n + 1), 1 / n))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        alpha = np.log10((1 - factor * kept) / left)
+    return factor, np.where(none, 0.0, alpha)
+
+
+class Words:
+    """The broadcast words by number (the more frequent, the smaller) with their counts and probabilities, and totals over all words."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, d: list[float], unseen: float, front: int):
+        order = np.lexsort((keys, -counts))
+        self.counts, self.tokens, self.distinct, self.discounts, self.unseen = counts[order], tokens, distinct, d, unseen
+        place = np.argsort(keys[order])
+        self.keys, self.number = keys[order][place], place.astype(np.int64)
+        self.end = int(self.number[np.searchsorted(self.keys, END_WORD)])
+        self.p = _discounted(self.counts, d) / max(tokens, 1)
+        self.front = min(front, len(keys))
+        self.base_least = -np.log10(tokens + 0.5 * (distinct + 1))
+
+    def log_p(self) -> np.ndarray:
+        return np.log10(np.where(self.p > 0, self.p, self.unseen if self.unseen > 0 else 1.0))
+
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number or else key of each token, the same of the token before, tokens of each text)."""
+        keys, n = word_keys(texts)
+        one, inverse = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, one), len(self.keys) - 1)
+        word = np.where(self.keys[at] == one, self.number[at], one)[inverse]
+        return word, np.r_[self.end, word[:-1]][: len(word)], n
+
+
+def count_words(texts: DataFrame, head: int = HEAD, front: int = FRONT) -> Words:
+    """Counts all words of the column text; the most frequent ones, `head` at most, come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, rows in slices(batch.column(0), CHUNK):
+                keys, n = np.unique(word_keys(rows)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "c"])
+
+    counted = stored(texts.mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
+    # counts in classes, exact up to 64 and then some to each power of two: a few hundred rows for any input
+    kind = F.when(F.col("c") <= 64, F.col("c")).otherwise(64 + F.floor(F.log2(F.col("c") / 64) * 8)).cast("long")
+    classes = sorted(((r["kind"], r["v"], r["n"]) for r in counted.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).collect()), reverse=True)
+    tokens, distinct = sum(n for _, _, n in classes), sum(v for _, v, _ in classes)
+    d = discounts({k: v for k, v, _ in classes if k <= 64})
+    unseen = 1.0 - sum(_discounted(np.array([k]), d)[0] * v if k <= LEAST_RELIABLE else n for k, v, n in classes) / max(tokens, 1)
+    least, room = classes[0][0] + 1 if classes else 0, min(head, (1 << SHIFT) - 2)
+    for k, v, _ in classes:
+        if v > room:
+            break
+        least, room = k, room - v
+    found = counted.where((kind >= least) & (F.col("key") != END_WORD)).toArrow()
+    end = counted.where(F.col("key") == END_WORD).first()
+    keys, counts = (np.r_[found[c].to_numpy(), x].astype(np.int64) for c, x in (("key", END_WORD), ("c", end["c"] if end else 0)))
+    return Words(keys, counts, tokens, distinct, d, max(unseen, 0.0) if tokens else 1.0, front)
+
+
+def _split(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
+
+
+def pair_table(read: DataFrame, shared, buckets: int) -> DataFrame:
+    """(key, c, first, row, k) for (row, train, text): each pair of broadcast words with its count in training and, unless
+    both are of the FRONT, each row that has it, and how often; first marks one row of each pair."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            for a, b, texts in slices(batch.column(2), CHUNK, 1 << 20):
+                ids = np.r_[batch.column(0).to_numpy()[a:b], 0]
+                train = np.r_[batch.column(1).to_numpy(zero_copy_only=False)[a:b], True]
+                word, before, n = words.numbers(texts)
+                owner = np.repeat(np.arange(b - a), n)
+                front = (word < words.front) & (before < words.front)
+                keep = (word < RARE) & (before < RARE) & (~front | train[owner])
+                owner[front] = b - a  # no row of its own
+                bits = int(b - a).bit_length()
+                found, k = np.unique((before[keep] << SHIFT | word[keep]) << bits | owner[keep], return_counts=True)
+                key, owner = found >> bits, found & ((1 << bits) - 1)
+                history = key >> SHIFT
+                bucket = (mixed(np.where(history < words.front, key, history).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64) * 2 + train[owner]
+                order = np.argsort(bucket, kind="stable")
+                group, cuts = np.unique(bucket[order], return_index=True)
+                cuts = np.r_[cuts, len(order)]
+                lists = [_split(x[order], cuts) for x in (key, ids[owner], k.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(group // 2), pa.array(group % 2 == 1), *lists], ["bucket", "train", "key", "row", "k"])
+
+    def gather(group: pa.Table) -> pa.Table:
+        lists = [group.column(c).combine_chunks() for c in ("key", "row", "k")]
+        key, row, k = (x.flatten().to_numpy() for x in lists)
+        train = np.repeat(group.column("train").to_numpy(), lists[0].value_lengths().to_numpy())
+        order = np.argsort(key, kind="stable")
+        key, row, k, train = key[order], row[order], k[order], train[order]
+        first = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        at = np.flatnonzero(first)
+        c = np.repeat(np.add.reduceat(np.where(train, k, 0), at), np.diff(np.r_[at, len(key)])) if len(at) else np.empty(0, np.int64)
+        front = shared.value.front
+        keep = first | (key >> SHIFT >= front) | ((key & (1 << SHIFT) - 1) >= front)
+        return pa.table([pa.array(x[keep]) for x in (key, c.astype(np.int64), first, row, k.astype(np.int32))], ["key", "c", "first", "row", "k"])
+
+    dealt = read.mapInArrow(blocks, "bucket long, train boolean, key array<long>, row array<long>, k array<int>")
+    return dealt.groupBy("bucket").applyInArrow(gather, "key long, c long, first boolean, row long, k int")
+
+
+def rare_table(read: DataFrame, shared) -> DataFrame:
+    """(x, before, after, row, train, p_after, c, c_in, c_out, first_in, first_out) for every token x that isn't broadcast: its neighbours,
+    the probability of the one after it if that is broadcast, its count in training and those of the pairs that it's in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            for a, b, texts in slices(batch.column(2), CHUNK, 1 << 20):
+                word, before, n = words.numbers(texts)
+                at = np.flatnonzero(word >= RARE)
+                owner = np.repeat(np.arange(a, b), n)[at]
+                after = word[at + 1]
+                p = np.where(after < RARE, words.p[np.where(after < RARE, after, 0)], 0.0)
+                train = batch.column(1).to_numpy(zero_copy_only=False)[owner].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word[at], before[at], after, batch.column(0).to_numpy()[owner], train, p)], ["x", "before", "after", "row", "train", "p_after"])
+
+    found = read.mapInArrow(run, "x long, before long, after long, row long, train int, p_after double")
+    # dealt by word once: the windows by word and neighbour need no further shuffle
+    found = found.withColumn("c", F.sum("train").over(Window.partitionBy("x")))
+    for side, name in (("before", "in"), ("after", "out")):
+        pair = Window.partitionBy("x", side)
+        found = found.withColumn(f"c_{name}", F.sum("train").over(pair)).withColumn(f"first_{name}", F.row_number().over(pair.orderBy("row")) == 1)
+    return found
+
+
+def _count_classes(c: Column) -> list[Column]:
+    """How many pairs have each of the counts up to LEAST_RELIABLE + 1, and the sum of the other counts."""
+    return [*[F.sum(F.when(c == r, 1).otherwise(0)).cast("double").alias(f"n{r}") for r in range(1, LEAST_RELIABLE + 2)], F.sum(F.when(c > LEAST_RELIABLE + 1, c).otherwise(0)).cast("double").alias("more")]
+
+
+def _history_sums(pairs: DataFrame, shared) -> DataFrame:
+    """(h, n1 ..., more, p) of the pairs of broadcast words, summed up batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                key, c = (batch.column(i).to_numpy() for i in (0, 1))
+                h, at = np.unique(key >> SHIFT, return_inverse=True)
+                sums = [np.bincount(at, c == r, len(h)) for r in range(1, LEAST_RELIABLE + 2)]
+                sums += [np.bincount(at, np.where(c > LEAST_RELIABLE + 1, c, 0), len(h)), np.bincount(at, words.p[key & (1 << SHIFT) - 1], len(h))]
+                yield pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, sums)], ["h", *_COUNTS, "more", "p"])
+
+    kinds = ", ".join(f"{c} double" for c in [*_COUNTS, "more", "p"])
+    return pairs.where("first AND c > 0").select("key", "c").mapInArrow(run, f"h long, {kinds}")
+
+
+class KatzScores:
+    """The tables of a corpus whose rows with a true mark are learnt from, and the scores of all its rows."""
+
+    def __init__(self, docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", head: int | None = None, front: int | None = None):
+        self.spark, self.id_col = docs.sparkSession, id_col
+        read = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
+        once = read.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").isEmpty()
+        whole = isinstance(read.schema["id"].dataType, IntegralType)
+        self.read = read.withColumn("row", F.col("id").cast("long") if once and whole else F.xxhash64("id", "text"))
+        self.words = count_words(read.where("train").select("text"), HEAD if head is None else head, FRONT if front is None else front)
+        shared = self.spark.sparkContext.broadcast(self.words)
+        tokens = self.read.select("row", "train", "text")
+        size = self.words.tokens
+        self.pairs = stored(pair_table(tokens, shared, max(LEAST_BUCKETS, -(-size // BUCKET_TOKENS))), "pairs", compression="zstd")
+        self.rare = stored(rare_table(tokens, shared), "rare", compression="zstd")
+        self._weigh(shared)
+
+    def _weigh(self, shared) -> None:
+        """Sets the discounts of pairs and the factors and backoff weights of all histories: arrays for broadcast words, a table for rarer ones."""
+        c_in, c_out, words = F.col("c_in"), F.col("c_out"), self.words
+        p = F.when(F.col("c") > 0, _discounted_column(F.col("c"), words.discounts) / max(words.tokens, 1)).otherwise(words.unseen)
+        before = self.rare.where("first_in AND c_in > 0").withColumn("p", p)
+        sums = _history_sums(self.pairs, shared)
+        into = before.where(F.col("before") < RARE).groupBy(F.col("before").alias("h")).agg(*_count_classes(c_in), F.sum("p").alias("p"))
+        sums = sums.unionByName(into).groupBy("h").agg(*[F.sum(c).alias(c) for c in [*_COUNTS, "more", "p"]])
+        found = sums.toArrow()  # a row for each broadcast word
+        after = stored(self.rare.where("first_out AND c_out > 0").groupBy("x").agg(F.first("c").alias("n"), *_count_classes(c_out), F.sum("p_after").alias("p")), "after")
+        total = after.agg(*[F.sum(c) for c in _COUNTS]).first()
+        classes = {r: int(sum(found[c].to_pylist()) + (total[r - 1] or 0)) for r, c in enumerate(_COUNTS, 1)}
+        self.discounts = discounts(classes)
+        h = found["h"].to_numpy()
+        seen = {c: found[c].to_numpy() for c in [*_COUNTS, "more", "p"]}
+        kept = sum(_discounted(np.array([r]), self.discounts)[0] * seen[c] for r, c in enumerate(_COUNTS, 1)) + seen["more"]
+        factor, alpha = left_over(words.counts[h], kept, seen["p"])
+        self.factor, self.alpha = np.zeros(len(words.counts)), np.zeros(len(words.counts))
+        self.factor[h], self.alpha[h] = np.log10(factor), alpha
+        # of rarer histories: what rarer words after them have comes from those words' groups
+        extra = before.where(F.col("before") >= RARE).groupBy(F.col("before").alias("x")).agg(F.sum("p").alias("extra"))
+        kept = sum((F.col(c) * float(_discounted(np.array([r]), self.discounts)[0]) for r, c in enumerate(_COUNTS, 1)), F.col("more"))
+        self.after = after.join(extra, "x", "left").select("x", "n", kept.alias("kept"), (F.col("p") + F.coalesce("extra", F.lit(0.0))).alias("p"))
+        # pairs of the FRONT words
+        size = words.front
+        self.block = np.tile(words.log_p()[:size].astype(np.float32), (size, 1)) + self.alpha[:size, None].astype(np.float32)
+        front = self.pairs.where((F.shiftright("key", SHIFT) < size) & (F.col("key").bitwiseAND((1 << SHIFT) - 1) < size)).select("key", "c").toArrow()  # size * size at most
+        key, c = front["key"].to_numpy(), front["c"].to_numpy()
+        self.block[key >> SHIFT, key & (1 << SHIFT) - 1] = np.log10(_discounted(c, self.discounts)) + self.factor[key >> SHIFT]
+
+    def _pair_scores(self, shared) -> DataFrame:
+        """(row, score) of the pairs of broadcast words, summed up for some pairs at once."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            kept: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def __init__(self, texts: DataFrame, *, text_col: str = "text", vocabulary: int | None = None):
-        self.spark, self.whole = texts.sparkSession, vocabulary is None
-        texts = texts.select(F.col(text_col).alias("text"))
-        self._count_words(texts, HEAD if vocabulary is None else vocabulary)
-        self._count_pairs(texts)
+            def sums() -> pa.RecordBatch:
+                row, at = np.unique(np.concatenate([r for r, _ in kept]), return_inverse=True)
+                out = pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.bincount(at, np.concatenate([s for _, s in kept])))], ["row", "score"])
+                kept.clear()
+                return out
 
-    def _count_words(self, texts: DataFrame, vocabulary: int) -> None:
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for _, _, rows in slices(batch.column(0), CHUNK):
-                    keys, n = np.unique(word_keys(rows)[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "c"])
-
-        counted = stored(texts.mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "words")
-        total = counted.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-        self.tokens, self.distinct = total["n"] or 0, total["v"]
-        d = discounts(_count_of_counts(counted))
-        p = _discounted(F.col("c"), d) / max(self.tokens, 1)
-        self.words = counted.withColumn("p", p)
-        seen = self.words.agg(F.sum("p")).first()[0] or 0.0
-        self.unseen = 1.0 - seen
-        head = sorted((r["key"], r["c"], r["p"]) for r in self.words.where(F.col("key") != END_WORD).orderBy(F.desc("c"), "key").limit(vocabulary).collect())
-        end = self.words.where(F.col("key") == END_WORD).first()
-        self.head = np.array([k for k, _, _ in head], np.int64)
-        self.size = len(head) + 2
-        counts = np.array([c for _, c, _ in head] + [end["c"] if end else 0, 0], float)
-        self.p1 = np.array([x for _, _, x in head] + [end["p"] if end else 0.0, 0.0])
-        self.p1[-1] = self.unseen if self.whole else max(1.0 - self.p1.sum(), self.unseen)
-        self.base_least = -np.log10(self.tokens + 0.5 * (self.distinct + 1))
-        self.base = np.log10(counts + 0.5) + self.base_least
-        self.known = counts > 0
-        # place in the dense block, or -1, of each class
-        most = np.argsort(-counts[:-1], kind="stable")[:FRONT]
-        self.front = np.full(self.size, -1, np.int32)
-        self.front[most] = np.arange(len(most))
-
-    def classes(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class of each token, class of the token before)."""
-        out = np.full(len(keys), self.size - 1, np.int64)
-        if len(self.head):
-            at = np.searchsorted(self.head, keys)
-            at[at == len(self.head)] = 0
-            hit = self.head[at] == keys
-            out[hit] = at[hit]
-        ends = np.cumsum(n) - 1
-        out[ends] = self.size - 2
-        return out, np.r_[self.size - 2, out[:-1]]
-
-    def numbers(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """As classes, but with their keys in place of the class for rarer words if all pairs are counted."""
-        word, before = self.classes(keys, n)
-        if self.whole:
-            word = np.where(word == self.size - 1, keys, word)
-            before = np.r_[self.size - 2, word[:-1]]
-        return word, before
-
-    def _count_pairs(self, texts: DataFrame) -> None:
-        self.backoff = np.zeros(self.size)
-        shared = self.spark.sparkContext.broadcast(self._arrays())
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = shared.value
-            for batch in batches:
-                for _, _, rows in slices(batch.column(0), CHUNK):
-                    word, before = KatzModel.numbers(model, *word_keys(rows))
-                    order = np.lexsort((word, before))
-                    word, before = word[order], before[order]
-                    at = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (before[1:] != before[:-1])])
-                    yield pa.RecordBatch.from_arrays([pa.array(before[at]), pa.array(word[at]), pa.array(np.diff(np.r_[at, len(word)]))], ["before", "word", "c"])
-
-        pairs = stored(texts.mapInArrow(count, "before long, word long, c long").groupBy("before", "word").agg(F.sum("c").alias("c")), "pairs")
-        d = discounts(_count_of_counts(pairs))
-        kept = _discounted(F.col("c"), d)
-        rarer = F.col("word") >= self.size
-        lower = F.broadcast(self.spark.createDataFrame([(i, float(p), int(self.front[i])) for i, p in enumerate(self.p1)], "word long, p1 double, front_word int"))  # a row for each class
-        split = pairs.where(~rarer).join(lower, "word")
-        if self.whole:
-            p1 = self.words.select(F.col("key").alias("word"), F.col("p").alias("p1"), F.lit(-1).alias("front_word"))
-            split = stored(split.unionByName(pairs.where(rarer).join(p1, "word")), "split")
-        after = split.groupBy("before").agg(F.sum("c").alias("n"), F.sum(kept).alias("kept"), F.sum("p1").alias("p1"), F.count(F.lit(1)).alias("seen"))
-        scale = np.ones(self.size)
-        total = np.ones(self.size)
-        for r in after.where(F.col("before") < self.size).collect():
-            h, left = r["before"], 1 - r["p1"]
-            total[h] = r["n"]
-            if (r["seen"] == self.size and not self.whole) or left < 1e-12:  # nothing is unseen after it
-                scale[h] = r["n"] / r["kept"]
-            else:
-                if r["kept"] >= r["n"] * (1 - 1e-12):  # only reliable counts: the unseen share one further count
-                    scale[h] = r["n"] / (r["n"] + 1)
-                self.backoff[h] = np.log10((1 - scale[h] * r["kept"] / r["n"]) / left)
-        rows = [(i, float(scale[i] / total[i]), float(self.backoff[i]), int(self.front[i])) for i in range(self.size)]
-        of = F.broadcast(self.spark.createDataFrame(rows, "before long, factor double, backoff double, front_before int"))  # a row for each class
-        every = split.where(F.col("before") < self.size).join(of, "before")
-        if self.whole:
-            # the same for rarer histories, as a table
-            none, reliable = F.col("p1") > 1 - 1e-12, F.col("kept") >= F.col("n") * (1 - 1e-12)
-            factor = F.when(none, 1 / F.col("kept")).when(reliable, 1 / (F.col("n") + 1)).otherwise(1 / F.col("n"))
-            left = F.when(none, F.lit(0.0)).otherwise(F.log10((1 - F.col("factor") * F.col("kept")) / (1 - F.col("p1"))))
-            table_of = after.where(F.col("before") >= self.size).withColumn("factor", factor).select("before", "factor", left.alias("backoff"), F.lit(-1).alias("front_before"))
-            table_of = stored(table_of, "after")
-            self.after = table_of.select(F.col("before").alias("key"), "backoff")
-            every = every.unionByName(split.where(F.col("before") >= self.size).join(table_of, "before"))
-        delta = F.log10(kept * F.col("factor")) - F.col("backoff") - F.log10("p1")
-        every = every.withColumn("delta", delta.cast("float"))
-        dense = (F.col("front_before") >= 0) & (F.col("front_word") >= 0)
-        size = self.size
-
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                key, c, row, k = (batch.column(i).to_numpy() for i in range(4))
+                h, w = key >> SHIFT, key & (1 << SHIFT) - 1
+                with np.errstate(divide="ignore"):
+                    score = np.where(c > 0, np.log10(_discounted(c, m["discounts"])) + m["factor"][h], m["alpha"][h] + m["log_p"][w])
+                keep = (h >= m["front"]) | (w >= m["front"])
+                kept.append((row[keep], (score * k)[keep]))
+                if sum(len(r) for r, _ in kept) >= 1_000_000:
+                    yield sums()
+            if kept:
+                yield sums()
+
+        return self.pairs.select("key", "c", "row", "k").mapInArrow(run, "row long, score double")
+
+    def _rare_scores(self, shared) -> DataFrame:
+        """(row, known, base, score) of the rarer words and the pairs that they're in."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
             for batch in batches:
-                before, word = (batch.column(i).to_numpy() for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(pair_keys(before, word, size)), batch.column(2)], ["key", "delta"])
-
-        self.pairs = every.where(~dense).select("before", "word", "delta").mapInArrow(keyed, "key long, delta float")
-        block = every.where(dense).select("front_before", "front_word", "delta").toArrow()  # FRONT * FRONT rows at most
-        self.block = np.zeros((max(FRONT, 1), max(FRONT, 1)), np.float32)
-        self.block[block["front_before"].to_numpy(), block["front_word"].to_numpy()] = block["delta"].to_numpy()
-
-    def _arrays(self) -> KatzModel:
-        """The model without its tables, for the workers."""
-        out = object.__new__(KatzModel)
-        out.__dict__ = {k: v for k, v in self.__dict__.items() if k not in ("spark", "words", "pairs", "after")}
-        return out
-
-    def corrections(self) -> DataFrame:
-        """(key, known, base, score): what a seen pair or a known rarer word, also as the history of the next, adds to the sums over the broadcast words."""
-        rare = self.words.where(F.col("key") != END_WORD)
-        if len(self.head):
-            head = F.broadcast(self.spark.createDataFrame([(int(k),) for k in self.head], "key long"))  # a row for each broadcast word
-            rare = rare.join(head, "key", "left_anti")
-        score = F.log10(F.col("p") / (self.unseen if self.unseen > 0 else 1.0))
-        if self.whole:
-            rare = rare.join(self.after, "key")
-            score = score + F.col("backoff")
-        rare = rare.select("key", F.lit(1).alias("known"), F.log10((F.col("c") + 0.5) / 0.5).alias("base"), score.cast("float").alias("score"))
-        return rare.unionByName(self.pairs.select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), F.col("delta").cast("float").alias("score")))
-
-    def score(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                x = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(batch.schema.names)}
+                inner, outer = x["before"] < RARE, x["after"] < RARE
+                before, after = np.where(inner, x["before"], 0), np.where(outer, x["after"], 0)
+                factor, alpha = left_over(x["n"], x["kept"], x["p"])
+                with np.errstate(divide="ignore"):
+                    p = np.log10(np.where(x["c"] > 0, _discounted(x["c"], m["word_discounts"]) / max(m["tokens"], 1), m["unseen"] if m["unseen"] > 0 else 1.0))
+                    seen_in, seen_out = (np.log10(_discounted(x[c], m["discounts"])) for c in ("c_in", "c_out"))
+                # a pair of two rarer words: what is known of the history is added in the history's group, the rest here
+                score = np.where(x["c_in"] > 0, np.where(inner, seen_in + m["factor"][before], 0.0), np.where(inner, m["alpha"][before], 0.0) + p)
+                score = score + np.where(x["c_out"] > 0, seen_out + np.log10(factor), np.where(x["n"] > 0, alpha, 0.0) + np.where(outer, m["log_p"][after], 0.0))
+                yield pa.RecordBatch.from_arrays([pa.array(x["row"]), pa.array((x["c"] > 0).astype(np.int64)), pa.array(np.log10(x["c"] + 0.5) + m["base_least"]), pa.array(score)], ["row", "known", "base", "score"])
+
+        zero = [F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("n", "kept", "p")]
+        every = self.rare.select("x", "before", "after", "row", "c", "c_in", "c_out").join(self.after, "x", "left").select("before", "after", "row", "c", "c_in", "c_out", *zero)
+        return every.mapInArrow(run, "row long, known long, base double, score double")
+
+    def scores(self) -> DataFrame:
         """(id, n_tokens, n_known, base_score, score) for every row."""
-        read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        once = read.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").isEmpty()
-        read = read.select((F.col("id").cast("long") if once else F.xxhash64("id", "text")).alias("row"), "id", "text")
-        shared = self.spark.sparkContext.broadcast(self._arrays())
-
-        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            with np.errstate(divide="ignore"):
-                p1 = np.log10(m.p1)
-            p1[-1] = np.log10(m.unseen if m.unseen > 0 else 1.0)
+        w = self.words
+        arrays = {"discounts": self.discounts, "word_discounts": w.discounts, "factor": self.factor, "alpha": self.alpha, "log_p": w.log_p(), "front": w.front, "tokens": w.tokens, "unseen": w.unseen, "base_least": w.base_least}
+        shared = self.spark.sparkContext.broadcast(arrays)
+        local = self.spark.sparkContext.broadcast((w, self.block))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, block = local.value
+            base = np.log10(words.counts + 0.5) + words.base_least
             for batch in batches:
-                for a, b, rows in slices(batch.column(2)):
-                    keys, n = word_keys(rows)
-                    word, before = m.classes(keys, n)
+                for a, b, texts in slices(batch.column(2)):
+                    word, before, n = words.numbers(texts)
                     at = np.r_[0, np.cumsum(n)[:-1]]
-                    p = np.where(np.isfinite(x := p1[word] + m.backoff[before]), x, 0.0)
-                    here, there = m.front[word], m.front[before]
-                    p += np.where((here >= 0) & (there >= 0), m.block[there, here], 0)
-                    sums = [np.add.reduceat(x, at) for x in (m.known[word].astype(np.int64), m.base[word], p)]
+                    number = np.where(word < RARE, word, 0)
+                    front = (word < words.front) & (before < words.front)
+                    known = (word < RARE) & (words.counts[number] > 0)
+                    sums = known.astype(np.int64), np.where(word < RARE, base[number], 0.0), np.zeros(len(word))
+                    sums[2][front] = block[before[front], word[front]]
                     part = batch.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), *map(pa.array, sums)], ["row", "id", "n_tokens", "known", "base", "score"])
-
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            for batch in batches:
-                for a, b, texts in slices(batch.column(1), CHUNK):
-                    ids = batch.column(0).to_numpy()[a:b]
-                    for base, some in _near_ids(ids):
-                        yield _keyed(m, base, ids[some], [texts[i] for i in some])
-
-        id_type = read.schema["id"].dataType.simpleString()
-        sums = read.mapInArrow(local, f"row long, id {id_type}, n_tokens long, known long, base double, score double")
-        found = read.select("row", "text").mapInArrow(keyed, "key long, `from` long, row int, rows array<int>").join(self.corrections(), "key")
-        more = found.select("from", F.explode(F.coalesce("rows", F.array("row"))).alias("row"), "known", "base", "score").withColumn("row", F.col("from") + F.col("row")).groupBy("row").agg(F.sum("known").cast("long").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
-        more = more.select("row", F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("long").alias("n_tokens"), "known", "base", "score")
-        total = sums.unionByName(more).groupBy("row").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.count("n_tokens").alias("copies"), *[F.sum(c).alias(c) for c in ("known", "base", "score")])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), *[pa.array(np.add.reduceat(x, at)) for x in sums]], ["row", "id", "n_tokens", "known", "base", "score"])
+
+        id_type = self.read.schema["id"].dataType.simpleString()
+        sums = self.read.select("row", "id", "text").mapInArrow(run, f"row long, id {id_type}, n_tokens long, known long, base double, score double")
+        none = [F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("long").alias("n_tokens")]
+        pairs = self._pair_scores(shared).select("row", *none, F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "score")
+        rare = self._rare_scores(shared).select("row", *none, "known", "base", "score")
+        every = sums.unionByName(pairs).unionByName(rare)
+        total = every.groupBy("row").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.count("n_tokens").alias("copies"), *[F.sum(c).alias(c) for c in ("known", "base", "score")])
         # equal rows have one sum over all of them, of which each has its part
         total = total.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        return total.select(F.col("id").alias(id_col), "n_tokens", F.expr("known div copies").alias("n_known"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
-
-
-def _near_ids(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(least id, places) of sets of ids that differ by less than 2^31, so that four bytes tell them apart."""
-    order = np.argsort(ids, kind="stable")
-    start = 0
-    while start < len(order):
-        base = int(ids[order[start]])
-        end = start + int(np.searchsorted(ids[order[start:]], min(base + (1 << 31), (1 << 63) - 1), "left"))
-        end = max(end, start + 1)
-        yield base, order[start:end]
-        start = end
-
-
-def _keyed(model: KatzModel, base: int, ids: np.ndarray, texts: list[str | None]) -> pa.RecordBatch:
-    """A row for each pair, and each word that isn't broadcast, of some texts, with the rows that it occurs in."""
-    keys, n = word_keys(texts)
-    word, before = model.classes(keys, n)
-    owner = np.repeat((ids - base).astype(np.int32), n)
-    rare, joined = word == model.size - 1, (model.front[word] < 0) | (model.front[before] < 0)
-    second, first = model.numbers(keys, n)
-    key = np.concatenate([pair_keys(first[joined], second[joined], model.size), keys[rare]])
-    order = np.argsort(key, kind="stable")
-    key, owner = key[order], np.concatenate([owner[joined], owner[rare]])[order]
-    if not len(key):
-        return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))], ["key", "from", "row", "rows"])
-    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    n = np.diff(np.r_[at, len(key)])
-    # most keys of a chunk have one row, which takes less room than a list of one
-    ends = np.r_[0, np.cumsum(np.where(n > 1, n, 0))].astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.r_[n == 1, False]), pa.array(owner[np.repeat(n > 1, n)]))
-    return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(np.full(len(at), base)), pa.array(owner[at], mask=n > 1), lists], ["key", "from", "row", "rows"])
+        return total.select(F.col("id").alias(self.id_col), "n_tokens", F.expr("known div copies").alias("n_known"), (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
     apart = F.coalesce(remainder(F.col("doc_id"), 5) == 1, F.lit(False))
-    model = KatzModel(docs.where(~apart))
-    scored = model.score(docs)
-    return scored.select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    found = KatzScores(table(spark, sf_dir, "documents"), ~apart)
+    return found.scores().select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", F.lit(found.words.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 QUERIES = {"op7_lm_scores": op7_lm_scores}

@@ -69,7 +69,7 @@ def katz(training, texts, vocabulary):
     cut = lambda c, d: d[c - 1] * c if c <= len(d) else c
     p1 = {w: cut(c, d1) / total for w, c in words.items()}
     unseen = 1 - sum(p1.values())
-    by_count = sorted((w for w in words if w is not None), key=lambda w: (-words[w], (K.xxhash.xxh3_64_intdigest(w) >> 2) | 1 << 62))
+    by_count = sorted((w for w in words if w is not None), key=lambda w: (-words[w], w))
     head = set(by_count[:vocabulary])
     of = lambda w: w if w is None or w in head else "rare"
     class_p = {w: p1[w] for w in head | {None}}
@@ -99,32 +99,65 @@ def katz(training, texts, vocabulary):
     return words, p, [(len(tokens(t)), sum(x in words for x in tokens(t)), base(t), score(t)) for t in texts]
 
 
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(K, "LEAST_BUCKETS", 3)
+
+
 TRAINING = ["a b a b c", "a b d A", "c a b", "e f a b c c", "a a b", None, "", "a b c d e f g h", "a b " * 12, "h g f x y z", "a c"]
 
 
-@pytest.mark.parametrize(("vocabulary", "front"), [(1, 2048), (3, 2), (100, 0), (100, 3), (100, 2048)])
-def test_katz_like_the_recursion(spark, monkeypatch, vocabulary, front):
-    monkeypatch.setattr(K, "FRONT", front)
-    texts = [*TRAINING, "q", "q q a b zz", "b a", "g h i j", "a b c"]
-    model = K.KatzModel(frame(spark, TRAINING), vocabulary=vocabulary)
-    words, p, want = katz(TRAINING, texts, vocabulary)
-    got = {r.doc_id: r for r in model.score(frame(spark, texts)).collect()}
-    for i, (n, known, base, score) in enumerate(want):
-        assert (got[i].n_tokens, got[i].n_known) == (n, known)
-        assert got[i].base_score == pytest.approx(base, abs=1e-9) and got[i].score == pytest.approx(score, abs=1e-5)
+def scored(spark, training, texts, **sizes):
+    """The rows of texts, whose ids follow those of the training texts."""
+    every = [(i, t, i < len(training)) for i, t in enumerate([*training, *texts])]
+    docs = spark.createDataFrame(every, "doc_id long, text string, mark boolean").selectExpr("*", "1 AS row", "2 AS key")
+    rows = {r.doc_id - len(training): r for r in K.KatzScores(docs, K.F.col("mark"), **sizes).scores().collect()}
+    assert len(rows) == len(every)
+    return [rows[i] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("sizes", [{"head": 0, "front": 0}, {"head": 1, "front": 2048}, {"head": 3, "front": 2}, {"head": 5, "front": 0}, {"head": 100, "front": 3}, {}])
+def test_katz_like_the_recursion(spark, sizes):
+    texts = [*TRAINING, "q", "q q a b zz", "b a", "g h i j", "a b c", "x y z", "z y x", "f g zz h", "y y y"]
+    words, p, want = katz(TRAINING, texts, 1_000)
+    for (n, known, base, score), r in zip(want, scored(spark, TRAINING, texts, **sizes), strict=True):
+        assert (r.n_tokens, r.n_known) == (n, known)
+        assert r.base_score == pytest.approx(base, abs=1e-9) and r.score == pytest.approx(score, abs=1e-5)
     for h in (None, b"a", b"c", b"x", b"never"):
         assert sum(p(h, w) for w in words) + p(h, b"never seen") == pytest.approx(1, abs=1e-9)
 
 
+def test_katz_on_real_texts(spark, texts):
+    training, others = texts[::2], texts[1::2]
+    want = katz(training, others, 1_000_000)[2]
+    for head in (50, 1_000_000):
+        for (n, known, base, score), r in zip(want, scored(spark, training, others, head=head, front=20), strict=True):
+            assert (r.n_tokens, r.n_known) == (n, known)
+            assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-5)
+
+
+def test_word_keys(monkeypatch):
+    texts = [None, "", " a  B\ta\n", "x" * 300 + " y", "b", "é É", "a" * 99 + " " + "a" * 100]
+    keys, n = K.word_keys(texts)
+    assert n.tolist() == [1, 1, 4, 3, 2, 3, 3]
+    assert keys[2] == keys[4] and keys[3] == keys[9] and len(set(keys.tolist())) == 9
+    monkeypatch.setattr(K, "PIECE", 64)
+    K._powers.cache_clear()
+    again, m = K.word_keys(texts)
+    K._powers.cache_clear()
+    assert m.tolist() == n.tolist() and len(set(again.tolist())) == 9 and again[2] == again[4] == keys[2]
+
+
 def test_katz_odd_tables(spark):
-    nothing = K.KatzModel(frame(spark, []))
-    assert [(r.n_tokens, r.n_known, r.base_score, r.score) for r in nothing.score(frame(spark, ["a b"])).collect()] == [(3, 0, 0.0, 0.0)]
-    model = K.KatzModel(frame(spark, TRAINING))
-    rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "a b"), (2, None), ((1 << 62), "a"), (-5, "a")], "doc_id long, text string")
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.score, 5)) for r in model.score(rows).collect())
-    one = {r.doc_id: round(r.score, 5) for r in model.score(frame(spark, ["a b", "c", None, "a"])).collect()}
-    assert got == sorted([(False, 1, 3, one[0]), (False, 1, 3, one[0]), (False, 1, 2, one[1]), (True, 0, 3, one[0]), (False, 2, 1, one[2]), (False, 1 << 62, 2, one[3]), (False, -5, 2, one[3])])
-    assert model.score(rows.limit(0)).count() == 0
+    assert [(r.n_tokens, r.n_known, r.base_score, r.score) for r in scored(spark, [], ["a b"])] == [(3, 0, 0.0, 0.0)]
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "a b"), (2, None), ((1 << 62), "a"), (-5, "a")]
+    one = [round(r.score, 5) for r in scored(spark, TRAINING, ["a b", "c", None, "a"])]
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame([(i, t, False) for i, t in rows] + [(1000 + i, t, True) for i, t in enumerate(TRAINING)], "doc_id long, text string, mark boolean").selectExpr(f"CAST(doc_id AS {kind}) doc_id", "text", "mark")
+        model = K.KatzScores(docs, K.F.col("mark"))
+        got = sorted((r.doc_id is None, int(r.doc_id or 0), r.n_tokens, round(r.score, 5)) for r in model.scores().collect() if not 1000 <= int(r.doc_id or 0) < 2000)
+        assert got == sorted([(False, 1, 3, one[0]), (False, 1, 3, one[0]), (False, 1, 2, one[1]), (True, 0, 3, one[0]), (False, 2, 1, one[2]), (False, 1 << 62, 2, one[3]), (False, -5, 2, one[3])])
+    assert K.KatzScores(docs.limit(0), K.F.col("mark")).scores().count() == 0
 
 
 def test_lm_query(spark, data):
