@@ -38,11 +38,11 @@ from quernstone.llm.common import mixed, remainder, slices, stored, table
 
 #: Words that are broadcast at most (36 bytes each), and the most frequent ones of them, whose pairs are a block of
 #: FRONT * FRONT * 4 bytes = 16 MB; neither bounds a count or changes a score.
-HEAD, FRONT = 1 << 20, 2_048
+HEAD, FRONT = 1 << 19, 2_048
 #: Counts up to this are discounted.
 LEAST_RELIABLE = 5
 #: Bytes of texts whose n-grams a task sums up at once, and of them that are hashed at once.
-CHUNK, PIECE = 16_000_000, 1_000_000
+CHUNK, PIECE = 8_000_000, 1_000_000
 #: Tokens for each bucket of pairs, which a task gathers at once.
 BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 256
 #: Keys of words have this bit; numbers of broadcast words are below 2^SHIFT.
@@ -285,6 +285,7 @@ class KatzScores:
         size = self.words.tokens
         self.pairs = stored(pair_table(tokens, shared, max(LEAST_BUCKETS, -(-size // BUCKET_TOKENS))), "pairs", compression="zstd")
         self.rare = stored(rare_table(tokens, shared), "rare", compression="zstd")
+        self.shared = shared
         self._weigh(shared)
 
     def _weigh(self, shared) -> None:
@@ -295,10 +296,11 @@ class KatzScores:
         sums = _history_sums(self.pairs, shared)
         into = before.where(F.col("before") < RARE).groupBy(F.col("before").alias("h")).agg(*_count_classes(c_in), F.sum("p").alias("p"))
         sums = sums.unionByName(into).groupBy("h").agg(*[F.sum(c).alias(c) for c in [*_COUNTS, "more", "p"]])
+        sums = sums.select(F.col("h").cast("int").alias("h"), *[F.col(c).cast("int").alias(c) for c in _COUNTS], "more", "p")
         found = sums.toArrow()  # a row for each broadcast word
         after = stored(self.rare.where("first_out AND c_out > 0").groupBy("x").agg(F.first("c").alias("n"), *_count_classes(c_out), F.sum("p_after").alias("p")), "after")
         total = after.agg(*[F.sum(c) for c in _COUNTS]).first()
-        classes = {r: int(sum(found[c].to_pylist()) + (total[r - 1] or 0)) for r, c in enumerate(_COUNTS, 1)}
+        classes = {r: int(found[c].to_numpy().sum(dtype=np.int64) + (total[r - 1] or 0)) for r, c in enumerate(_COUNTS, 1)}
         self.discounts = discounts(classes)
         h = found["h"].to_numpy()
         seen = {c: found[c].to_numpy() for c in [*_COUNTS, "more", "p"]}
@@ -306,16 +308,18 @@ class KatzScores:
         factor, alpha = left_over(words.counts[h], kept, seen["p"])
         self.factor, self.alpha = np.zeros(len(words.counts)), np.zeros(len(words.counts))
         self.factor[h], self.alpha[h] = np.log10(factor), alpha
+        del found, seen, kept, factor, alpha
         # of rarer histories: what rarer words after them have comes from those words' groups
         extra = before.where(F.col("before") >= RARE).groupBy(F.col("before").alias("x")).agg(F.sum("p").alias("extra"))
         kept = sum((F.col(c) * float(_discounted(np.array([r]), self.discounts)[0]) for r, c in enumerate(_COUNTS, 1)), F.col("more"))
         self.after = after.join(extra, "x", "left").select("x", "n", kept.alias("kept"), (F.col("p") + F.coalesce("extra", F.lit(0.0))).alias("p"))
         # pairs of the FRONT words
         size = words.front
-        self.block = np.tile(words.log_p()[:size].astype(np.float32), (size, 1)) + self.alpha[:size, None].astype(np.float32)
-        front = self.pairs.where((F.shiftright("key", SHIFT) < size) & (F.col("key").bitwiseAND((1 << SHIFT) - 1) < size)).select("key", "c").toArrow()  # size * size at most
-        key, c = front["key"].to_numpy(), front["c"].to_numpy()
-        self.block[key >> SHIFT, key & (1 << SHIFT) - 1] = np.log10(_discounted(c, self.discounts)) + self.factor[key >> SHIFT]
+        self.block = words.log_p()[:size].astype(np.float32) + self.alpha[:size, None].astype(np.float32)
+        h, w = F.shiftright("key", SHIFT), F.col("key").bitwiseAND((1 << SHIFT) - 1)
+        front = self.pairs.where((h < size) & (w < size)).select((h * size + w).cast("int").alias("at"), "c").toArrow()  # size * size at most
+        at, score = front["at"].to_numpy(), np.log10(_discounted(front["c"].to_numpy(), self.discounts)).astype(np.float32)
+        self.block.ravel()[at] = score + self.factor[at // size].astype(np.float32) if size else 0
 
     def _pair_scores(self, shared) -> DataFrame:
         """(row, score) of the pairs of broadcast words, summed up for some pairs at once."""
@@ -371,10 +375,10 @@ class KatzScores:
         w = self.words
         arrays = {"discounts": self.discounts, "word_discounts": w.discounts, "factor": self.factor, "alpha": self.alpha, "log_p": w.log_p(), "front": w.front, "tokens": w.tokens, "unseen": w.unseen, "base_least": w.base_least}
         shared = self.spark.sparkContext.broadcast(arrays)
-        local = self.spark.sparkContext.broadcast((w, self.block))
+        counted, pairs_of_front = self.shared, self.spark.sparkContext.broadcast(self.block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, block = local.value
+            words, block = counted.value, pairs_of_front.value
             base = np.log10(words.counts + 0.5) + words.base_least
             for batch in batches:
                 for a, b, texts in slices(batch.column(2)):

@@ -9,16 +9,26 @@ Merging all pairs of a rank at once equals merging one after the other unless th
 part in a merge that is due earlier or at the same time. Such pieces are found when the vocabulary is read, and of them only
 the leftmost pair of a word is merged in a round.
 
+A round over a word costs its length, so the words of more than LONG characters (unspaced scripts, base64) have rounds of their
+own, over linked symbols: the places of each rank are kept, and a round takes those of the least rank alone.
+
+Decoding goes from ids to the bytes of their pieces, which a worker keeps for each sequence of ids that it has met.
+
 Defined results
   null or empty text: no ids, an empty decoded text.
   characters outside the vocabulary: their bytes' pieces, or the unknown piece where the vocabulary has no bytes.
+  very long texts and words: whole; the work grows nearly in proportion to their length.
+  ties of rank go to the leftmost pair, as in the library. Null ids and ids of any type are kept as they are.
   repeated rows: one result row each; an empty table gives an empty result; the columns besides the id and the text are not
-  read.
+  read, whatever their names.
+  a vocabulary with another normalisation than none, without the space put in front, or with pieces that have a space mark
+  after another character raises ValueError.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -35,6 +45,10 @@ _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NONE = np.iinfo(np.int32).max
 #: Words whose pieces a worker keeps; at this number it starts afresh. Longer words aren't kept.
 KEPT_WORDS, KEPT_LENGTH = 250_000, 48
+#: Longer words have rounds of their own.
+LONG = 512
+#: Texts that tell whether the library treats a vocabulary's texts as this module does.
+PROBES = [" two  spaces ", "\u00a0wide\u3000space", "ﬁ½Ａ①", "e\u0301 é", "tab\tline\r\n", "\u200bzero\x00", "▁mark ▁ ▁", "Straße ČÁ"]
 
 
 class PieceCodec:
@@ -82,7 +96,10 @@ class PieceCodec:
             early = due[part] >= due[np.array(whole)]
             self.single_step[part[early & (due[part] >= 0)]] = True
         self.kept: dict[str, str] = {}
-        self.odd: dict[str, bytes] = {}
+        self.bytes_of: dict[str, bytes] = {}
+        inner = [x for x in ids if SPACE in x.lstrip(SPACE)]
+        if inner or any(self.encode(x) != model.encode(x) or self.decode(self.encode(x)) != model.decode(model.encode(x)) for x in PROBES):
+            raise ValueError("this vocabulary normalises texts, or cuts them into words, in a way that isn't carried over")
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of each pair; _NONE where there is no such piece."""
@@ -139,16 +156,85 @@ class PieceCodec:
         order = np.lexsort((mark, word))
         return sym[order], word[order], mark[order]
 
+    def _merge_linked(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As _merge, for long words: rounds over linked symbols, each of which looks at the places of one rank alone."""
+        n = len(sym)
+        after = np.where(np.r_[word[1:] == word[:-1], False], np.arange(1, n + 1), -1)
+        before = np.where(np.r_[False, word[1:] == word[:-1]], np.arange(-1, n - 1), -1)
+        rank, new = np.full(n, _NONE, np.int32), np.full(n, -1, np.int32)
+        due: list[int] = []
+        places: dict[int, list[np.ndarray]] = {}
+
+        def look(at: np.ndarray) -> None:
+            rank[at] = _NONE
+            at = at[after[at] >= 0]
+            rank[at], new[at] = self._pairs(sym[at], sym[after[at]])
+            at = at[rank[at] != _NONE]
+            if not len(at):
+                return
+            at = at[np.argsort(rank[at], kind="stable")]
+            cuts = np.flatnonzero(np.diff(rank[at])) + 1
+            for some in np.split(at, cuts):
+                r = int(rank[some[0]])
+                if r not in places:
+                    heapq.heappush(due, r)
+                places.setdefault(r, []).append(some)
+
+        look(np.arange(n))
+        while due:
+            r = heapq.heappop(due)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # of pairs that overlap every other one, from the left
+            run = np.r_[True, after[at[:-1]] != at[1:]]
+            begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+            every, at = at, at[(np.arange(len(at)) - begin) % 2 == 0]
+            if (single := self.single_step[new[at]]).any():
+                # where the new piece has a pair that is due at once, what lies beyond in the word has to wait
+                left, right = before[at], after[after[at]]
+                piece = new[at]
+                early = (left >= 0) & (self._pairs(sym[left], piece)[0] <= r) | (right >= 0) & (self._pairs(piece, sym[right])[0] <= r)
+                early[1:] |= (at[1:] == right[:-1]) & (self._pairs(piece[:-1], piece[1:])[0] <= r)
+                early &= single
+                if early.any():
+                    waits = np.cumsum(early) - early
+                    head = np.r_[True, word[at[1:]] != word[at[:-1]]]
+                    at = at[waits == np.maximum.accumulate(np.where(head, waits, 0))]
+                    if len(rest := np.setdiff1d(every, at, assume_unique=True)):
+                        heapq.heappush(due, r)
+                        places[r] = [rest]
+            gone = after[at]
+            sym[at], rank[gone] = new[at], _NONE
+            after[at] = after[gone]
+            follow = after[at] >= 0
+            before[after[at[follow]]] = at[follow]
+            after[gone] = -2
+            left = before[at]
+            look(np.unique(np.concatenate([at, left[left >= 0]])))
+        alive = np.flatnonzero(after != -2)
+        return sym[alive], word[alive], alive
+
     def encode_words(self, words: Sequence[str]) -> list[list[int]]:
         """The ids of each word; a word is a run of space marks, then other characters."""
         if not words:
             return []
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        word = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
+        length = np.array([len(w) for w in words])
+        word = np.repeat(np.arange(len(words), dtype=np.int32), length)
         at = np.searchsorted(self.code_points, code)
         at[at == len(self.code_points)] = 0
         sym = np.where(self.code_points[at] == code, self.code_symbols[at], -1).astype(np.int32)
-        sym, word, mark = self._merge(sym, word, np.arange(len(code)))
+        long = (length > LONG)[word]
+        places = np.flatnonzero(~long)
+        sym_short, word_short, mark_short = self._merge(sym[~long], word[~long], places)
+        if long.any():
+            places = np.flatnonzero(long)
+            sym_long, word_long, mark_long = self._merge_linked(sym[long], word[long])
+            sym, word, mark = np.r_[sym_short, sym_long], np.r_[word_short, word_long], np.r_[mark_short, places[mark_long]]
+        else:
+            sym, word, mark = sym_short, word_short, mark_short
         out: list[list[int]] = [[] for _ in words]
         for s, w, m in zip(sym.tolist(), word.tolist(), mark.tolist(), strict=True):
             if 0 <= s < self.size:
@@ -160,19 +246,22 @@ class PieceCodec:
         return out
 
     def learn(self, words: Sequence[str]) -> tuple[dict[str, str], dict[str, bytes]]:
-        """The ids, in decimal, of words that aren't kept, and the decoded bytes of those that decode to something else; keeps them."""
-        found, odd = {}, {}
+        """The ids, in decimal, of words that aren't kept, and the bytes that those ids stand for; keeps them."""
+        found, back = {}, {}
         for w, ids in zip(words, self.encode_words(words), strict=True):
-            found[w] = ",".join(map(str, ids))
-            decoded = b"".join([self.surface[i] for i in ids])
-            if decoded != w.replace(SPACE, " ").encode("utf-8", "replace"):
-                odd[w] = decoded
+            found[w] = text = ",".join(map(str, ids))
+            if text not in self.bytes_of and text not in back:
+                back[text] = b"".join([self.surface[i] for i in ids])
         if len(self.kept) + len(found) > KEPT_WORDS:
             self.kept.clear()
-            self.odd.clear()
-        self.kept.update(x for x in found.items() if len(x[0]) <= KEPT_LENGTH)
-        self.odd.update(x for x in odd.items() if len(x[0]) <= KEPT_LENGTH)
-        return found, odd
+            self.bytes_of.clear()
+            back = {text: b"".join([self.surface[int(i)] for i in text.split(",")]) for text in found.values()}
+        for w, text in found.items():
+            if len(w) <= KEPT_LENGTH:
+                self.kept[w] = text
+                if text in back:
+                    self.bytes_of[text] = back[text]
+        return found, back
 
     def split(self, text: str | None) -> list[str]:
         return _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -191,19 +280,16 @@ class PieceCodec:
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         split = [self.split(x) for x in texts]
         every = {w for words in split for w in words}
-        learnt, odd = self.learn(list(every - self.kept.keys()))
+        learnt, back = self.learn(list(every - self.kept.keys()))
         if gone := every - self.kept.keys() - learnt.keys():  # started afresh
             more, others = self.learn(list(gone))
-            learnt, odd = learnt | more, odd | others
-        kept = self.kept
-        for text, words in zip(texts, split, strict=True):
-            ids = ",".join([kept.get(w) or learnt[w] for w in words])
-            strange = self.odd | odd if self.odd or odd else {}
-            if strange and not strange.keys().isdisjoint(words):
-                back = self.decoded(b"".join([strange.get(w) or w.replace(SPACE, " ").encode("utf-8", "replace") for w in words]))
-            else:
-                back = (text or "").replace(SPACE, " ")
-            yield ids.count(",") + 1 if words else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest()
+            learnt, back = learnt | more, back | others
+        kept, bytes_of = self.kept, self.bytes_of
+        for words in split:
+            parts = [kept.get(w) or learnt[w] for w in words]
+            ids = ",".join(parts)
+            decoded = self.decoded(b"".join([bytes_of.get(x) or back[x] for x in parts]))
+            yield ids.count(",") + 1 if words else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest()
 
 
 @lru_cache(maxsize=2)
