@@ -322,29 +322,17 @@ class KatzScores:
         self.block.ravel()[at] = score + self.factor[at // size].astype(np.float32) if size else 0
 
     def _pair_scores(self, shared) -> DataFrame:
-        """(row, score) of the pairs of broadcast words, summed up for some pairs at once."""
+        """(row, score) of the pairs of broadcast words; sums are formed in the task before they move."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
-            kept: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def sums() -> pa.RecordBatch:
-                row, at = np.unique(np.concatenate([r for r, _ in kept]), return_inverse=True)
-                out = pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.bincount(at, np.concatenate([s for _, s in kept])))], ["row", "score"])
-                kept.clear()
-                return out
-
             for batch in batches:
                 key, c, row, k = (batch.column(i).to_numpy() for i in range(4))
                 h, w = key >> SHIFT, key & (1 << SHIFT) - 1
                 with np.errstate(divide="ignore"):
                     score = np.where(c > 0, np.log10(_discounted(c, m["discounts"])) + m["factor"][h], m["alpha"][h] + m["log_p"][w])
                 keep = (h >= m["front"]) | (w >= m["front"])
-                kept.append((row[keep], (score * k)[keep]))
-                if sum(len(r) for r, _ in kept) >= 1_000_000:
-                    yield sums()
-            if kept:
-                yield sums()
+                yield pa.RecordBatch.from_arrays([pa.array(row[keep]), pa.array((score * k)[keep])], ["row", "score"])
 
         return self.pairs.select("key", "c", "row", "k").mapInArrow(run, "row long, score double")
 
