@@ -1,24 +1,27 @@
 """Order MinHash fingerprints, in DataFrame operations alone.
 
-A text's k-mers are runs of three words. Each k-mer's hash is packed with its place into one number, so that sorting
-the numbers orders k-mers by hash and the occurrences of one k-mer by place: the second occurrence of a k-mer follows the first.
-The leading bits of the hash deal the k-mers into 64 bins; in each bin the two least occurrence-numbered k-mers are
-selected, put back into text order, and their tuple is hashed. A bin's hash thus changes both when a minimal
+A text's k-mers are runs of three words. Each occurrence of a k-mer is numbered from 0, in text order, and the k-mer is hashed with
+its number, so the occurrences of one k-mer are as many members of the set, in places of the order that have nothing to do with
+each other. The leading bits of those hashes deal the members into 64 bins, each with an order of its own; in each bin the two
+least members are selected, put back into text order, and their tuple is hashed. A bin's hash thus changes both when a minimal
 k-mer is edited and when two of them change places. Likeness is the share of bins, of those that either text fills, with equal hashes.
 
 Defined results
   null text: as empty. A text without words has the empty fingerprint; two of them are alike (1), one and another text
   are not (0). Texts of fewer than three words have one k-mer of all their words.
   equal texts have equal fingerprints; so have texts that differ in white space only.
-  places beyond 8,388,607 words count as one place, and the order of k-mers there isn't seen.
-  repeated ids: ordered by text, and each row has the following row as its next document. Null ids come last.
-  An empty table gives an empty result; the columns besides the id and the text are not read.
+  very long texts: whole. Places beyond 8,388,607 words count as one place, and the order of k-mers there isn't seen.
+  repeated ids: ordered by text, and each row has the following row as its next document; rows that share an id are put in order
+  by one task. Null ids come last. fingerprint_texts takes ids of any type; compare_with_next, which goes by their order, whole numbers.
+  ties: members of one hash (40 bits) are in text order. An empty table gives an empty result; the columns besides the id and
+  the text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from quernstone.llm.common import stored, table
 
@@ -38,6 +41,14 @@ def with_signature(df: DataFrame, text_col: str, out: str) -> DataFrame:
     heads = F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 2, F.lit(1)))
     place = lambda i: F.least(i, F.lit(_PLACES)).cast("long")
     df = df.withColumn("_k", F.sort_array(F.transform(heads, lambda x, i: F.shiftleft(F.xxhash64(x, F.get("_w", i + 1), F.get("_w", i + 2)).bitwiseAND(F.lit(_HASHES)), PLACE_BITS).bitwiseOR(place(i))))).drop("_w")
+    # sorted by hash and place, so the occurrences of a k-mer are a run in text order
+    n = F.size("_k")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    other = lambda i: F.shiftright(F.get("_k", i), PLACE_BITS) != F.shiftright(F.get("_k", i - 1), PLACE_BITS)
+    df = df.withColumn("_r", F.filter(places, lambda i: (i == 0) | other(i)))
+    member = lambda x, number: F.shiftleft(F.xxhash64(F.shiftright(x, PLACE_BITS), number).bitwiseAND(F.lit(_HASHES)), PLACE_BITS).bitwiseOR(x.bitwiseAND(F.lit(_PLACES)))
+    run = lambda start, k: F.transform(F.slice("_k", start + 1, F.coalesce(F.get("_r", k + 1), n) - start), member)
+    df = df.withColumn("_k", F.sort_array(F.flatten(F.transform("_r", run)))).drop("_r")
     df = df.withColumn("_s", F.filter("_k", lambda x, i: (i < 2) | (_bin(F.get("_k", i - 2)) != _bin(x)))).drop("_k")
 
     def tuple_hash(x: Column, i: Column) -> Column:
@@ -67,16 +78,26 @@ def fingerprint_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return with_signature(read, "text", "sig").select(F.col("id").alias(id_col), as_text(F.col("sig")).alias("fingerprint"))
 
 
-def _id_bucket(read: DataFrame, rows_per_bucket: int) -> Column:
-    """Numbers stretches of the ids in ascending order: 64 stretches of about equal numbers of rows, each cut evenly."""
-    n, cuts = read.agg(F.count(F.lit(1)), F.percentile_approx("id", [i / 64 for i in range(65)], 10_000)).first()
-    cuts = sorted(set(cuts or [0]))
-    fine = max(1, -(-n // (64 * rows_per_bucket)))
-    edges = F.array(*[F.lit(c).cast("long") for c in [*cuts, cuts[-1] + 1]])
-    k = F.greatest(F.least(F.size(F.filter(edges, lambda c: c <= F.col("id"))), F.lit(len(cuts))), F.lit(1))
-    low, high = F.get(edges, k - 1), F.get(edges, k)
-    within = F.greatest(F.least(F.floor((F.col("id") - low) / (high - low) * fine), F.lit(fine - 1)), F.lit(0))
-    return F.when(F.col("id").isNull(), F.lit(-1)).otherwise(k * fine + within).cast("long")
+#: Parts that a stretch of ids is cut into at each level.
+FAN = 64
+
+
+def _with_bucket(read: DataFrame, rows_per_bucket: int) -> DataFrame:
+    """read with the column bucket: numbers stretches of the ids in ascending order, with about rows_per_bucket rows each, cut by rank
+    however the ids are spread. A level cuts each stretch of the level before into FAN parts at most."""
+    total = max(1, -(-read.count() // rows_per_bucket))
+    levels = 1
+    while FAN**levels < total:
+        levels += 1
+    fan = next(k for k in range(1, FAN + 1) if k**levels >= total)
+    out = read.withColumn("bucket", F.lit(0).cast("long"))
+    for _ in range(levels):
+        # a row of FAN numbers for each stretch: up to a few MB
+        cuts = out.groupBy("bucket").agg(F.percentile_approx("id", [k / fan for k in range(1, fan)], 10_000).alias("cuts")) if fan > 1 else None
+        if cuts is None:
+            break
+        out = out.join(F.broadcast(stored(cuts, "cuts")), "bucket").withColumn("bucket", F.col("bucket") * fan + F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("id"))), F.lit(0))).drop("cuts")
+    return out.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.col("bucket")))
 
 
 def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 2_000) -> DataFrame:
@@ -85,8 +106,10 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Texts move once, by stretches of the ids; a stretch is in order by itself, and the first row of each stretch is handed
     to the stretch before it. So no task sees more than a stretch, at any size.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} has to be a whole number, as the next document goes by its order")
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    dealt = read.withColumn("bucket", _id_bucket(read, rows_per_bucket))
+    dealt = _with_bucket(read, rows_per_bucket)
     # first texts of the stretches: a row for each, ordered among themselves without their texts
     firsts = stored(dealt.groupBy("bucket").agg(F.max("id").alias("first_id")), "stretches")
     around = Window.orderBy(F.desc("bucket"))

@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import re
+from collections import Counter
 
 import pytest
+import xxhash
 
 from quernstone.llm import fingerprints as P
 from quernstone.llm import url_filters as U
@@ -78,6 +81,53 @@ def test_likeness_follows_edits(spark):
     assert likeness == sorted(likeness, reverse=True) and likeness[0] == 64 and len(signed[0] & signed[999]) < 64
 
 
+def chained(*values):
+    """Spark's xxhash64 of longs and, as the last of two, an int: each value's hash is the seed of the next."""
+    seed = 42
+    for v, size in values:
+        seed = xxhash.xxh64_intdigest((v % 2 ** (8 * size)).to_bytes(size, "little"), seed)
+    return seed
+
+
+def order_min_hash(text):
+    """The fingerprint by its definition, with dictionaries."""
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    seen, bins = Counter(), {}
+    for place in range(max(len(words) - 2, 1) if words else 0):
+        kmer = chained(*[(w, 8) for w in words[place : place + 3]]) % 2**40
+        member = chained((kmer, 8), (seen[kmer], 4)) % 2**40
+        seen[kmer] += 1
+        bins.setdefault(member >> 34, []).append((member, place))
+    out = ""
+    for b, members in sorted(bins.items()):
+        least = sorted(sorted(members)[:2], key=lambda m: m[1])
+        out += f"{b << 32 | chained(*[(m, 8) for m, _ in least]) % 2**32:010x}"
+    return out
+
+
+def test_fingerprints_by_hand(spark, data):
+    texts = [t for _, t in TEXTS] + [r.text for r in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()] + ["a b a b a b c a b a b", "x x x x y x x x x"]
+    rows = {r.doc_id: r.fingerprint for r in P.fingerprint_texts(spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")).collect()}
+    for i, text in enumerate(texts):
+        assert rows[f"d{i}"] == order_min_hash(text), text
+
+
+def test_next_documents_by_rank(spark, data):
+    """Ids that are spread unevenly, and repeated, in many small stretches."""
+    rng = random.Random(6)
+    ids = [*range(40), *(10**15 + k * k * k for k in range(60)), -5, 2**62, *[7] * 9]
+    texts = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(30)))) for i in ids]
+    rows = P.compare_with_next(spark.createDataFrame(texts, "doc_id long, text string"), rows_per_bucket=3).collect()
+    order = sorted(texts, key=lambda x: (-x[0], x[1]))
+    want = []
+    for (i, text), (_, other) in zip(order, order[1:] + order[:1]):
+        half = len(text) // 2
+        a, b = (re.findall(".{10}", order_min_hash(x)) for x in (text, other))
+        filled = len({x[:2] for x in a + b})
+        want.append((i, hashlib.sha256((text[: len(text) - half] + other[:half]).encode()).hexdigest(), round(len(set(a) & set(b)) / filled if filled else 1.0, 9)))
+    assert sorted((r.doc_id, r.edited_sha256, round(r.near_next, 9)) for r in rows) == sorted(want)
+
+
 def test_fingerprints_of_odd_tables(spark):
     one = spark.createDataFrame([(5, "only one here")], "doc_id long, text string")
     assert P.compare_with_next(one).first()["near_next"] == 1
