@@ -10,8 +10,8 @@ Defined results
   null url, or one without ``://``: empty host and path, no rule, the default verdict.
   several rules that fit: the longest rule string; of equal length the longer host.
   a rule listed twice: once with either verdict is one rule, and block outranks allow.
-  repeated page rows: one result row for each; an empty table gives an empty result; further columns of
-  the input are not read.
+  repeated page rows: one result row for each; an empty table gives an empty result; ids may be of any type; further columns of
+  the input are not read, whatever their names. Very long urls: whole.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import ASCII_UPPER, table
+from quernstone.llm.common import ASCII_UPPER, stored, table
 
 RULES = [
     ("org/", "allow"),
@@ -65,7 +65,7 @@ def _stacked(rules: DataFrame) -> DataFrame:
     return heads.join(outer, ["zone", "head"]).groupBy("zone", "prefix").agg(F.sort_array(F.collect_list("entry")).alias("stack"))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT_VERDICT, rows_per_zone: int = 50_000, broadcast_zones: int = 50_000) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT_VERDICT, rows_per_zone: int = 1_000, broadcast_zones: int = 50_000) -> DataFrame:
     """(id, host, path, rule, verdict) for every row of pages.
 
     rows_per_zone: a zone with more urls than this (and than 1/1000 of all) is swept in so many salted parts,
@@ -74,13 +74,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     number and joined by a shuffle beyond it.
     """
     read = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    stacks = _stacked(rules).cache()
+    stacks = stored(_stacked(rules), "stacks")
     zones = stacks.select("zone").distinct()
     targets = read.where(F.col("host") != "").select("host", "path").distinct()
     levels = targets.select("host", "path", F.explode(zones_of(F.col("host"))).alias("zone"))
     levels = levels.join(F.broadcast(zones) if zones.count() <= broadcast_zones else zones, "zone", "left_semi")
 
-    per_zone = levels.groupBy("zone").agg(F.count(F.lit(1)).alias("n")).cache()
+    per_zone = levels.groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
+    per_zone = stored(per_zone, "zones")
     total = per_zone.agg(F.sum("n")).first()[0] or 0
     most = max(rows_per_zone, total // 1000)
     hot = per_zone.where(F.col("n") > most).select("zone", F.ceil(F.col("n") / most).cast("int").alias("parts"))
