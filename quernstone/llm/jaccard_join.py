@@ -20,7 +20,10 @@ Defined results
   fewer words than a shingle has: the whole sequence is the one shingle.
   repeated rows and equal texts: linked with each other. A null id: a row of its class like any other; the component is
   the smallest id that isn't null, or null where there is none.
-  an empty table gives an empty result. Columns besides the id and the text aren't read.
+  an empty table gives an empty result. Columns besides the id and the text aren't read, whatever their names.
+  ids may be of any type that has an order; classes of ids that aren't whole numbers are told apart by 63 bits of their sets' hashes.
+  very long texts: whole; a text's shingles are held at once (8 bytes each, a few times over).
+  ties: sizes are compared in whole numbers, so 100 * intersection = percent * union is a link; of equally frequent tokens the lesser hash comes first.
 """
 
 from __future__ import annotations
@@ -32,8 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegralType
 
-from quernstone.llm.common import components, fresh, mixed, slices, stored, table
+from quernstone.llm.common import append_columns, components, fresh, mixed, slices, stored, table
 
 WORDS, PERCENT = 4, 85
 #: Sets up to SHORT tokens have all their tokens counted in the first thinning, others those whose hash is below SHARE.
@@ -82,7 +86,7 @@ def sketches(docs: DataFrame, words: int, percent: int, share: float) -> DataFra
                     sure.append(len(x) if len(x) <= SHORT else low)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), _lists(known), pa.array(sure, pa.int32())], ["id", "n", "digest", "known", "sure"])
 
-    return docs.mapInArrow(sketch, "id long, n int, digest binary, known array<long>, sure int")
+    return docs.mapInArrow(sketch, f"id {docs.schema['id'].dataType.simpleString()}, n int, digest binary, known array<long>, sure int")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -95,7 +99,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
                 digest = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), digest, _lists(found)], ["id", "digest", "tokens"])
 
-    return docs.mapInArrow(sets, "id long, digest binary, tokens array<long>")
+    return docs.mapInArrow(sets, f"id {docs.schema['id'].dataType.simpleString()}, digest binary, tokens array<long>")
 
 
 def _repeated(tokens: DataFrame) -> DataFrame:
@@ -158,12 +162,14 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, share: float = SHARE):
         self.percent, self.words = percent, words
-        self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         self.rows = stored(sketches(self.docs, words, percent, share), "sketches")
         # a class is named by its least id; where ids repeat with other texts, or are null, by a hash of its set
         classes = self.rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("size"))
         first = F.row_number().over(Window.partitionBy("least").orderBy("digest")) == 1
-        key = F.when(F.col("least").isNotNull() & first, F.col("least")).otherwise(-F.abs(F.xxhash64("digest")) - 1)
+        hashed = -F.abs(F.xxhash64("digest")) - 1
+        whole = isinstance(self.docs.schema["id"].dataType, IntegralType)
+        key = F.when(F.col("least").isNotNull() & first, F.col("least").cast("long")).otherwise(hashed) if whole else hashed
         self.classes = stored(classes.select("digest", "least", "n", "size", key.alias("key")), "classes")
         self.sets = stored(self._thinned(), "sets")
         self.prefixes = stored(_candidates_with_prefixes(self.sets, percent), "prefixes")
@@ -243,14 +249,25 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that aren't alike an earlier one's: of each component the row with the least id (of equal rows one).
-    Rows with an empty set, or a null id, stay."""
-    (mark,) = fresh(docs, "_component")
+    """The rows of docs that aren't alike an earlier one's: of each component the row with the least id. Of several rows with that id
+    and equal sets one stays, the first by a hash of all its columns. Rows with an empty set, or a null id, stay."""
+    mark, digest, order, place = fresh(docs, "_component", "_digest", "_order", "_place")
     found = jaccard_components(docs, id_col=id_col, text_col=text_col, words=words, percent=percent)
-    heads = found.where(F.col(id_col) == F.col("component_id")).where("n_shingles > 0").select(F.col(id_col).alias(mark)).distinct()
-    empty = found.where("n_shingles = 0 OR component_id IS NULL").select(F.col(id_col).alias(mark)).distinct()
+    found = found.select(F.col(id_col).alias(mark), "n_shingles", "component_id")
+    heads = found.where((F.col(mark) == F.col("component_id")) & (F.col("n_shingles") > 0)).select(mark)
+    empty = found.where("n_shingles = 0 OR component_id IS NULL").select(mark)
     keep = heads.unionByName(empty).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep[mark]), "left_semi")
+    kept = docs.join(keep, docs[id_col].eqNullSafe(keep[mark]), "left_semi")
+    if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias(mark)).where(F.col(mark) > 1).where(F.col(id_col).isNotNull()).isEmpty():
+        return kept
+
+    def digests(texts: list[str | None]) -> list[pa.Array]:
+        sets = [shingle_set(t, words) for t in texts]
+        return [pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())]
+
+    kept = append_columns(kept, text_col, digests, [(digest, BinaryType())]).withColumn(order, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+    first = F.row_number().over(Window.partitionBy(id_col, digest).orderBy(order))
+    return kept.withColumn(place, first).where((F.col(place) == 1) | F.col(digest).isNull() | F.col(id_col).isNull()).drop(digest, order, place)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,25 @@ def test_one_stays(spark):
     assert kept == {c for _, n, c in brute(rows, 5, 80)[0] if n} | {900, 901, 902}
 
 
+def test_one_of_equal_rows_stays(spark):
+    text, other = " ".join("abcdefghij"), " ".join("klmnopqrst")
+    rows = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (1, text.upper(), "y"), (1, other, "z"), (2, text, "x"), (3, "", "e"), (3, "", "e"), (None, text, "n")], "doc_id long, text string, _digest string")
+    kept = sorted((r.doc_id or 0, r.text.lower()) for r in J.one_of_each(rows, words=5, percent=80).collect())
+    assert kept == [(1, text), (1, other), (3, ""), (3, "")] and J.one_of_each(rows).columns == rows.columns
+
+
+def test_any_type_of_id_and_no_broadcast(spark, monkeypatch):
+    rows = [(i, t) for i, t in near_copies(9, 120) if i is not None]
+    want, _ = brute(rows, 4, 85)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(J, "_bounded", lambda df, rows: df)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(docs).collect())
+    assert got == sorted(want)
+    named = docs.selectExpr("lpad(doc_id, 12, '0') AS doc_id", "text", "1 AS id", "2 AS digest")
+    got = sorted((int(r.doc_id), r.n_shingles, int(r.component_id)) for r in J.jaccard_components(named).collect())
+    assert got == sorted(want)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
