@@ -12,6 +12,8 @@ Defined results
   an empty table on either side gives no matches. Columns besides ids and texts aren't read by matches; keep_clean
   keeps all of them.
   ties: of several windows for one item the one with the greater share, then the earlier one.
+  ids may be of any type. Columns besides ids and texts may have any name.
+  very long texts: whole; their words are held at once, and cosines TILE at a time.
 """
 
 from __future__ import annotations
@@ -24,14 +26,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType
 
 from quernstone.llm.common import append_columns, fresh, slices, stored, table
 
-#: Hashed terms, and rank of the latent space at most: they bound what is broadcast to TERMS * RANK * 4 bytes = 64 MB.
+#: Terms, and rank of the latent space at most: they bound the basis that is broadcast to TERMS * RANK * 4 bytes = 64 MB. Terms are the
+#: words of the benchmark; those of a benchmark with more words than TERMS share terms evenly. No other word of a document counts.
 TERMS, RANK, POWER_STEPS = 1 << 16, 256, 3
 #: Words of a window are two blocks; a longer item is cut into passages of PASSAGE words, one every half.
 BLOCK, PASSAGE, PASSAGES_AT_ONCE = 16, 64, 20_000
+#: Cosines that are computed at once: windows times passages.
+TILE = 4_000_000
 #: A term in more than this share of the documents doesn't count, unless an item has no other.
 COMMON = 0.1
 #: A candidate's cosine: the only gate before the bounds of may_match, which lose nothing.
@@ -49,8 +55,11 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def terms_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(48)).astype(np.int64)
+def terms_of(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """The term of each word, or -1; vocabulary: the sorted hashes of the benchmark's words."""
+    at = np.searchsorted(vocabulary, hashes)
+    at[at == len(vocabulary)] = 0
+    return np.where(vocabulary[at] == hashes, at % TERMS, -1)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -84,9 +93,9 @@ def passages(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 h = word_hashes(text)
                 end = h[-max(1, len(h) // 4) :].view(np.int64).tolist() if len(h) else []
                 rows += [{"item_id": item, "at": s, "words": w.view(np.int64).tolist(), "answer": end} for s, w in cut(h)]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("item_id", pa.int64()), ("at", pa.int32()), ("words", pa.list_(pa.int64())), ("answer", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("item_id", batch.schema.types[0]), ("at", pa.int32()), ("words", pa.list_(pa.int64())), ("answer", pa.list_(pa.int64()))]))
 
-    return items.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, "item_id long, at int, words array<long>, answer array<long>")
+    return items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, f"item_id {items.schema[id_col].dataType.simpleString()}, at int, words array<long>, answer array<long>")
 
 
 def _wide(rows: pa.RecordBatch, column: int) -> list[np.ndarray]:
@@ -111,32 +120,41 @@ class LatentIndex:
 
     def _weigh(self, docs: DataFrame) -> None:
         """Sets the weight of every term of the passages: 0 for other terms."""
-        terms = self.passages.select(F.explode("words").alias("w")).select(F.shiftrightunsigned("w", 48).alias("t")).distinct()
-        used = np.zeros(TERMS, bool)
-        used[[r["t"] for r in terms.collect()]] = True  # TERMS at most
-        shared = self.spark.sparkContext.broadcast(used)
+        words = self.passages.select(F.explode("words").alias("w")).distinct().toArrow()  # the benchmark's words
+        self.vocabulary = np.sort(words["w"].to_numpy().view(np.uint64))
+        if not len(self.vocabulary):
+            self.terms = np.empty(0, np.int64)
+            return
+        shared = self.spark.sparkContext.broadcast(self.vocabulary)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, n = np.zeros(TERMS, np.int64), 0
             for batch in batches:
                 n += batch.num_rows
                 for _, _, texts in slices(batch.column(0)):
-                    for text in texts:
-                        t = terms_of(word_hashes(text))
-                        found[np.unique(t[shared.value[t]])] += 1
+                    hashes = [word_hashes(x) for x in texts]
+                    t = terms_of(np.concatenate(hashes), shared.value)
+                    own = np.unique((np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) * TERMS + t)[t >= 0]) % TERMS
+                    found += np.bincount(own, minlength=TERMS)
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, found[at]])], ["t", "n"])
 
-        seen = {r["t"]: r["n"] for r in docs.mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+        seen = {r["t"]: r["n"] for r in docs.mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}  # TERMS at most
         n, df = seen.pop(-1, 0), np.zeros(TERMS)
         df[list(seen)] = list(seen.values())
+        used = np.arange(TERMS) < len(self.vocabulary)
         idf = np.where(used, np.log1p(n / (df + 1)), 0).astype(np.float32)
         common = df > COMMON * n
-        dull = F.array_distinct(F.transform("words", lambda w: F.shiftrightunsigned(w, 48)))
-        rare = F.broadcast(self.spark.createDataFrame([(int(t),) for t in np.flatnonzero(used & ~common)], "t long"))  # TERMS at most
-        every = self.passages.select("item_id", "at", F.explode(dull).alias("t"))
-        kept = every.join(every.join(rare, "t", "left_semi").select("item_id", "at").distinct(), ["item_id", "at"], "left_anti").select("t").distinct()
-        common[[r["t"] for r in kept.collect()]] = False
+        marks = self.spark.sparkContext.broadcast((self.vocabulary, common))
+
+        def dull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary, common = marks.value
+            for batch in batches:
+                terms = [np.unique(terms_of(h, vocabulary)) for h in _wide(batch, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *[t for t in terms if common[t].all()]]))], ["t"])
+
+        kept = self.passages.select("words").mapInArrow(dull, "t long").distinct()
+        common[[r["t"] for r in kept.collect()]] = False  # TERMS at most
         self.weights = np.where(common, 0, idf).astype(np.float32)
         self.terms = np.flatnonzero(self.weights)
         self.row_of = np.full(TERMS, -1, np.int32)
@@ -144,15 +162,15 @@ class LatentIndex:
 
     def _products(self, basis: np.ndarray) -> np.ndarray:
         """A' A basis, A being the matrix of the passages' weights, in one pass over them."""
-        shared = self.spark.sparkContext.broadcast((basis, self.weights, self.row_of))
+        shared = self.spark.sparkContext.broadcast((basis, self.vocabulary, self.weights, self.row_of))
         width = basis.shape[1]
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-            basis, weights, row_of = shared.value
+            basis, vocabulary, weights, row_of = shared.value
             total = np.zeros_like(basis)
             for batch in batches:
                 for h in _wide(batch, 0):
-                    rows, w = _weighed(h, weights, row_of)
+                    rows, w = _weighed(terms_of(h, vocabulary), weights, row_of)
                     total[rows] += np.outer(w, w @ basis[rows])
             at = np.flatnonzero(total.any(axis=1))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(total[at].ravel()), width).cast(pa.list_(pa.float64()))
@@ -187,18 +205,23 @@ class LatentIndex:
             rows = self.passages.where(F.pmod(F.xxhash64("item_id", "at"), F.lit(parts)) == k).orderBy("item_id", "at").collect()
             vectors, words = np.zeros((len(rows), self.basis.shape[1]), np.float32), [r["words"] for r in rows]
             for i, w in enumerate(words):
-                at, x = _weighed(np.array(w, np.int64).view(np.uint64), self.weights, self.row_of, whole=True)
+                at, x = _weighed(terms_of(np.array(w, np.int64).view(np.uint64), self.vocabulary), self.weights, self.row_of, whole=True)
                 vectors[i] = x @ self.basis[at]
             length = np.linalg.norm(vectors, axis=1)
             vectors /= np.maximum(length[:, None], 1e-12)
-            telling = [{x for x in r["answer"] if self.weights[x >> 48 & 0xFFFF] > 0} or set(r["answer"]) for r in rows]
-            yield {"items": [r["item_id"] for r in rows], "words": words, "telling": telling, "vectors": vectors, "basis": self.basis, "weights": self.weights, "row_of": self.row_of, **_bounds(words, telling)}
+            telling = []
+            for r in rows:
+                t = terms_of(np.array(r["answer"], np.int64).view(np.uint64), self.vocabulary)
+                telling.append({x for x, k in zip(r["answer"], t, strict=True) if k < 0 or self.weights[k] > 0} or set(r["answer"]))
+            yield {"items": [r["item_id"] for r in rows], "words": words, "telling": telling, "vectors": vectors, "basis": self.basis, "vocabulary": self.vocabulary, "weights": self.weights, "row_of": self.row_of, **_bounds(words, telling)}
 
     def matches(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, item_id, at, cosine, common, share): each document's items, with the first word of the best window, its
         cosine, and the length and share of the common subsequence."""
-        read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        kind = "id long, item_id long, at int, cosine float, common int, share double"
+        read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        ids, items = (df.schema[c].dataType for df, c in ((read, "id"), (self.passages, "item_id")))
+        kind = f"id {ids.simpleString()}, item_id {items.simpleString()}, at int, cosine float, common int, share double"
+        types = [*map(to_arrow_type, (ids, items)), pa.int32(), pa.float32(), pa.int32(), pa.float64()]
         out = self.spark.createDataFrame([], kind)
         for block in self._blocks() if self.size else ():
             shared = self.spark.sparkContext.broadcast(block)
@@ -209,7 +232,7 @@ class LatentIndex:
                     for a, _, texts in slices(batch.column(1), 1_000_000):
                         found = search(texts, shared.value)
                         rows = [(ids[a + d], shared.value["items"][k], *rest) for d, k, *rest in found]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int64(), pa.int64(), pa.int32(), pa.float32(), pa.int32(), pa.float64()), strict=True)], ["id", "item_id", "at", "cosine", "common", "share"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], ["id", "item_id", "at", "cosine", "common", "share"])
 
             out = out.unionByName(read.mapInArrow(find, kind))
         best = F.max_by(F.struct("at", "cosine", "common", "share"), F.struct("share", -F.col("at")))
@@ -230,9 +253,9 @@ class LatentIndex:
         return docs
 
 
-def _weighed(hashes: np.ndarray, weights: np.ndarray, row_of: np.ndarray, *, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _weighed(terms: np.ndarray, weights: np.ndarray, row_of: np.ndarray, *, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the basis and TF-IDF weights of a passage's terms, of length 1 unless whole."""
-    t, n = np.unique(terms_of(hashes), return_counts=True)
+    t, n = np.unique(terms, return_counts=True)
     keep = weights[t] > 0
     w = weights[t[keep]] * n[keep]
     return row_of[t[keep]], w if whole else w / max(float(np.linalg.norm(w)), 1e-12)
@@ -292,14 +315,15 @@ def search(texts: list[str | None], index: dict) -> list[tuple[int, int, int, fl
     first = np.r_[0, np.cumsum(blocks)]
     flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
     start = np.r_[0, np.cumsum(length)]
-    row = index["row_of"][terms_of(flat)]
+    term = terms_of(flat, index["vocabulary"])
+    row = np.where(term >= 0, index["row_of"][term], -1)
     hit = np.flatnonzero(row >= 0)
     if not len(hit):
         return []
     doc = np.searchsorted(start, hit, "right") - 1
     block = first[doc] + (hit - start[doc]) // BLOCK
     named, at = np.unique(block, return_index=True)
-    weight = index["weights"][terms_of(flat[hit])]
+    weight = index["weights"][term[hit]]
     sums = np.add.reduceat(index["basis"][row[hit]] * weight[:, None], at, axis=0)
     # a window is a block, and the next one if that is of the same text and has terms as well
     windows = sums
@@ -307,14 +331,19 @@ def search(texts: list[str | None], index: dict) -> list[tuple[int, int, int, fl
     windows[follows] += sums[follows + 1]
     norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
     some = np.flatnonzero(norm > 0)
-    along = windows[some] @ index["vectors"].T
+    found = []
+    step = max(1, TILE // max(len(some), 1))
+    for first_passage in range(0, len(index["vectors"]), step):
+        along = windows[some] @ index["vectors"][first_passage : first_passage + step].T
+        w, k = np.nonzero(along >= COSINE * norm[some, None])
+        found.append((w, k + first_passage, along[w, k]))
+    w, k, along = map(np.concatenate, zip(*found, strict=True))
     best: dict[tuple[int, int], tuple[float, int, float, int]] = {}
-    w, k = np.nonzero(along >= COSINE * norm[some, None])
     places = named[some[w]]
     d = np.searchsorted(first, places, "right") - 1
     left = may_match(flat, start[d], start[d + 1], start[d] + (places - first[d]) * BLOCK, k, index)
     w, k, places = w[left], k[left], places[left]
-    cosine = along[w, k] / norm[some[w]]
+    cosine = along[left] / norm[some[w]]
     for i in np.lexsort((-cosine, places)):
         d = int(np.searchsorted(first, places[i], "right")) - 1
         pair, words = (d, int(k[i])), index["words"][k[i]]

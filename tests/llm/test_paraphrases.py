@@ -59,19 +59,32 @@ def test_bounds_lose_nothing(monkeypatch):
         for w in words * 3:
             kept = [x if rng.random() < rng.choice((0.5, 0.7, 0.9)) else rng.choice(vocabulary) for x in w]
             texts.append(" ".join(rng.choices(vocabulary, k=rng.randrange(60)) + kept + rng.choices(vocabulary, k=rng.randrange(60))))
-        terms = np.unique(D.terms_of(np.concatenate(hashes)))
+        known = np.unique(np.concatenate(hashes))
+        terms = np.unique(D.terms_of(known, known))
         weights, row_of = np.zeros(D.TERMS, np.float32), np.full(D.TERMS, -1, np.int32)
         weights[terms] = np.random.default_rng(trial).uniform(0.1, 3, len(terms))
         row_of[terms] = np.arange(len(terms))
         basis = np.eye(len(terms), dtype=np.float32)
         vectors = np.zeros((len(words), len(terms)), np.float32)
         for i, h in enumerate(hashes):
-            at, x = D._weighed(h, weights, row_of)
+            at, x = D._weighed(D.terms_of(h, known), weights, row_of)
             vectors[i, at] = x
         lists = [h.view(np.int64).tolist() for h in hashes]
         telling = [set(x[-max(1, len(x) // 4) :] if i % 4 else x) for i, x in enumerate(lists)]
-        index = {"items": list(range(40)), "words": lists, "telling": telling, "vectors": vectors, "basis": basis, "weights": weights, "row_of": row_of, **D._bounds(lists, telling)}
+        index = {"items": list(range(40)), "words": lists, "telling": telling, "vectors": vectors, "basis": basis, "vocabulary": known, "weights": weights, "row_of": row_of, **D._bounds(lists, telling)}
         with monkeypatch.context() as m:
             m.setattr(D, "may_match", lambda flat, low, high, begin, k, index: np.ones(len(k), bool))
             want = D.search(texts, index)
         assert len(want) > 20 and sorted(D.search(texts, index)) == sorted(want)
+        with monkeypatch.context() as m:
+            m.setattr(D, "TILE", 1_000)
+            again = D.search(texts, index)
+        assert [x[:3] for x in sorted(again)] == [x[:3] for x in sorted(want)]
+
+
+def test_ids_of_any_type(spark, data):
+    items = table(spark, data, "benchmark").selectExpr("concat('item ', item_id) AS item_id", "text", "1 AS id", "2 AS at")
+    docs = items.limit(5).selectExpr("concat('doc ', item_id) AS doc_id", "concat('before ', text, ' after') AS text", "3 AS id", "4 AS share")
+    found = {(r.doc_id, r.item_id) for r in D.LatentIndex(docs, items).matches(docs).collect()}
+    assert {(f"doc {r.item_id}", r.item_id) for r in items.limit(5).collect()} <= found
+    assert D.LatentIndex(docs, items).keep_clean(docs).count() == 0
