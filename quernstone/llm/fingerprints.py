@@ -78,25 +78,33 @@ def fingerprint_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return with_signature(read, "text", "sig").select(F.col("id").alias(id_col), as_text(F.col("sig")).alias("fingerprint"))
 
 
-#: Parts that a stretch of ids is cut into at each level.
-FAN = 64
+#: Stretches that ids are cut into by one list of cuts, and parts that each of them is cut into at each further level.
+STRETCHES, FAN = 4096, 64
+
+
+def _stretch(cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most the id, found by way of every so many of them."""
+    step = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    up_to = lambda xs: F.size(F.filter(xs, lambda c: c <= F.col("id")))
+    numbers = lambda xs: F.array(*[F.lit(c).cast("long") for c in xs]).cast("array<long>")
+    k = up_to(numbers([g[0] for g in groups[1:]]))
+    return (k * step + up_to(F.get(F.array(*map(numbers, groups)), k))).cast("long")
 
 
 def _with_bucket(read: DataFrame, rows_per_bucket: int) -> DataFrame:
     """read with the column bucket: numbers stretches of the ids in ascending order, with about rows_per_bucket rows each, cut by rank
-    however the ids are spread. A level cuts each stretch of the level before into FAN parts at most."""
+    however the ids are spread. Beyond STRETCHES of them, each is cut again into FAN parts at most, and so on."""
     total = max(1, -(-read.count() // rows_per_bucket))
-    levels = 1
-    while FAN**levels < total:
-        levels += 1
-    fan = next(k for k in range(1, FAN + 1) if k**levels >= total)
-    out = read.withColumn("bucket", F.lit(0).cast("long"))
-    for _ in range(levels):
-        # a row of FAN numbers for each stretch: up to a few MB
-        cuts = out.groupBy("bucket").agg(F.percentile_approx("id", [k / fan for k in range(1, fan)], 10_000).alias("cuts")) if fan > 1 else None
-        if cuts is None:
-            break
-        out = out.join(F.broadcast(stored(cuts, "cuts")), "bucket").withColumn("bucket", F.col("bucket") * fan + F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("id"))), F.lit(0))).drop("cuts")
+    first = min(total, STRETCHES)
+    cuts = read.agg(F.percentile_approx("id", [k / first for k in range(1, first)], 50_000)).first()[0] if first > 1 else None
+    out, left = read.withColumn("bucket", _stretch(cuts) if cuts else F.lit(0).cast("long")), -(-total // first)
+    while left > 1:
+        fan = min(left, FAN)
+        # a row of FAN numbers for each stretch
+        parts = stored(out.groupBy("bucket").agg(F.percentile_approx("id", [k / fan for k in range(1, fan)], 10_000).alias("cuts")), "cuts")
+        inner = F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("id"))), F.lit(0))
+        out, left = out.join(F.broadcast(parts), "bucket").withColumn("bucket", F.col("bucket") * fan + inner).drop("cuts"), -(-left // fan)
     return out.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.col("bucket")))
 
 

@@ -112,8 +112,11 @@ def test_fingerprints_by_hand(spark, data):
         assert rows[f"d{i}"] == order_min_hash(text), text
 
 
-def test_next_documents_by_rank(spark, data):
+@pytest.mark.parametrize("stretches", [4096, 3])
+def test_next_documents_by_rank(spark, monkeypatch, stretches):
     """Ids that are spread unevenly, and repeated, in many small stretches."""
+    monkeypatch.setattr(P, "STRETCHES", stretches)
+    monkeypatch.setattr(P, "FAN", 4)
     rng = random.Random(6)
     ids = [*range(40), *(10**15 + k * k * k for k in range(60)), -5, 2**62, *[7] * 9]
     texts = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(30)))) for i in ids]
