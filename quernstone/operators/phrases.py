@@ -22,6 +22,8 @@ def phrase_counts(texts: DataFrame, phrases: DataFrame, *, few: int = FEW, batch
     """(doc_id, needle, n) for texts (doc_id, hay) and phrases (needle), both normalised: n occurrences without overlap, at least one."""
     needles = phrases.select("needle").where("needle <> ''").distinct()
     n = needles.count()
+    if not n:
+        return texts.select("doc_id", F.lit("").alias("needle"), F.lit(0).alias("n")).limit(0)
     if n <= few:
         return texts.select("doc_id", "hay").join(F.broadcast(needles), F.expr("contains(hay, needle)")).select("doc_id", "needle", occurrences(F.col("hay"), F.col("needle")).alias("n"))
     parts = -(-n // batch)

@@ -28,17 +28,22 @@ def small(df: DataFrame, most: int = BATCH) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def _paths_with_names(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(doc_id, entity) of every document whose path contains an entity's name: names are looked for together, not pair by pair."""
+    named = entities.where(F.length("name") > 0).select(F.col("name").alias("needle"), F.col("ord").alias("entity"))
+    return phrase_counts(docs.select("doc_id", F.col("path").alias("hay")), named).select("doc_id", "needle").join(named, "needle").select("doc_id", "entity")
+
+
 def doc_entities(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """(doc_id, entity) of each document with an entity: the first one, in order, whose name the path contains."""
-    named = entities.where(F.length("name") > 0).select("name", F.col("ord").alias("entity"))
-    return docs.select("doc_id", "path").join(small(named), F.expr("contains(path, name)")).groupBy("doc_id").agg(F.min("entity").alias("entity"))
+    return _paths_with_names(docs, entities).groupBy("doc_id").agg(F.min("entity").alias("entity"))
 
 
 def entity_docs(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity, doc_id, doc_text): the first document, in order, whose path contains the entity's name."""
-    named = entities.where(F.length("name") > 0).select("name", F.col("ord").alias("entity"))
-    hits = docs.select("ord", "doc_id", "path", "text").join(small(named), F.expr("contains(path, name)"))
-    return hits.groupBy("entity").agg(F.min_by(F.struct("doc_id", F.col("text").alias("doc_text")), "ord").alias("d")).select("entity", "d.*")
+    hits = _paths_with_names(docs, entities).join(docs.select("ord", "doc_id"), "doc_id")
+    first = hits.groupBy("entity").agg(F.min_by("doc_id", "ord").alias("doc_id"))
+    return first.join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id").select("entity", "doc_id", "doc_text")
 
 
 def with_plans(queries: DataFrame) -> DataFrame:
@@ -51,10 +56,17 @@ class Search:
 
     def __init__(self, docs: DataFrame, entities: DataFrame, index: Index | None = None):
         self.docs, self.entities = docs, entities
-        self.index = index or build_index(docs)
+        self._index = index
         self.of_doc = doc_entities(docs, entities)
         self.of_entity = entity_docs(docs, entities)
 
+    @property
+    def index(self) -> Index:
+        """The index of the documents, which only the search for terms needs; built when that is first asked for."""
+        if self._index is None:
+            self._index = build_index(self.docs)
+        return self._index
+
     def _entity_hits(self, hits: DataFrame, terms: Column, fallback: Column, text: Column | None = None) -> DataFrame:
         """Completes hits on entities: their first document, or one of their own named after them."""
         joined = hits.join(self.of_entity, hits["ord"] == self.of_entity["entity"], "left")
@@ -128,11 +140,3 @@ def search_one(search: Search, raw: str, **options) -> DataFrame:
     """The result of one query. See Search.run for a batch."""
     spark = search.docs.sparkSession
     return search.run(spark.createDataFrame([(1, raw)], "query_id long, raw string"), **options).orderBy("rank")
-
-
-def least_stage(hits: DataFrame) -> DataFrame:
-    """Of hits of several stages, those of each query's first one."""
-    first = hits.groupBy("query_id").agg(F.min("stage").alias("stage"))
-    return hits.join(first, ["query_id", "stage"])
-
-

@@ -55,7 +55,7 @@ def _sql(value) -> str:
 def values(rows: list[tuple], schema: str) -> str:
     """The rows as a subquery of SQL."""
     names, types = zip(*[part.split() for part in schema.split(", ")], strict=True)
-    kinds = {"long": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER"}
+    kinds = {"long": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER", "boolean": "BOOLEAN"}
     body = ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows)
     casts = ", ".join(f"CAST({n} AS {kinds[t]}) AS {n}" for n, t in zip(names, types, strict=True))
     return f"(SELECT {casts} FROM (VALUES {body}) v({', '.join(names)}))"

@@ -9,6 +9,8 @@ from quernstone.functions import papers as P
 from quernstone.functions import query as Q
 from quernstone.functions import text as T
 from quernstone.functions.dictionaries import ABBREVIATIONS, PHRASES
+from quernstone.operators import phrases
+from quernstone.operators.search import small
 from quernstone.plans import fixtures as X
 from quernstone.plans.retrieval import _GRAMS, _NORM, _WS, table
 
@@ -46,10 +48,10 @@ def _texts(spark, rows=X.TEXTS) -> DataFrame:
     return X.frame(spark, rows, X.TEXT)
 
 
-@query("SELECT doc_id, len(x) AS n, array_to_string(x[1:20], ' ') AS head FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS x FROM documents)")
+@query("SELECT doc_id, len(x) AS n, md5(array_to_string(x, ' ')) AS tokens FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS x FROM documents)")
 def tokenize_latin(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", T.tokens("text").alias("x"))
-    return docs.select("doc_id", F.size("x").alias("n"), F.array_join(F.slice("x", 1, 20), " ").alias("head"))
+    return docs.select("doc_id", F.size("x").alias("n"), F.md5(F.array_join("x", " ").cast("binary")).alias("tokens"))
 
 
 @query(f"SELECT id, array_to_string(list_concat(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), {_GRAMS.format("coalesce(text, '')")}), ' ') AS tokens FROM {_T}")
@@ -135,10 +137,16 @@ def mask_email(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.mask_emails("text").cast("binary")).alias("masked"))
 
 
-@query(None)
+# what may stand around a number is captured and put back, and as a number's end may be the next one's head, twice
+_HEADED = r"(^|[^\d#-])(?:1[3-9]\d{9}|0\d{2,3}[-\s]?\d{7,8}|\d{3,4}[-\s]\d{7,8})($|\D)"
+_MAILS = "regexp_replace(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '***@***', 'g')"
+_MASKED = f"regexp_replace(regexp_replace({_MAILS}, '{_HEADED}', '\\1***\\2', 'g'), '{_HEADED}', '\\1***\\2', 'g')"
+
+
+@query(f"SELECT id, {_MASKED} AS masked FROM {_MASK} UNION ALL SELECT 1000 + doc_id, md5({_MASKED}) FROM documents")
 def mask_phone(spark, sf_dir):
-    """Look-behind is beyond the SQL engine: rows alone."""
-    return _texts(spark, X.MASK).select("id", T.mask_private("text").alias("masked"))
+    docs = table(spark, sf_dir, "documents").select(1000 + F.col("doc_id"), F.md5(T.mask_private("text").cast("binary")))
+    return _texts(spark, X.MASK).select("id", T.mask_private("text").alias("masked")).union(docs)
 
 
 _URL = "CASE WHEN starts_with(u, '//') THEN 'https:' || u WHEN starts_with(u, '/') THEN 'https://base.example' || u ELSE u END"
@@ -175,20 +183,25 @@ def clean_field(spark, sf_dir):
     return _texts(spark, _FIELDS).select("id", T.clean_field("text", 180, True).alias("field"), T.trim_footer("text").alias("body"))
 
 
-@query("""WITH b AS (SELECT item_id, string_split(text, ' ')[3:4] AS w FROM benchmark WHERE item_id < 20), d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id < 200),
-p AS (SELECT item_id, doc_id, text, list_filter(list_transform(w, lambda x: instr(text, x)), lambda i: i > 0)[1] - 1 AS pos FROM b, d)
-SELECT item_id, doc_id, left(CASE WHEN pos IS NULL THEN trim(replace(left(text, 120), chr(10), ' ')) ELSE trim(replace(substring(text, greatest(pos - 40, 0) + 1, pos + 40 - greatest(pos - 40, 0)), chr(10), ' ')) END, 120) AS snippet FROM p""")
+@query(f"""WITH p AS (SELECT item_id, {_NORM.format("text")} AS needle, regexp_extract_all(lower(text), '[a-z0-9]+') AS terms FROM benchmark),
+h AS (SELECT item_id, doc_id, text, terms FROM documents JOIN p ON needle <> '' AND contains({_NORM.format("coalesce(text, '')")}, needle)),
+f AS (SELECT item_id, doc_id, text, list_filter(list_transform(terms, lambda x: instr(text, x)), lambda i: i > 0)[1] - 1 AS pos FROM h)
+SELECT item_id, doc_id, left(CASE WHEN pos IS NULL THEN trim(replace(left(text, 120), chr(10), ' ')) ELSE trim(replace(substring(text, greatest(pos - 40, 0) + 1, pos + 40 - greatest(pos - 40, 0)), chr(10), ' ')) END, 120) AS snippet FROM f""")
 def snippet(spark, sf_dir):
-    """Every pair of some items and some documents: the surroundings of the items' third and fourth words."""
-    items = table(spark, sf_dir, "benchmark").where("item_id < 20").select("item_id", F.slice(F.split("text", " "), 3, 2).alias("w"))
-    docs = table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", "text")
-    return docs.join(F.broadcast(items), F.expr("item_id IS NOT NULL")).select("item_id", "doc_id", T.snippet("text", F.col("w")).alias("snippet"))
+    """The surroundings of the first of an item's words that a document has, for every document that holds the item."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.normalize_text("text").alias("needle"), T.tokens("text").alias("terms")).where("needle <> ''")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = phrases.phrase_counts(docs.select("doc_id", T.normalize_text("text").alias("hay")), items).join(small(items), "needle")
+    return hits.join(docs, "doc_id").select("item_id", "doc_id", T.snippet("text", F.col("terms")).alias("snippet"))
 
 
 _PAIRS = [(1, "NLP 机器学习", "自然语言处理 machine learning nlp"), (2, "机器学习 机器", "机器学习与图像"), (3, "abc abcd", "xx abcd"), (4, "", "x"), (5, "plain text", "nothing")]
 
 
-@query(None)
+_MATCHED = [(1, "自然语言处理|nlp"), (2, "机器|学习"), (3, "abcd"), (4, ""), (5, "")]
+
+
+@query(f"SELECT * FROM {X.values(_MATCHED, 'id long, keywords string')}")
 def match_keywords(spark, sf_dir):
     rows = spark.createDataFrame(_PAIRS, "id long, raw string, hay string")
     return rows.select("id", F.array_join(Q.matched_keywords("raw", "hay"), "|").alias("keywords"))

@@ -90,7 +90,7 @@ def test_stored_index_is_read_by_term(spark, search):
     search.index.save("idx", 4)
     loaded = index.Index.load(spark, "idx")
     assert loaded.postings.count() == search.index.postings.count()
-    for t in ("postings", "terms", "norms"):
+    for t in ("frequencies", "terms", "norms"):
         spark.sql(f"DROP TABLE idx_{t}")
 
 
