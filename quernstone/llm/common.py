@@ -33,11 +33,12 @@ def words_of(text: str | None) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share. Where the session names none, a local master gets a folder of its own,
+    and a cluster, whose machines would each write to their own disk, gets an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quernstone-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -92,32 +93,38 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def append_columns(df: DataFrame, text_col: str, compute: Callable[[list[str | None]], list[pa.Array]], fields: list[tuple[str, DataType]], most_bytes: int = 2_000_000) -> DataFrame:
+def append_columns(df: DataFrame, text_col: str, compute: Callable[[list[str | None]], list[pa.Array]], fields: list[tuple[str, DataType]], most_bytes: int = 2_000_000, most_rows: int = 1 << 20) -> DataFrame:
     """df with further columns that compute makes from the texts, in one pass over Arrow batches.
 
-    compute gets a run of whole texts with about most_bytes bytes and returns an array for each field.
+    compute gets a run of whole texts with about most_bytes bytes, and most_rows texts at most, and returns an array for each field.
     """
     out = StructType([*df.schema.fields, *[StructField(name, kind) for name, kind in fields]])
     names, at = out.names, df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in slices(batch.column(at), most_bytes):
+            for a, b, texts in slices(batch.column(at), most_bytes, most_rows):
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *compute(texts)], names)
 
-    return df.mapInArrow(run, out)
+    # by place: names may hold dots, which mapInArrow takes for fields
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, out)
+
+
+def below_share(h: Column, share: float) -> Column:
+    """Whether a 64-bit hash is among the least `share` of all; exact for shares far below one in a million as well."""
+    return F.lit(True) if share >= 1 else h < F.lit(int(share * 2**64) - 2**63)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, label) of about `most` labelled rows that aren't held out, or of all if there are fewer: a row is in by the
     hash of its id. The sampled ids, at most a few MB by that bound, are broadcast, so that texts don't move. An id with
-    several labels has the greatest; texts that repeat count once."""
+    several labels has the greatest; of equal texts the one with the least id counts (of several texts of an id, each), so that
+    the sample is the same however the rows are dealt out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("label")).where("id IS NOT NULL AND label IS NOT NULL").groupBy("id").agg(F.max("label").alias("label")).where(~held_out)
-    n = known.count()
-    share = min(1.0, most / max(n, 1))
-    ids = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    ids = known.where(below_share(F.xxhash64("id"), most / max(known.count(), 1)))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(ids), "id")
-    return stored(rows, "sample").dropDuplicates(["text"])
+    one = rows.groupBy("text").agg(F.min(F.struct("id", "label")).alias("least"))
+    return stored(one.select("least.id", "text", "least.label"), "sample")
 
 
 def components(edges: DataFrame) -> DataFrame:

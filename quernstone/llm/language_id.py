@@ -3,13 +3,14 @@
 A text is a TF-IDF vector of hashed runs of three bytes (letters in lower case, all else a space), of length 1. Each language has
 several centroids, clustered by spherical k-means over a bounded sample of its texts; a text has the language of
 the centroid with the greatest cosine. A text that is farther from it than nearly all training texts of that
-language and length were is rejected.
+language and length were is rejected, whatever its length.
 
 Defined results
   null text, or one without a letter: `und`, score 0, rejected. A text all of whose runs are unknown: the first language, score 0, rejected.
   no training text: every language is `und`. Ties: the language that comes first in order.
-  a null language isn't learnt. Repeated rows: one result each; an empty table gives an empty result;
-  with_language keeps all other columns.
+  a null language isn't learnt. Repeated rows: one result each, and each counts in training; an empty table gives an empty result.
+  very long texts: whole; a text's grams are counted at once, some 20 bytes for each of its bytes.
+  with_language keeps all columns; a new one whose name is taken gets an underscore in front.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ from quernstone.llm.common import append_columns, fresh, remainder, slices, stor
 BITS = 12
 #: Sampled texts and centroids of each language, rounds of clustering.
 TEXTS, CENTROIDS, ROUNDS = 1_500, 4, 6
-#: A text is rejected beyond its language's distance at this quantile of the sample, and somewhat more; one of less than
-#: 2^SHORT_BANDS characters only below a share of the cosine that nearly all texts had when they were cut to its length.
-REJECTED, MARGIN, SHORT_BANDS = 0.999, 1.15, 8
-#: The quantile of cut texts and the share of its cosine, and the bytes of texts that are held at once.
-CUT_REJECTED, CUT_SHARE, CUT_BYTES = 0.95, 0.5, 500_000
+#: A text is rejected beyond its language's distance at this quantile of the sample, and somewhat more. Bands of lengths up to
+#: SHORT_BANDS, of which the sample has few texts, and longer ones with fewer than ENOUGH texts, reject below a share of the
+#: cosine that nearly all texts had, in the short bands when they were cut to that length.
+REJECTED, MARGIN, SHORT_BANDS, ENOUGH = 0.999, 1.15, 8, 500
+CUT_REJECTED, CUT_SHARE = 0.95, 0.5
+#: Bytes and number of texts that are held at once.
+BYTES_AT_ONCE, TEXTS_AT_ONCE = 500_000, 1_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _LETTERS = np.array([b if b > 127 or chr(b).isalpha() else 0 for b in range(256)], np.uint32)
@@ -87,7 +90,7 @@ class LanguageModel:
             language, score, rejected = shared.value.identify(texts)
             return [pa.array(language, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)]
 
-        return append_columns(docs, text_col, compute, list(zip(names, (StringType(), DoubleType(), BooleanType()), strict=True)), 500_000)
+        return append_columns(docs, text_col, compute, list(zip(fresh(docs, *names), (StringType(), DoubleType(), BooleanType()), strict=True)), BYTES_AT_ONCE, TEXTS_AT_ONCE)
 
 
 def _gram_weights(training: DataFrame) -> np.ndarray:
@@ -96,7 +99,7 @@ def _gram_weights(training: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
-            for _, _, texts in slices(batch.column(0), 500_000):
+            for _, _, texts in slices(batch.column(0), BYTES_AT_ONCE, TEXTS_AT_ONCE):
                 total += (gram_counts(texts) > 0).sum(axis=0)
             n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, 1 << BITS)), pa.array(np.r_[n, total])], ["gram", "n"])
@@ -111,6 +114,11 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
 
+def sample_bound(texts: int, n: int) -> int:
+    """The greatest 64-bit hash of a sample of about `texts` of n rows, or of all if there are no more."""
+    return 2**63 - 1 if n <= texts else texts * 2**64 // n - 2**63
+
+
 def fit_languages(docs: DataFrame, *, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", texts: int = TEXTS, centroids: int = CENTROIDS) -> LanguageModel:
     """Learns from the rows of docs that have a language and a letter. Document frequencies are those of all of them; the centroids are
     fitted to about `texts` rows of each language, chosen by the hash of their id and text."""
@@ -122,13 +130,13 @@ def fit_languages(docs: DataFrame, *, lang_col: str = "lang", id_col: str = "doc
         return LanguageModel([], np.zeros(1 << BITS), np.zeros((0, 1 << BITS)), np.zeros(0, int), np.zeros((0, 13)))
     idf = _gram_weights(training)
     spark = docs.sparkSession
-    shares = F.broadcast(spark.createDataFrame([(x, k, int(1e6 * min(1.0, texts / n))) for k, (x, n) in enumerate(languages)], "lang string, k int, share int"))  # a row for each language
-    sample = training.join(shares, "lang").where(F.pmod("h", F.lit(1_000_000)) < F.col("share"))
+    shares = F.broadcast(spark.createDataFrame([(x, k, sample_bound(texts, n)) for k, (x, n) in enumerate(languages)], "lang string, k int, bound long"))  # a row for each language
+    sample = training.join(shares, "lang").where(F.col("h") <= F.col("bound"))
     shared = spark.sparkContext.broadcast(idf)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, rows in slices(batch.column(2), 500_000):
+            for a, b, rows in slices(batch.column(2), BYTES_AT_ONCE, TEXTS_AT_ONCE):
                 x = vectors(rows, shared.value).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(_length_band(rows), pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], ["k", "h", "band", "x"])
 
@@ -138,11 +146,16 @@ def fit_languages(docs: DataFrame, *, lang_col: str = "lang", id_col: str = "doc
     middle = _normal(np.stack([np.frombuffer(r["x"], np.float16) for r in start]).astype(np.float32))
     for _ in range(ROUNDS):
         middle = _moved(points, middle, owner)
-    least = _least_cosines(points, middle, owner, len(names))
-    # the first band beyond the short ones has few texts as well; no band has a higher bound than the next one that isn't short
-    cut = np.minimum(_least_when_cut(sample, idf, middle, owner, len(names)), least[:, [SHORT_BANDS + 1]])
-    least[:, : SHORT_BANDS + 1] = np.maximum(least, cut)[:, : SHORT_BANDS + 1]
-    return LanguageModel(names, idf, middle, owner, least)
+    return LanguageModel(names, idf, middle, owner, _bounds(_least_when_cut(sample, idf, middle, owner, len(names)), _least_cosines(points, middle, owner, len(names))))
+
+
+def _bounds(cut: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The least cosine by language and band of lengths: that of cut texts up to SHORT_BANDS, beyond that of whole ones. A band that
+    the sample hardly has takes the next shorter one's; cosines rise with length, so no band has a higher bound than a longer one."""
+    out = np.hstack([cut[:, : SHORT_BANDS + 1], least[:, SHORT_BANDS + 1 :]])
+    for band in range(1, out.shape[1]):
+        out[:, band] = np.where(np.isnan(out[:, band]), out[:, band - 1], out[:, band])
+    return np.ascontiguousarray(np.minimum.accumulate(out[:, ::-1], axis=1)[:, ::-1])
 
 
 def _least_when_cut(sample: DataFrame, idf: np.ndarray, middle: np.ndarray, owner: np.ndarray, languages: int) -> np.ndarray:
@@ -153,7 +166,7 @@ def _least_when_cut(sample: DataFrame, idf: np.ndarray, middle: np.ndarray, owne
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, middle, owner = shared.value
         for batch in batches:
-            for a, b, rows in slices(batch.column(1), CUT_BYTES):
+            for a, b, rows in slices(batch.column(1), BYTES_AT_ONCE, TEXTS_AT_ONCE):
                 k = batch.column(0).to_numpy()[a:b]
                 for band in range(1, SHORT_BANDS + 1):
                     size = (1 << band) - 1
@@ -163,14 +176,13 @@ def _least_when_cut(sample: DataFrame, idf: np.ndarray, middle: np.ndarray, owne
                         yield pa.RecordBatch.from_arrays([pa.array(k[long]), pa.array(np.full(len(long), band, np.int32)), pa.array(cosine, pa.float64())], ["k", "band", "cosine"])
 
     far = sample.select("k", "text").mapInArrow(cosines, "k int, band int, cosine double").groupBy("k", "band").agg(F.percentile_approx("cosine", 1 - CUT_REJECTED, 10_000).alias("least"), F.count(F.lit(1)).alias("n"))
-    least = np.zeros((languages, 13))
+    least = np.full((languages, 13), np.nan)
+    least[:, 0] = 0
     for r in far.where("n >= 20").collect():
         least[r["k"], r["band"]] = CUT_SHARE * max(0.0, r["least"])
     return least
 
 
-
-
 def _nearest(batch: pa.RecordBatch, middle: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     k = batch.column(0).to_numpy()
     x = np.stack([np.frombuffer(v, np.float16) for v in batch.column(3).to_pylist()]).astype(np.float32)
@@ -207,16 +219,12 @@ def _least_cosines(points: DataFrame, middle: np.ndarray, owner: np.ndarray, lan
                 k, _, _, cosine = _nearest(batch, *shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(k), batch.column(2), pa.array(cosine, pa.float64())], ["k", "band", "cosine"])
 
-    far = points.mapInArrow(cosines, "k int, band int, cosine double").groupBy("k", "band").agg(F.percentile_approx("cosine", 1 - REJECTED, 10_000).alias("least"), F.count(F.lit(1)).alias("n"))
+    quantiles = F.percentile_approx("cosine", [1 - REJECTED, 1 - CUT_REJECTED], 10_000)
+    far = points.mapInArrow(cosines, "k int, band int, cosine double").groupBy("k", "band").agg(quantiles.alias("q"), F.count(F.lit(1)).alias("n"))
     least = np.full((languages, 13), np.nan)
     for r in far.where("n >= 20").collect():
-        least[r["k"], r["band"]] = max(0.0, 1 - MARGIN * (1 - r["least"]))
-    least[:, :SHORT_BANDS] = 0
-    for band in range(SHORT_BANDS, 13):  # a band that the sample hardly has takes the next shorter one's bound
-        least[:, band] = np.where(np.isnan(least[:, band]), least[:, band - 1], least[:, band])
-    # cosines rise with length, so no band has a higher bound than a longer one
-    longer = np.minimum.accumulate(least[:, ::-1], axis=1)[:, ::-1]
-    return np.ascontiguousarray(np.hstack([least[:, :SHORT_BANDS], longer[:, SHORT_BANDS:]]))
+        least[r["k"], r["band"]] = max(0.0, 1 - MARGIN * (1 - r["q"][0]) if r["n"] >= ENOUGH else CUT_SHARE * r["q"][1])
+    return least
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:

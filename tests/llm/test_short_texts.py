@@ -1,10 +1,14 @@
 """Short texts in no known language are rejected, short ones in a known language are not."""
 
+import math
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from quernstone.llm import language_id as L
 
-MORE = "/root/testdata/sf0.1"  # 1,500 texts of each language: with few, the bounds of the long texts, which cap those of short ones, are loose
+TABLES = "/root/testdata"
 FOREIGN = [
     "Ieri mattina siamo andati al mercato vicino alla stazione per comprare verdura fresca, pane e qualche formaggio, poi abbiamo bevuto qualcosa in piazza con gli amici che arrivavano dalla montagna.",
     "Wczoraj rano poszliśmy na targ w pobliżu dworca, żeby kupić świeże warzywa, chleb i trochę sera, a potem wypiliśmy kawę na rynku z przyjaciółmi, którzy przyjechali z gór na kilka dni.",
@@ -14,11 +18,43 @@ FOREIGN = [
 ]
 
 
-def test_short_texts(spark):
-    docs = spark.read.parquet(f"{MORE}/documents.parquet")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_short_texts(spark, sf):
+    docs = spark.read.parquet(f"{TABLES}/{sf}/documents.parquet")
     model = L.fit_languages(docs.where(~L.held_out(F.col("doc_id"))))
-    assert model.identify(FOREIGN)[2].all() and model.identify([x + " " + x for x in FOREIGN])[2].all()
+    for size in (60, 100, 160, 200, 250, 400, 1000):
+        assert model.identify([(f"{x} " * 6)[:size] for x in FOREIGN])[2].all(), size
     clean = [r.text for r in docs.where(L.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).collect() if r.text]
-    for size in (60, 120, 200, 300):
-        cut = [x[:size] for x in clean if len(x) >= size]
-        assert model.identify(cut)[2].mean() <= 0.02
+    for size in (40, 60, 120, 200, 300, 600, 10**9):
+        cut = [x[:size] for x in clean if len(x) >= min(size, 600)]
+        assert model.identify(cut)[2].mean() <= (0.02 if size < 10**9 else 0.01), size
+
+
+def test_identify_by_hand(spark):
+    """The same languages, scores and rejections with one dictionary for each text."""
+    docs = spark.read.parquet(f"{TABLES}/sf0.001/documents.parquet")
+    model = L.fit_languages(docs)
+    texts = [r.text for r in docs.limit(40).collect()] + [None, "", "12 34", "Ça va ?", *FOREIGN]
+    for text, language, score, rejected in zip(texts, *model.identify(texts), strict=True):
+        raw, grams = (text or "").lower().encode("utf-8", "replace"), Counter()
+        letters = [0, 0, *[b if b > 127 or chr(b).isalpha() else 0 for b in raw], 0, 0]
+        for a, b, c in zip(letters[1:], letters[2:], letters[3:]):
+            if b:
+                grams[((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 32 - L.BITS] += 1
+        x = {g: math.sqrt(n) * float(model.idf[g]) for g, n in grams.items()}
+        norm = math.sqrt(sum(v * v for v in x.values())) or 1
+        cosine = [sum(v / norm * float(c[g]) for g, v in x.items()) for c in model.centroids]
+        best = max(range(len(cosine)), key=cosine.__getitem__)
+        if not any(c.isalpha() for c in text or ""):
+            assert (language, score, bool(rejected)) == ("und", 0, True)
+            continue
+        band = min(int(math.log2(len(text) + 1)), 12)
+        assert language == model.languages[model.owner[best]] and score == pytest.approx(cosine[best], abs=1e-4)
+        if abs(score - model.least[model.owner[best], band]) > 1e-4:
+            assert bool(rejected) == (cosine[best] < model.least[model.owner[best], band])
+
+
+def test_share_of_many_rows():
+    for n in (1_500, 10**7, 10**10, 10**13):
+        bound = L.sample_bound(1_500, n)
+        assert (bound + 2**63) / 2**64 * n == pytest.approx(1_500, rel=1e-3)
