@@ -7,8 +7,10 @@ passages, and the weighted sum of their encodings gives the score.
 Defined results
   null text: as empty; an empty text is one passage whose features are all 0 and is scored like any other.
   no labelled training row, or labels of one class only: every score is the share of label 1 among them (0 without any).
-  a label that is null, or whose document is absent, isn't used; of several labels of an id the greatest is.
-  repeated documents are scored each; an empty table gives an empty result; with_quality keeps all other columns.
+  a label that is null, or whose document is absent, isn't used; of several labels of an id the greatest is, of equal texts
+  that with the least id. Repeated documents are scored each, equal texts alike; an empty table gives an empty result.
+  very long texts: whole, with as many passages as they have; all features of a text are held at once.
+  with_quality keeps all columns; a new one whose name is taken gets an underscore in front.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quernstone.llm.common import append_columns, labelled_sample, remainder, stored, table
+from quernstone.llm.common import append_columns, below_share, fresh, labelled_sample, remainder, slices, stored, table
 
 PASSAGE = 64
-#: Labelled rows that are learnt from, in expectation; this bounds what the driver fits.
-TRAINING_ROWS, STEPS, CODES, GATES = 6_000, 300, 16, 8
+#: Labelled rows and characters of theirs that are learnt from, in expectation; this bounds what the driver fits (5 bytes a character).
+TRAINING_ROWS, TRAINING_CHARS, STEPS, CODES, GATES = 6_000, 50_000_000, 300, 16, 8
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "stop": b".,;:", "mark": b"!?", "bar": b"|", "sign": b"#$%&*@^~_=+<>\\/{}[]", "quote": b"'\"()-", "line": b"\n", "blank": b" \t\r\x0b\x0c"}
 _CLASS = np.zeros(256, np.uint8)
 for _i, _bytes in enumerate(_CLASSES.values(), 1):
@@ -134,23 +136,25 @@ class QualityModel:
     def with_quality(self, docs: DataFrame, *, text_col: str = "text", out: str = "score") -> DataFrame:
         """docs with a column of scores from 0 to 1; one pass, no shuffle. The model, a few KB, is broadcast."""
         shared = docs.sparkSession.sparkContext.broadcast(self)
-        return append_columns(docs, text_col, lambda texts: [pa.array(shared.value.scores(texts), pa.float64())], [(out, DoubleType())], 1_000_000)
+        return append_columns(docs, text_col, lambda texts: [pa.array(shared.value.scores(texts), pa.float64())], [(fresh(docs, out)[0], DoubleType())], 1_000_000)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, held_out: Column | None = None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = TRAINING_ROWS) -> QualityModel:
     """Learns from about most_rows labelled rows for which held_out (over the column id) is false."""
     sample = labelled_sample(docs, labels, label, F.lit(False) if held_out is None else held_out, most_rows, id_col, text_col)
+    chars = sample.agg(F.sum(F.length("text"))).first()[0] or 0
+    sample = sample.where(below_share(F.xxhash64("id", F.lit(3)), TRAINING_CHARS / max(chars, 1)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, parts = passage_features(batch.column(1).to_pylist())
+            for a, b, texts in slices(batch.column(1), 1_000_000):
+                x, parts = passage_features(texts)
                 ends = np.cumsum(parts)
                 rows = [x[e - n : e].astype(np.float32).tobytes() for e, n in zip(ends, parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["id", "label", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(rows, pa.binary())], ["id", "label", "features"])
 
     kind = sample.schema["id"].dataType.simpleString()
-    rows = stored(sample.mapInArrow(describe, f"id {kind}, label double, features binary"), "quality").orderBy("id").collect()
+    rows = stored(sample.mapInArrow(describe, f"id {kind}, label double, features binary"), "quality").orderBy("id", "features").collect()
     y = np.array([r["label"] for r in rows])
     model = QualityModel(float(y.mean()) if len(y) else 0.0)
     if 0 < model.share < 1:
@@ -163,7 +167,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"), held_out=remainder(F.col("id"), 5) == 0)
     scored = model.with_quality(docs.select("doc_id", "text"))
-    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 QUERIES = {"op5_quality": op5_quality}

@@ -7,8 +7,11 @@ lexicon words that appear once such signs are undone).
 Defined results
   null text: as empty; an empty text has all-zero features and is scored like any other.
   no labelled training row, or labels of one class only: every score is the share of label 1 among them (0 without any).
-  a label that is null, or whose document is absent, isn't used. Repeated documents are scored each; an empty table
-  gives an empty result. Further columns stay, in with_toxicity, and aren't read in score_toxicity.
+  a label that is null, or whose document is absent, isn't used; of several labels of an id the greatest is, of equal texts
+  that with the least id. Repeated documents are scored each; an empty table gives an empty result.
+  very long texts: whole, split into words at once. Ties: equal features have equal scores; of lexicon words that are equally
+  telling the first in order counts.
+  with_toxicity keeps all columns; a new one whose name is taken gets an underscore in front. score_toxicity reads no others.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from quernstone.llm.common import append_columns, fresh, labelled_sample, remainder, stored, table
+from quernstone.llm.common import append_columns, fresh, labelled_sample, remainder, slices, stored, table
 
 #: Labelled rows that the trees and the lexicon learn from, in expectation.
 TRAINING_ROWS = 20_000
@@ -127,10 +130,9 @@ def mine_lexicon(sample: DataFrame) -> dict[str, float]:
     def counts(label: int, wanted=None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: Counter[str] = Counter()
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    have = {f for w in {bare(t) for t in text.split()} if len(w) > 1 for f in features_of_word(w)}
-                    found.update(have if wanted is None else have & wanted.value)
+            for text in (t for batch in batches for _, _, texts in slices(batch.column(0)) for t in texts):
+                have = {f for w in {bare(t) for t in text.split()} if len(w) > 1 for f in features_of_word(w)}
+                found.update(have if wanted is None else have & wanted.value)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["feature", "n"])
 
         rows = sample.where(F.col("label") == label).select("text").mapInArrow(run, "feature string, n long")
@@ -166,14 +168,15 @@ class ToxicityModel:
 
     def with_toxicity(self, df: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
         """df with a column of scores from 0 to 1. One pass, no shuffle."""
+        (out,) = fresh(df, out)
         if self.trees is None:
             return df.withColumn(out, F.lit(float(self.share)))
-        raw, vector, p, *rest = fresh(df, "_features", "_vector", "_margin", "_raw", "_probability", "_prediction", "_calibrated")
+        raw, vector, p, *rest = fresh(df.withColumn(out, F.lit(0)), "_features", "_vector", "_margin", "_raw", "_probability", "_prediction", "_calibrated")
         scored = self.with_features(df, text_col, raw).withColumn(vector, array_to_vector(raw)).drop(raw)
         trees = self.trees.copy().setFeaturesCol(vector).setRawPredictionCol(rest[0]).setProbabilityCol(rest[1]).setPredictionCol(rest[2])
         scored = trees.transform(scored).withColumn(p, F.get(vector_to_array(rest[1]), F.lit(1)))
         scored = self.calibration.copy().setFeaturesCol(p).setPredictionCol(rest[3]).transform(scored)
-        return scored.withColumn(out, F.least(F.greatest(F.col(rest[3]), F.lit(0.0)), F.lit(1.0))).select(*df.columns, out)
+        return scored.withColumn(out, F.least(F.greatest(F.col(rest[3]), F.lit(0.0)), F.lit(1.0))).drop(vector, p, *rest)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, held_out: Column | None = None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most_rows: int = TRAINING_ROWS) -> ToxicityModel:
@@ -187,8 +190,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, held_out: Column | None
     if not 0 < share < 1:
         return ToxicityModel({}, share=share)
     model = ToxicityModel(mine_lexicon(fitting))
-    ready = stored(model.with_features(sample, "text", "features").select("id", "label", "fold", "features"), "toxicity").coalesce(4)
-    ready = ready.withColumn("features", array_to_vector("features")).cache()
+    ready = stored(model.with_features(sample, "text", "features").select("id", "label", "fold", "features"), "toxicity")
+    # most_rows rows of a few numbers, in one order: the trees don't depend on how the rows are dealt out
+    ready = ready.repartition(1).sortWithinPartitions("id", "features").withColumn("features", array_to_vector("features")).cache()
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.3, minInstancesPerNode=5, seed=17).fit(ready.where("fold > 0"))
     held = trees.transform(ready.where("fold = 0")).select("label", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
     if held.select("label").distinct().count() < 2:
@@ -200,17 +204,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, held_out: Column | None
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(id, score, predicted) for every row."""
-    read = docs.select(id_col, text_col)
-    (score,) = fresh(read, "score")
-    scored = model.with_toxicity(read, text_col, score)
-    return scored.select(id_col, F.col(score).alias("score"), (F.col(score) >= threshold).cast("int").alias("predicted"))
+    read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    scored = model.with_toxicity(read, "_text", "score")
+    return scored.select(F.col("_id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), held_out=remainder(F.col("id"), 5) == 0)
     out = score_toxicity(docs, model)
-    return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 QUERIES = {"op3_toxicity": op3_toxicity}
