@@ -3,6 +3,14 @@ stays, documents that hold benchmark items go, and what is left is encoded and d
 
 Every stage is a function of (spark, docs, sf_dir) that works on all documents its predecessor kept; all but the last return
 the columns of documents. SQL can't express a trained stage, so ORACLE_SQL is None.
+
+Defined results
+  null and empty texts have no letter, and go in the second stage; before it they are scored like any other text.
+  null ids: their documents are in no training split, and each stays in the third stage. Of equal rows one stays there.
+  a further column of any name stays up to the last stage. Very long texts are worked on whole.
+  empty tables: no documents give no rows; without labels nothing is toxic, without a benchmark nothing goes for it, and
+  without any language to learn every document goes in the second stage.
+  ties: a score of exactly 0.5 is toxic; of near copies the least id stays.
 """
 
 from __future__ import annotations

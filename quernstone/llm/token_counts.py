@@ -7,8 +7,9 @@ made. Words repeat, so each worker keeps the counts of words it has met, in a ta
 Defined results
   null or empty text: no bytes, no tokens, not over the limit.
   a special token's string inside a text: one token, as the library has it by default.
-  repeated rows: one result row each; an empty table gives an empty result; the columns besides the id and the text
-  are not read.
+  very long texts and words: whole; a word's heap holds its pairs. Ties of rank go to the leftmost pair, as in the library.
+  repeated rows: one result row each; ids of any type, null ones too, are kept; an empty table gives an empty result; the
+  columns besides the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -50,6 +50,36 @@ def test_pieces_like_the_library(spark, texts):
     assert len(rows) == len(texts) and S.piece_digests(docs.limit(0), PIECES).count() == 0
 
 
+@pytest.mark.parametrize("long", [2, 512])
+def test_long_words_like_the_library(monkeypatch, long):
+    monkeypatch.setattr(S, "LONG", long)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    with open(PIECES, "rb") as file:
+        codec = S.PieceCodec(file.read())
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("abcdefghijklmnopqrstuvwxyz", 20_000), ("ABCab01+/", 20_000), ("中文字日本語", 9_000), ("a", 5_000), ("ab", 3_000))]
+    texts += ["".join(rng.choice("aabcdeflnorst ▁.é") for _ in range(rng.choice([3, 50, 600]))) for _ in range(100)]
+    for text in texts:
+        want = model.encode(text)
+        assert codec.encode(text) == want and codec.decode(want) == model.decode(want)
+    assert [(n, d) for n, _, d in codec.digests(texts)] == [(len(ids), hashlib.sha256(model.decode(ids).encode()).hexdigest()) for ids in map(model.encode, texts)]
+
+
+def test_a_megabyte_without_spaces():
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    with open(PIECES, "rb") as file:
+        codec = S.PieceCodec(file.read())
+    rng = random.Random(13)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1_000_000))
+    assert codec.encode(text) == model.encode(text)
+
+
+def test_vocabularies_that_are_not_carried_over(monkeypatch):
+    monkeypatch.setattr(S.PieceCodec, "split", lambda self, text: [text.lower()] if text else [])
+    with open(PIECES, "rb") as file, pytest.raises(ValueError):
+        S.PieceCodec(file.read())
+
+
 def test_counts_like_the_library(spark, texts):
     library = Tokenizer.from_file(BYTES)
     library.no_truncation()
