@@ -9,10 +9,12 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -62,6 +64,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that are hashed at once.
+PIECE = 1_000_000
+_BYTES = np.random.default_rng(41).integers(0, 1 << 64, 256, dtype=np.uint64)
+_RATIO = 0x9E3779B97F4A7C13  # odd, and 3 modulo 8
+
+
+@lru_cache(maxsize=2)
+def _powers(inverse: bool) -> np.ndarray:
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(PIECE - 1, np.uint64(pow(_RATIO, -1 if inverse else 1, 1 << 64)))])
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, words of each text) for texts whose words are separated by spaces: a polynomial of each word's bytes,
+    from sums that run over PIECE bytes at once."""
+    data = b" ".join([*texts, b""])
+    flat = np.frombuffer(data, np.uint8)
+    starts, hashes, a = [], [], 0
+    while a < len(data):
+        b = data.rfind(b" ", a, a + PIECE) + 1
+        if b:
+            piece = flat[a:b]
+            edge = np.diff((piece != 32).view(np.int8), prepend=0)
+            first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            total = np.r_[np.uint64(0), np.cumsum(_BYTES[piece] * _powers(False)[: len(piece)], dtype=np.uint64)]
+            starts.append(first + a)
+            hashes.append(mixed((total[end] - total[first]) * _powers(True)[first]))
+        else:  # one word longer than a piece
+            b = data.find(b" ", a + PIECE) + 1
+            starts.append(np.array([a]))
+            hashes.append(np.array([xxhash.xxh3_64_intdigest(data[a : b - 1])], np.uint64))
+        a = b
+    if not hashes:
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0)
+
+
 def remainder(key: Column, divisor: int) -> Column:
     """crc32 of the key as text, modulo divisor: the split that training and held-out rows are told apart by."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(divisor)).cast("int")

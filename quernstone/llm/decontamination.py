@@ -23,13 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType
 
-from quernstone.llm.common import append_columns, fresh, slices, stored, table
+from quernstone.llm.common import append_columns, fresh, hashed_words, slices, stored, table
 
 #: Terms, and rank of the latent space at most: they bound the basis that is broadcast to TERMS * RANK * 4 bytes = 64 MB. Terms are the
 #: words of the benchmark; those of a benchmark with more words than TERMS share terms evenly. No other word of a document counts.
@@ -49,17 +48,26 @@ PLACES, BITMAPS_AT_ONCE, ANSWER_WORDS = 4096, 512, 32
 _SPACES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
+def hashes_of(texts: list[str | None]) -> list[np.ndarray]:
+    """Hashes of the words of each text in lower case; ASCII signs count as spaces."""
+    words, n = hashed_words([x.lower().encode("utf-8", "replace").translate(_SPACES) if x else b"" for x in texts])
+    return np.split(words, np.cumsum(n)[:-1]) if len(n) else []
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words of a text in lower case; ASCII signs count as spaces."""
-    words = text.lower().encode("utf-8", "replace").translate(_SPACES).split() if text else []
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return hashes_of([text])[0]
 
 
 def terms_of(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     """The term of each word, or -1; vocabulary: the sorted hashes of the benchmark's words."""
-    at = np.searchsorted(vocabulary, hashes)
+    likely = np.zeros(1 << 16, bool)
+    likely[vocabulary >> np.uint64(48)] = True
+    out = np.full(len(hashes), -1, np.int64)
+    some = np.flatnonzero(likely[hashes >> np.uint64(48)])
+    at = np.searchsorted(vocabulary, hashes[some])
     at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == hashes, at % TERMS, -1)
+    out[some] = np.where(vocabulary[at] == hashes[some], at % TERMS, -1)
+    return out
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -132,7 +140,7 @@ class LatentIndex:
             for batch in batches:
                 n += batch.num_rows
                 for _, _, texts in slices(batch.column(0)):
-                    hashes = [word_hashes(x) for x in texts]
+                    hashes = hashes_of(texts)
                     t = terms_of(np.concatenate(hashes), shared.value)
                     own = np.unique((np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) * TERMS + t)[t >= 0]) % TERMS
                     found += np.bincount(own, minlength=TERMS)
@@ -309,7 +317,7 @@ def may_match(flat: np.ndarray, low: np.ndarray, high: np.ndarray, begin: np.nda
 
 def search(texts: list[str | None], index: dict) -> list[tuple[int, int, int, float, int, float]]:
     """(text, passage, first word of the window, cosine, common words, share) of all passages found in the texts."""
-    hashes = [word_hashes(x) for x in texts]
+    hashes = hashes_of(texts)
     length = np.array([len(h) for h in hashes])
     blocks = -(-length // BLOCK)
     first = np.r_[0, np.cumsum(blocks)]

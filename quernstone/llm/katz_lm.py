@@ -18,31 +18,29 @@ Defined results
   Good-Turing discounts that come out beyond (0, 1), as with few counts, are replaced by (r - 0.5) / r.
   null and repeated ids: each row is scored; ids may be of any type; a null train mark counts as false.
   an empty table gives an empty result; columns besides the id, the text and the mark aren't read, whatever their names.
-  very long texts: a text is tokenised in pieces of PIECE bytes; all its tokens are held at once (8 bytes each, some times over).
+  very long texts: whole; all their tokens are held at once (8 bytes each, some times over).
   Words are told apart by 62 bits of a hash; ties of equal counts have no bearing on scores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from quernstone.llm.common import mixed, remainder, slices, stored, table
+from quernstone.llm.common import hashed_words, mixed, remainder, slices, stored, table
 
 #: Words that are broadcast at most (36 bytes each), and the most frequent ones of them, whose pairs are a block of
 #: FRONT * FRONT * 4 bytes = 16 MB; neither bounds a count or changes a score.
 HEAD, FRONT = 1 << 19, 2_048
 #: Counts up to this are discounted.
 LEAST_RELIABLE = 5
-#: Bytes of texts whose n-grams a task sums up at once, and of them that are hashed at once.
-CHUNK, PIECE = 8_000_000, 1_000_000
+#: Bytes of texts whose n-grams a task sums up at once.
+CHUNK = 8_000_000
 #: Tokens for each bucket of pairs, which a task gathers at once.
 BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 256
 #: Keys of words have this bit; numbers of broadcast words are below 2^SHIFT.
@@ -50,46 +48,18 @@ RARE, SHIFT = 1 << 62, 21
 END_WORD = RARE | 1
 _COUNTS = [f"n{r}" for r in range(1, LEAST_RELIABLE + 2)]
 _PLAIN = bytes(32 if c in b"\t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_BYTES = np.random.default_rng(41).integers(0, 1 << 64, 256, dtype=np.uint64)
-_RATIO = 0x9E3779B97F4A7C13  # odd, and 3 modulo 8
-
-
-@lru_cache(maxsize=2)
-def _powers(inverse: bool) -> np.ndarray:
-    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(PIECE - 1, np.uint64(pow(_RATIO, -1 if inverse else 1, 1 << 64)))])
 
 
 def word_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(key of each token, tokens of each text); A-Z count as a-z, and every text ends with END_WORD."""
-    raw = [(x or "").encode("utf-8", "replace").translate(_PLAIN) for x in texts]
-    data = b" ".join([*raw, b""])
-    flat = np.frombuffer(data, np.uint8)
-    starts, hashes, a = [], [], 0
-    while a < len(data):
-        b = data.rfind(b" ", a, a + PIECE) + 1
-        if not b:  # one word longer than a piece
-            b = data.find(b" ", a + PIECE) + 1
-            starts.append(np.array([a]))
-            hashes.append(np.array([xxhash.xxh3_64_intdigest(data[a : b - 1])], np.uint64))
-        else:
-            piece = flat[a:b]
-            edge = np.diff((piece != 32).view(np.int8), prepend=0)
-            first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            total = np.r_[np.uint64(0), np.cumsum(_BYTES[piece] * _powers(False)[: len(piece)], dtype=np.uint64)]
-            starts.append(first + a)
-            hashes.append(mixed((total[end] - total[first]) * _powers(True)[first]))
-        a = b
-    word = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-    at = np.concatenate(starts) if starts else np.empty(0, np.int64)
-    ends = np.cumsum([len(x) + 1 for x in raw])
-    before = np.searchsorted(at, ends)  # words up to the end of each text
-    keys = np.empty(len(word) + len(raw), np.int64)
-    last = before + np.arange(len(raw))
+    word, n = hashed_words([(x or "").encode("utf-8", "replace").translate(_PLAIN) for x in texts])
+    keys = np.empty(len(word) + len(n), np.int64)
+    last = np.cumsum(n + 1) - 1
     keys[last] = END_WORD
     inner = np.ones(len(keys), bool)
     inner[last] = False
     keys[inner] = np.maximum((word >> np.uint64(2)).astype(np.int64) | RARE, END_WORD + 1)
-    return keys, np.diff(before, prepend=0) + 1
+    return keys, n + 1
 
 
 def discounts(n: dict[int, int], most: int = LEAST_RELIABLE) -> list[float]:

@@ -11,6 +11,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+from quernstone.llm import common
 from quernstone.llm import katz_lm as K
 from quernstone.llm import sentencepiece_codec as S
 from quernstone.llm import token_counts as C
@@ -171,10 +172,10 @@ def test_word_keys(monkeypatch):
     keys, n = K.word_keys(texts)
     assert n.tolist() == [1, 1, 4, 3, 2, 3, 3]
     assert keys[2] == keys[4] and keys[3] == keys[9] and len(set(keys.tolist())) == 9
-    monkeypatch.setattr(K, "PIECE", 64)
-    K._powers.cache_clear()
+    monkeypatch.setattr(common, "PIECE", 64)
+    common._powers.cache_clear()
     again, m = K.word_keys(texts)
-    K._powers.cache_clear()
+    common._powers.cache_clear()
     assert m.tolist() == n.tolist() and len(set(again.tolist())) == 9 and again[2] == again[4] == keys[2]
 
 
