@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegralType
 
-from quernstone.llm.common import append_columns, components, fresh, mixed, slices, stored, table
+from quernstone.llm.common import PLAIN, append_columns, components, fresh, hashed_words, mixed, slices, stored, table
 
 WORDS, PERCENT = 4, 85
 #: Sets up to SHORT tokens have all their tokens counted in the first thinning, others those whose hash is below SHARE.
@@ -45,17 +45,17 @@ SHORT, SHARE = 64, 0.25
 _MIX, _SEEDS = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; A-Z count as a-z."""
-    found = text.encode("utf-8", "replace").lower().split() if text else []
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    k = min(words, len(h))
-    x = np.full(len(h) - k + 1, np.uint64(k))
-    for i in range(k):
-        x = x * _MIX + h[i : len(h) - k + 1 + i]
-    return np.unique(mixed(x))
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles; A-Z count as a-z."""
+    hashes, sizes = hashed_words([(x or "").encode("utf-8", "replace").translate(PLAIN) for x in texts])
+    out = []
+    for h in np.split(hashes, np.cumsum(sizes)[:-1]) if len(sizes) else ():
+        k = min(words, len(h))
+        x = np.full(len(h) - k + 1 if k else 0, np.uint64(k))
+        for i in range(k):
+            x = x * _MIX + h[i : len(h) - k + 1 + i]
+        out.append(np.unique(mixed(x)))
+    return out
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -77,8 +77,7 @@ def sketches(docs: DataFrame, words: int, percent: int, share: float) -> DataFra
         for batch in batches:
             for a, b, texts in slices(batch.column(1)):
                 n, digest, known, sure = [], [], [], []
-                for text in texts:
-                    x = shingle_set(text, words)
+                for x in shingle_sets(texts, words):
                     low = int(np.searchsorted(x, below, "right"))
                     n.append(len(x))
                     digest.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
@@ -95,7 +94,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in slices(batch.column(1)):
-                found = [shingle_set(t, words) for t in texts]
+                found = shingle_sets(texts, words)
                 digest = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), digest, _lists(found)], ["id", "digest", "tokens"])
 
@@ -262,7 +261,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return kept
 
     def digests(texts: list[str | None]) -> list[pa.Array]:
-        sets = [shingle_set(t, words) for t in texts]
+        sets = shingle_sets(texts, words)
         return [pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())]
 
     kept = append_columns(kept, text_col, digests, [(digest, BinaryType())]).withColumn(order, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))

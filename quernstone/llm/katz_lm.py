@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from quernstone.llm.common import hashed_words, mixed, remainder, slices, stored, table
+from quernstone.llm.common import PLAIN, hashed_words, mixed, remainder, slices, stored, table
 
 #: Words that are broadcast at most (36 bytes each), and the most frequent ones of them, whose pairs are a block of
 #: FRONT * FRONT * 4 bytes = 16 MB; neither bounds a count or changes a score.
@@ -47,12 +47,11 @@ BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 256
 RARE, SHIFT = 1 << 62, 21
 END_WORD = RARE | 1
 _COUNTS = [f"n{r}" for r in range(1, LEAST_RELIABLE + 2)]
-_PLAIN = bytes(32 if c in b"\t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def word_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(key of each token, tokens of each text); A-Z count as a-z, and every text ends with END_WORD."""
-    word, n = hashed_words([(x or "").encode("utf-8", "replace").translate(_PLAIN) for x in texts])
+    word, n = hashed_words([(x or "").encode("utf-8", "replace").translate(PLAIN) for x in texts])
     keys = np.empty(len(word) + len(n), np.int64)
     last = np.cumsum(n + 1) - 1
     keys[last] = END_WORD
