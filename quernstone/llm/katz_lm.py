@@ -40,7 +40,7 @@ HEAD, FRONT = 1 << 19, 2_048
 #: Counts up to this are discounted.
 LEAST_RELIABLE = 5
 #: Bytes of texts whose n-grams a task sums up at once.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 #: Tokens for each bucket of pairs, which a task gathers at once.
 BUCKET_TOKENS, LEAST_BUCKETS = 2_000_000, 256
 #: Keys of words have this bit; numbers of broadcast words are below 2^SHIFT.
