@@ -30,6 +30,8 @@ SECTIONS = [
 STOP_HEADINGS = ["社会兼职", "社会职务", "研究生", "报考咨询", "招生信息", "最新消息", "最新动态", "最新", "相关链接", "校训", "相关教师", "个人资料", "联系方式", "项目", "报考", "what's new", "news", "contact", "links", "teaching", "honors", "awards", "projects", "students", "service"]
 SKIPPED_TITLES = ["相关教师", "个人资料", "访问", "导航"]
 SUBPAGES = [("research", ["research", "研究", "科研"]), ("papers", ["publication", "papers", "paper", "论文", "成果"]), ("intro", ["biography", "about", "简介", "个人", "主页", "home"])]
+# Markers of the older layout; a line that begins with one of the first four is a marker too.
+MARKERS, MARKER_PREFIXES, BEFORE_MARKERS = ["研究领域", "研究兴趣", "个人简介", "研究方向", "开授课程", "科研项目", "论文", "科研成果", "教育经历", "工作经历"], 4, "_header"
 _SILENT, _VOID = {"script", "style", "noscript"}, {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -147,6 +149,25 @@ def flat_sections(lines: DataFrame, key: str, *, order: str = "at", line: str =
     return found.where(~T.looks_incomplete("body", T.PAGE_INCOMPLETE))
 
 
+def marker_sections(lines: DataFrame, key: str, *, order: str = "at", line: str = "line") -> DataFrame:
+    """(key, name, body) of lines (key, at, line): the lines after each marker, under the marker's whole line, and those before the first
+    under BEFORE_MARKERS. Of sections of one name the last that has lines counts."""
+    text = F.col(line)
+    head = text.isin(*MARKERS) | F.exists(F.array(*map(F.lit, MARKERS[:MARKER_PREFIXES])), lambda m: F.startswith(text, m))
+    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = lines.withColumn("_head", head).withColumn("_section", F.sum(F.col("_head").cast("int")).over(so_far))
+    marked = marked.withColumn("name", F.coalesce(F.last(F.when(F.col("_head"), text), ignorenulls=True).over(so_far), F.lit(BEFORE_MARKERS)))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda s: s[line]), "\n")
+    bodies = marked.where(~F.col("_head")).groupBy(key, "name", "_section").agg(T.strip(joined).alias("body"))
+    return bodies.groupBy(key, "name").agg(F.max_by("body", "_section").alias("body"))
+
+
+def link_samples(links: Column, most: int = 40) -> Column:
+    """The first distinct texts of a page's links that have 5 to 99 characters."""
+    texts = F.filter(F.transform(links, lambda x: T.strip(x["text"])), lambda t: (F.length(t) > 4) & (F.length(t) < 100))
+    return F.slice(F.array_distinct(texts), 1, most)
+
+
 def page_sections(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, field, body): the sections of the boxes, and those of the flat text for pages that lack a main field."""
     boxed = pages.select(key, F.explode(box_sections(F.col("boxes"))).alias("field", "body"))
@@ -190,11 +211,35 @@ def finalize(sections: Column, name: Column | str, title: Column | str, departme
     return T.let(F.struct(part("research", 600).alias("research"), part("intro", 3000).alias("intro"), part("papers", 5000).alias("papers")), record)
 
 
-def page_records(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """A record for each walked page, of its sections alone (no subpages)."""
-    found = page_sections(pages, key).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "body"))).alias("sections"))
-    df = pages.select(key, "url", "title", T.clean_page_lines("text").alias("full_text")).join(found, key, "left")
+def _with_subpages(pages: DataFrame, key: str, hosts: list[str]) -> DataFrame:
+    """(key, sections, full_text) of pages and their subpages: a field that the page lacks is that of its first subpage, in the order of SUBPAGES,
+    that has it; a subpage without its own field gives all it has, and its whole text for that field if nothing else does."""
+    own = page_sections(pages, key)
+    text = pages.select(F.col(key).alias("_sub"), T.normalize_url("url").alias("link"), T.clean_page_lines("text").alias("main")).where("link <> ''").dropDuplicates(["link"])
+    names = [name for name, _ in SUBPAGES]
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("field")).cast("int")
+    links = subpage_links(pages, hosts, key).withColumn("place", place).groupBy(key, "link").agg(F.min_by("field", "place").alias("canon"), F.min("place").alias("place"))
+    # fields that are no core field are looked up only where the page has none
+    links = links.join(own.where("field = 'intro'").select(key, F.col("field").alias("canon")), [key, "canon"], "left_anti")
+    found = links.join(text, "link").where(F.col("_sub") != F.col(key))
+    theirs = found.select(key, "_sub", "canon", "place").join(own.select(F.col(key).alias("_sub"), "field", "body"), "_sub")
+    has = theirs.where("field = canon").select(key, "_sub").distinct().withColumn("has", F.lit(True))
+    theirs = theirs.join(has, [key, "_sub"], "left").where(F.col("has").isNull() | (F.col("field") == F.col("canon")))
+    whole = found.where(F.length("main") > 30).select(key, F.col("canon").alias("field"), F.col("main").alias("body"), (F.col("place") + 0.5).alias("rank"))
+    every = own.withColumn("rank", F.lit(0.0)).unionByName(theirs.select(key, "field", "body", F.col("place").cast("double").alias("rank"))).unionByName(whole)
+    first = every.groupBy(key, "field").agg(F.min_by("body", "rank").alias("body"))
+    sections = first.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "body")))).alias("sections"))
+    parts = pages.select(key, F.lit(0).alias("place"), T.clean_page_lines("text").alias("main")).unionByName(found.select(key, "place", "main")).where("main <> ''")
+    texts = parts.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "main"))), lambda p: p["main"]), "\n").alias("full_text"))
+    return pages.select(key).join(sections, key, "left").join(texts, key, "left").withColumn("full_text", F.coalesce("full_text", F.lit("")))
+
+
+def page_records(pages: DataFrame, key: str = "page_id", hosts: list[str] | None = None) -> DataFrame:
+    """A record for each walked page, of its sections alone, or, with hosts, of those of the subpages on its own host too."""
+    if hosts is None:
+        found = page_sections(pages, key).groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "body")))).alias("sections"))
+        df = pages.select(key, "url", "title", T.clean_page_lines("text").alias("full_text")).join(found, key, "left")
+    else:
+        df = pages.select(key, "url", "title").join(_with_subpages(pages, key, hosts), key)
     df = df.withColumn("sections", F.coalesce("sections", F.create_map().cast("map<string,string>")))
     return df.select(key, "url", "title", "sections", finalize(F.col("sections"), F.lit(""), "title", F.lit(""), F.lit(""), "full_text").alias("r")).select(key, "url", "title", "sections", "r.*")
-
-

@@ -52,3 +52,20 @@ def pick_by_name(df: DataFrame, names: Sequence[str], column: str) -> DataFrame:
     if missing:
         raise ValueError(f"no rows for {', '.join(missing)}")
     return df.join(wanted, column, "left_semi")
+
+
+def target_rows(rows: DataFrame, groups: DataFrame, key: str, required: Sequence[str] = ()) -> DataFrame:
+    """The rows whose group is among the groups (key) and whose required fields aren't blank."""
+    kept = rows.join(groups.select(key).distinct(), key, "left_semi")
+    for field in required:
+        kept = kept.where(F.trim(F.coalesce(F.col(field), F.lit(""))) != "")
+    return kept
+
+
+def collect_roster(channels: Sequence[DataFrame], groups: DataFrame, seeds: DataFrame, *, group: str, key: str, name: str, order: Sequence[Column | str], cap: int = 0) -> DataFrame:
+    """The rosters of several channels, of which the first wins, as one: rows of the wanted groups that have a key and a name, one for each
+    key of a group, at most cap for each group (0: all), and the seeds of those groups that are missing, whatever the cap."""
+    listed = [target_rows(c, groups, group, [key, name]) for c in channels]
+    rows = union_first_wins(listed, [group, key], order, [group], cap) if cap else union_first_wins(listed, [group, key], order)
+    wanted = target_rows(seeds, groups, group, [key])
+    return rows.unionByName(wanted.join(rows.select(group, key), [group, key], "left_anti"))

@@ -60,8 +60,3 @@ def result_order(mode: str) -> list:
 def sort_results(results: DataFrame, mode: str = "score") -> DataFrame:
     """Ranked results in another order: by score, name, or department."""
     return results.orderBy("query_id", *result_order(mode), "rank")
-
-
-def best_by_count(df: DataFrame, key: str, items: str, order: Sequence[Column | str]) -> DataFrame:
-    """Of a key's rows the one with the longest array; of several the first in order."""
-    return first_per_key(df, [key], [F.desc(F.size(items)), *order])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,17 @@ def incomplete(records: DataFrame, fields: Sequence[str], keep: Sequence[str], s
 
 def count_by(records: DataFrame, column: str, unknown: str = "未知") -> DataFrame:
     return records.groupBy(F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(unknown)).alias(column)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def completeness(groups: DataFrame, rows: DataFrame, key: str, official: str) -> DataFrame:
+    """(key, official, listed, flag): OK for each group that has as many rows as its official count, else 不足."""
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("listed"))
+    df = groups.select(key, F.coalesce(F.col(official), F.lit(0)).cast("long").alias("official")).join(n, key, "left").withColumn("listed", F.coalesce("listed", F.lit(0)))
+    return df.withColumn("flag", F.when(F.col("listed") >= F.col("official"), "OK").otherwise("不足"))
+
+
+def progress(records: DataFrame, done: Column, failed: Column) -> DataFrame:
+    """(total, done, failed, left): where a batch stands, and what a run that resumes it has to do. done counts before failed; null is false."""
+    is_done, is_failed = F.coalesce(done, F.lit(False)), F.coalesce(failed, F.lit(False))
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return records.agg(F.count(F.lit(1)).alias("total"), count(is_done).alias("done"), count(~is_done & is_failed).alias("failed"), count(~is_done & ~is_failed).alias("left"))

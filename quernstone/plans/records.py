@@ -266,3 +266,40 @@ def artifact_files(spark, sf_dir):
     """Numbers and file names of the corpus that an index is made of."""
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("name"), F.concat(F.lit("nation "), (F.col("s_nationkey") % 10).cast("string")).alias("department"), F.lit("").alias("career"), F.lit(0).alias("college_id"), F.lit("").alias("url"), F.lit("").alias("corpus_text"))
     return sinks.artifacts(rows).select("doc_id", "file")
+
+
+_MARKED = [(1, "王一"), (2, "研究方向：翻译"), (3, "机器翻译"), (4, "句法分析"), (5, "论文"), (6, "A paper about something"), (7, "论文"), (8, "工作经历"), (9, "2001 to 2010"), (10, "研究方向：翻译"), (11, "语义"), (12, "科研成果表"), (13, "论文"), (14, "Another paper")]
+
+
+@query(f"""WITH l AS (SELECT id, text, text IN ({", ".join(f"'{m}'" for m in extract.MARKERS)}) OR {" OR ".join(f"starts_with(text, '{m}')" for m in extract.MARKERS[:extract.MARKER_PREFIXES])} AS head FROM {X.values(_MARKED, X.TEXT)}),
+n AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (ORDER BY id) AS section FROM l),
+s AS (SELECT n.section, coalesce(max(h.text), '_header') AS name, string_agg(n.text, '|' ORDER BY n.id) AS body FROM n LEFT JOIN n h ON h.section = n.section AND h.head WHERE NOT n.head GROUP BY n.section)
+SELECT name, body FROM s QUALIFY row_number() OVER (PARTITION BY name ORDER BY section DESC) = 1""")
+def sections_by_marker(spark, sf_dir):
+    lines = spark.createDataFrame([(1, i, x) for i, x in _MARKED], "page int, at long, line string")
+    return extract.marker_sections(lines, "page").select("name", F.replace("body", F.lit("\n"), F.lit("|")).alias("body"))
+
+
+@query("""WITH g AS (SELECT n_nationkey AS nation FROM nation WHERE n_regionkey IN (1, 3)),
+u AS (SELECT 0 AS src, s_nationkey AS nation, s_name AS name, 's' || s_suppkey AS key FROM supplier UNION ALL SELECT 1, c_nationkey, c_name, CASE WHEN c_custkey % 4 = 0 THEN 's' || c_custkey WHEN c_custkey % 4 = 1 THEN ' ' ELSE 'c' || c_custkey END FROM customer),
+o AS (SELECT * FROM u WHERE nation IN (FROM g) AND trim(key) <> '' QUALIFY row_number() OVER (PARTITION BY nation, key ORDER BY src, name) = 1),
+c AS (SELECT nation, name, key FROM o QUALIFY row_number() OVER (PARTITION BY nation ORDER BY src, name) <= 40)
+SELECT * FROM c UNION ALL SELECT n_nationkey, n_name, 'seed' FROM nation WHERE n_nationkey IN (FROM g)""")
+def roster_collected(spark, sf_dir):
+    """Two channels of rows of the wanted groups, capped, with a seed for each group."""
+    groups = table(spark, sf_dir, "nation").where("n_regionkey IN (1, 3)").select(F.col("n_nationkey").alias("nation"))
+    first = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"), F.expr("'s' || s_suppkey").alias("key"))
+    second = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"), F.expr("CASE WHEN c_custkey % 4 = 0 THEN 's' || c_custkey WHEN c_custkey % 4 = 1 THEN ' ' ELSE 'c' || c_custkey END").alias("key"))
+    seeds = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"), F.lit("seed").alias("key"))
+    return merge.collect_roster([first, second], groups, seeds, group="nation", key="key", name="name", order=["name"], cap=40)
+
+
+@query("SELECT n_nationkey AS nation, 60 AS official, count(c_custkey) AS listed, CASE WHEN count(c_custkey) >= 60 THEN 'OK' ELSE '不足' END AS flag FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+def completeness_log(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.lit(60).alias("official"))
+    return report.completeness(nations, table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")), "nation", "official")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'P') AS failed, count(*) FILTER (o_orderstatus NOT IN ('F', 'P')) AS left FROM orders")
+def batch_progress(spark, sf_dir):
+    return report.progress(table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "P")

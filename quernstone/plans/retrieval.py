@@ -47,7 +47,7 @@ def term_frequency(spark, sf_dir):
 _INDEXES: dict[tuple[str, str], index.Index] = {}
 
 
-def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+def stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
     """The index of documents, built and stored the first time that a session asks for it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
@@ -57,12 +57,12 @@ def _index(spark: SparkSession, sf_dir: str) -> index.Index:
 
 @query(f"WITH {_TF} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def document_frequency(spark, sf_dir):
-    return _index(spark, sf_dir).terms.withColumn("idf", F.round("idf", 6))
+    return stored_index(spark, sf_dir).terms.withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {_TF} SELECT doc_id, round(norm, 6) AS norm FROM norms")
 def doc_norms(spark, sf_dir):
-    return _index(spark, sf_dir).norms.withColumn("norm", F.round("norm", 6))
+    return stored_index(spark, sf_dir).norms.withColumn("norm", F.round("norm", 6))
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -78,7 +78,7 @@ _BEST = "SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER
 def tfidf_topk(spark, sf_dir):
     """The flagship: the ten best documents of a three-word query."""
     wanted = spark.createDataFrame([(1, ["the", "hely", "blend"])], "query_id long, tokens array<string>")
-    return _ranked(index.token_scores(wanted, _index(spark, sf_dir)), 10).select("doc_id", "score", "rank")
+    return _ranked(index.token_scores(wanted, stored_index(spark, sf_dir)), 10).select("doc_id", "score", "rank")
 
 
 def _items(spark, sf_dir) -> DataFrame:
@@ -88,12 +88,12 @@ def _items(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_TF}, {_HEADS}, scores AS (SELECT query_id, doc_id, sum(weight) / any_value(norm) AS score FROM (SELECT query_id, unnest(tokens) AS term FROM heads) JOIN w USING (term) JOIN norms USING (doc_id) GROUP BY ALL) {_BEST.format(5)}")
 def tfidf_topk_batch(spark, sf_dir):
-    return _ranked(index.token_scores(_items(spark, sf_dir), _index(spark, sf_dir)), 5).select("query_id", "doc_id", "score", "rank")
+    return _ranked(index.token_scores(_items(spark, sf_dir), stored_index(spark, sf_dir)), 5).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {_TF}, {_HEADS} SELECT query_id, doc_id, round(sum(weight) / any_value(norm), 6) AS score FROM (SELECT query_id, len(tokens) AS n, unnest(tokens) AS term FROM heads) JOIN w USING (term) JOIN norms USING (doc_id) GROUP BY query_id, doc_id, n HAVING count(*) = n")
 def token_search_all_terms(spark, sf_dir):
-    found = index.token_scores(_items(spark, sf_dir), _index(spark, sf_dir), require_all=True)
+    found = index.token_scores(_items(spark, sf_dir), stored_index(spark, sf_dir), require_all=True)
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 

@@ -93,3 +93,9 @@ def test_charsets():
     assert decode_bytes("中文".encode("gb18030")) == "中文"
     assert decode_bytes(None) == ""
     assert decode_bytes("é".encode("latin-1"), "latin-1") == "é"
+
+
+def test_clean_papers(spark):
+    raw = ["1、Neural machine translation", "[C48] Parsing of sentences", "专利", "www.example.org/x", "see google scholar", "Neural machine translation", "short", "（3）Graph mining at scale"]
+    got = spark.createDataFrame([(raw,)], "x array<string>").select(P.clean_papers(F.col("x")).alias("y")).first()["y"]
+    assert got == ["Neural machine translation", "Parsing of sentences", "Graph mining at scale"]

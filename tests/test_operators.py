@@ -2,6 +2,8 @@
 
 import json
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,11 +89,12 @@ def test_all_terms(search, spark):
 
 
 def test_stored_index_is_read_by_term(spark, search):
-    search.index.save("idx", 4)
-    loaded = index.Index.load(spark, "idx")
+    name = f"idx_{uuid.uuid4().hex}"
+    search.index.save(name, 4)
+    loaded = index.Index.load(spark, name)
     assert loaded.postings.count() == search.index.postings.count()
     for t in ("frequencies", "terms", "norms"):
-        spark.sql(f"DROP TABLE idx_{t}")
+        spark.sql(f"DROP TABLE {name}_{t}")
 
 
 def test_display(search, spark):
