@@ -279,6 +279,34 @@ def phrase_entity_union(spark, sf_dir):
     return ranked.select(F.col("query_id").cast("int").alias("query_id"), "rank", F.round("score", 6).alias("score"), "name", "department", "doc_id")
 
 
+_ITEM = f"regexp_replace(regexp_replace(regexp_replace(text, '[-_/]+', ' ', 'g'), '{_WS}+', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+@query(f"""WITH {_TF}, e AS (SELECT DISTINCT source AS name, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS ord FROM documents WHERE source <> ''),
+q AS (SELECT item_id AS query_id, {_ITEM} AS query FROM benchmark WHERE {_ITEM} <> ''), ph AS (SELECT query_id, {_NORM.format('query')} AS needle FROM q),
+of_doc AS (SELECT doc_id, min(ord) AS ord FROM documents JOIN e ON contains('/corpus/' || source || '/' || doc_id || '.txt', name) GROUP BY doc_id),
+h AS (SELECT query_id, 3 AS stage, 1 + ln(1 + (length(hay) - length(replace(hay, needle, ''))) // length(needle)) AS score, doc_id FROM (SELECT doc_id, {_NORM.format("coalesce(text, '')")} AS hay FROM documents) JOIN ph ON needle <> '' AND contains(hay, needle)
+  UNION ALL SELECT query_id, 5, sum(weight) / any_value(norm), doc_id FROM (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+'))) AS term FROM q) JOIN w USING (term) JOIN norms USING (doc_id) GROUP BY query_id, doc_id),
+n AS (SELECT query_id, stage, score, name, CAST(doc_id AS VARCHAR) AS doc_id FROM h JOIN of_doc USING (doc_id) JOIN e USING (ord) QUALIFY stage = min(stage) OVER (PARTITION BY query_id)),
+best AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id, name ORDER BY score DESC, doc_id) = 1)
+SELECT query_id, stage, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name, doc_id) AS rank, round(score, 6) AS score, CASE WHEN stage = 3 THEN name END AS name, CASE WHEN stage = 3 THEN doc_id END AS doc_id
+FROM best QUALIFY rank <= 8""")
+def cascade_documents(spark, sf_dir):
+    """The staged search of all benchmark items over all documents, whose sources are the entities. Documents that are copies have equal
+    sums of weights but for their last digits, so which of them the search for terms names isn't compared."""
+    docs = table(spark, sf_dir, "documents")
+    paths = F.concat(F.lit("/corpus/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    corpus = docs.select(F.col("doc_id").cast("string").alias("doc_id"), paths.alias("path"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("ord"))
+    named = docs.where("source <> ''").select(F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("ord"), F.col("source").alias("name")).distinct()
+    entities = named.select("ord", "name", *[F.lit("").alias(c) for c in ("department", "career", "url", "research_direction", "personal_intro", "papers_text")])
+    known = stored_index(spark, sf_dir)
+    words = index.Index(known.frequencies.withColumn("doc_id", F.col("doc_id").cast("string")), known.terms, known.norms.withColumn("doc_id", F.col("doc_id").cast("string")), known.documents)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("raw"))
+    found = Search(corpus, entities, words).run(items, fuzzy=False)
+    by_phrase = F.col("stage") == 3
+    return found.select("query_id", "stage", "rank", F.round("score", 6).alias("score"), F.when(by_phrase, F.col("name")).alias("name"), F.when(by_phrase, F.col("doc_id")).alias("doc_id"))
+
+
 _CASES = [(1, "王一", "王一", "name"), (2, "李二", "李 二", "spaced name"), (3, "NLP", "王一", "abbreviation"), (7, "antenna power", "Ann Lee", "miss"), (12, "paper: zzz", "王一", "no result"), (16, "PDE", "王一凡", "second")]
 _CASE = "query_id int, query string, expected string, note string"
 _EVAL = f""", cases AS (SELECT * FROM (VALUES {', '.join(str(c) for c in _CASES)}) v(query_id, query, expected, note)),
