@@ -303,3 +303,12 @@ def completeness_log(spark, sf_dir):
 @query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'P') AS failed, count(*) FILTER (o_orderstatus NOT IN ('F', 'P')) AS left FROM orders")
 def batch_progress(spark, sf_dir):
     return report.progress(table(spark, sf_dir, "orders"), F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "P")
+
+
+@query("SELECT s_suppkey, 'left' AS kind FROM supplier WHERE s_nationkey % 3 <> 0 UNION ALL SELECT s_suppkey, 'named' FROM supplier WHERE s_name IN ('Supplier#000000003', 'Supplier#000000007') UNION ALL SELECT * FROM (SELECT s_suppkey, 'first' FROM supplier WHERE s_nationkey % 3 <> 0 ORDER BY CAST(s_suppkey AS VARCHAR) LIMIT 4)")
+def candidates_left(spark, sf_dir):
+    """The records that a run still has to work on, those of two names whether done or not, and the first four of the former."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"), F.col("s_suppkey").cast("string").alias("url"), (F.col("s_nationkey") % 3 == 0).alias("done"))
+    left, first = repair.candidates(rows, done="done"), repair.candidates(rows, done="done", limit=4)
+    named = repair.candidates(rows, names=["Supplier#000000003", "Supplier#000000007"], done="done", force=True)
+    return left.select("s_suppkey", F.lit("left").alias("kind")).union(named.select("s_suppkey", F.lit("named"))).union(first.select("s_suppkey", F.lit("first")))

@@ -330,6 +330,17 @@ def eval_summary(spark, sf_dir):
     return evaluate.summarize(_detail(spark).withColumn("mode", F.lit("optimized")))
 
 
+_BASELINE, _OPTIMIZED = (f"({_CASCADE.replace('{stages}', stages)}{_EVAL} SELECT * FROM detail)" for stages in ("stage IN (1, 2, 5)", "true"))
+
+
+@query(f"SELECT 'baseline' AS mode, * FROM {_BASELINE} UNION ALL SELECT 'optimized' AS mode, * FROM {_OPTIMIZED}")
+def eval_modes(spark, sf_dir):
+    """Details of the same cases without and with relaxing."""
+    search = Search(X.frame(spark, X.DOCS, X.DOC), X.frame(spark, X.ENTITIES, X.ENTITY))
+    details = evaluate.evaluate_modes(search, spark.createDataFrame(_CASES, _CASE), 5)
+    return details.select("mode", "query_id", "query", "expected", "top1", "topk_names", "hit_at_1", "hit_at_k", "expected_rank", "result_count")
+
+
 @query(None)
 def fuzzy_search(spark, sf_dir):
     """Part names like misspelled ones."""
