@@ -147,7 +147,7 @@ def scored(spark, training, texts, **sizes):
     return [rows[i] for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("sizes", [{"head": 0, "front": 0}, {"head": 1, "front": 2048}, {"head": 3, "front": 2}, {"head": 5, "front": 0}, {"head": 100, "front": 3}, {}])
+@pytest.mark.parametrize("sizes", [{"head": 0, "front": 0}, {"head": 3, "front": 2}, {"head": 100, "front": 3}, {}])
 def test_katz_like_the_recursion(spark, sizes):
     texts = [*TRAINING, "q", "q q a b zz", "b a", "g h i j", "a b c", "x y z", "z y x", "f g zz h", "y y y"]
     words, p, want = katz(TRAINING, texts, 1_000)
@@ -161,10 +161,9 @@ def test_katz_like_the_recursion(spark, sizes):
 def test_katz_on_real_texts(spark, texts):
     training, others = texts[::2], texts[1::2]
     want = katz(training, others, 1_000_000)[2]
-    for head in (50, 1_000_000):
-        for (n, known, base, score), r in zip(want, scored(spark, training, others, head=head, front=20), strict=True):
-            assert (r.n_tokens, r.n_known) == (n, known)
-            assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-5)
+    for (n, known, base, score), r in zip(want, scored(spark, training, others, head=50, front=20), strict=True):
+        assert (r.n_tokens, r.n_known) == (n, known)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-5)
 
 
 def test_word_keys(monkeypatch):
