@@ -160,7 +160,7 @@ def manifest(rows: DataFrame, leaf: Column, group: Column, claimed: Column | Non
     named = F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit(""))  # null before all others
     kind = rows.select(id_col).schema[0].dataType.simpleString()
     leaves = rows.select(named.alias("grp"), F.col(id_col).alias("id"), F.unhex(leaf).alias("digest"), F.unhex(leaf if claimed is None else claimed).alias("claimed"))
-    leaves = numbered(leaves, "grp", ["id", "digest"], "place", "total")
+    leaves = numbered(stored(leaves, "leaves"), "grp", ["id", "digest"], "place", "total")
     trees = stored(paths_to_roots(leaves, fan, f"id {kind}, claimed binary"), "trees")
     roots = numbered(trees.groupBy("grp").agg(F.first("root").alias("digest")).select(F.lit("").alias("all"), F.col("grp").alias("name"), "digest"), "all", ["name"], "place", "total")
     top = paths_to_roots(roots.withColumnRenamed("all", "grp"), fan, "name string").select(F.col("name").alias("grp"), F.col("place").alias("grp_place"), F.col("total").alias("grps"), F.col("root").alias("top"), F.col("path").alias("grp_path"))
