@@ -34,7 +34,7 @@ from quernstone.llm.ordering import numbered, small
 SCALE = 1_000_000_000
 BLOCK, CHUNK, SPAN = 32, 8192, 8
 #: Terms of a task that are counted before they are passed on; some 200 bytes each.
-HELD = 300_000
+HELD = 500_000
 #: Bytes of a text that are cut into terms at once.
 PIECE = 1_000_000
 #: Bytes of terms stay, A-Z as a-z; what is between terms becomes a space.
@@ -58,14 +58,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict = defaultdict(lambda: (Counter(), Counter()))
 
-        def rows() -> pa.RecordBatch:
-            flat = [(lang, source, term, n, k[term]) for (lang, source), (c, k) in groups.items() for term, n in c.items()]
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, documents) in groups.items():
+                columns = [pa.repeat(pa.scalar(lang, pa.string()), len(n)), pa.repeat(pa.scalar(source, pa.string()), len(n)), pa.array(list(n), pa.binary()).cast(pa.string())]
+                columns += [pa.array(list(n.values()), pa.int64()), pa.array([documents[term] for term in n], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
             groups.clear()
-            columns = list(zip(*flat)) if flat else [()] * 5
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-            made = [pa.array(list(x), kind) for x, kind in zip(columns, kinds)]
-            made[2] = made[2].cast(pa.string())
-            return pa.RecordBatch.from_arrays(made, ["lang", "source", "term", "n", "docs"])
 
         held = 0
         for batch in batches:
@@ -81,9 +79,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
                     documents.update(seen)
                     held += len(occurrences) - before
                     if held > HELD:
-                        yield rows()
+                        yield from rows()
                         held = 0
-        yield rows()
+        yield from rows()
 
     counted = docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n long, docs long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))

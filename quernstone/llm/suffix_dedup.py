@@ -207,7 +207,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     long_ones = rows.where(F.octet_length("text") >= length)
     contexts = stored(long_ones.select("r1", "r2", "text").mapInArrow(find, "gram long, context long, r1 long, r2 long, start int, starts int"), "contexts")
     again = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    found = stored(contexts.join(again.select("gram", (F.col("low") != F.col("high")).alias("differ")), "gram"), "repeated")
+    again = stored(again.select("gram", (F.col("low") != F.col("high")).alias("differ")), "grams")  # else their partitions are the join's, and a hot gram's isn't split
+    found = stored(contexts.join(again, "gram"), "repeated")
     whole = found.where("NOT differ").select("r1", "r2", F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("starts") + length - 1).alias("b"))).alias("spans"))
 
     differ = found.where("differ")
