@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.operators.search import Search
+from quernstone.operators.search import FUZZY, Search
 
 
 def evaluate(cases: DataFrame, results: DataFrame) -> DataFrame:
@@ -36,7 +36,12 @@ def evaluate_modes(search: Search, cases: DataFrame, top_k: int = 5) -> DataFram
 
 
 def sweep(search: Search, cases: DataFrame, thresholds: Sequence[int], top_k: int = 10) -> DataFrame:
-    """(threshold, cases, hits): the optimized mode at several thresholds of likeness."""
-    queries = cases.select("query_id", F.col("query").alias("raw"))
-    details = [evaluate(cases, search.run(queries, top_k=top_k, threshold=t)).withColumn("threshold", F.lit(t)) for t in thresholds]
-    return reduce(DataFrame.unionByName, details).groupBy("threshold").agg(F.count(F.lit(1)).alias("cases"), F.sum("hit_at_1").alias("hit_at_1_count"), F.sum("hit_at_k").alias("hit_at_k_count"))
+    """(threshold, cases, hit_at_1_count, hit_at_k_count): the optimized mode at any number of thresholds of likeness.
+
+    Texts are scored once, at the least threshold. Results of the stage by likeness are in order of their scores, so a greater
+    threshold keeps a first part of them, and the rank of what is expected stays what it is up to its own score."""
+    results = search.run(cases.select("query_id", F.col("query").alias("raw")), top_k=top_k, threshold=min(thresholds)).select("query_id", "stage", "rank", "name", "score")
+    found = cases.join(results.withColumnRenamed("name", "expected"), ["query_id", "expected"]).groupBy("query_id").agg(F.min("rank").alias("rank"), F.max(F.when(F.col("stage") == FUZZY, F.col("score")).otherwise(101)).alias("up_to"))
+    asked = cases.select("query_id", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).join(found, "query_id", "left")
+    holds = F.col("up_to") >= F.col("threshold")
+    return asked.groupBy("threshold").agg(F.count(F.lit(1)).alias("cases"), *[F.sum(F.when(holds & (F.col("rank") <= k), 1).otherwise(0)).alias(f"hit_at_{n}_count") for n, k in (("1", 1), ("k", top_k))])

@@ -10,24 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.fuzzy import likeness
 from quernstone.functions.query import planned
 from quernstone.functions.text import col, normalize_text, snippet, tokens
+from quernstone.operators.likeness import alike
 from quernstone.operators.index import Index, build_index, token_scores
 from quernstone.operators.phrases import phrase_counts
 from quernstone.operators.rank import dedupe_and_rank
-from quernstone.operators.tables import checkpointed
+from quernstone.operators.tables import checkpointed, small
 
-#: Rows of a side that is broadcast at most; a larger one is left to the planner.
-BATCH = 10_000
 NAME, SCOPED, PHRASE, FIELDS, TOKENS, FUZZY = 1, 2, 3, 4, 5, 7
 
 
-def small(df: DataFrame, most: int = BATCH) -> DataFrame:
-    """df to be broadcast, if it has at most `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _paths_with_names(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """(doc_id, entity) of every document whose path contains an entity's name: names are looked for together, not pair by pair."""
     named = entities.where(F.length("name") > 0).select(F.col("name").alias("needle"), F.col("ord").alias("entity"))
@@ -105,11 +98,12 @@ class Search:
         return hits.select("query_id", "score", "name", "department", "url", "doc_id", snippet("text", F.col("tokens")).alias("snippet"))
 
     def by_likeness(self, plans: DataFrame, threshold: int) -> DataFrame:
-        """Entities whose raw text has a stretch like a phrase; the score is from 0 to 100."""
-        phrases = small(plans.select("query_id", F.explode("phrases").alias("phrase")).withColumn("terms", tokens("phrase")))
+        """Entities whose raw text has a stretch like a phrase; the score is from 1 to 100. Only pairs that can be alike are compared."""
+        phrases = plans.select("query_id", F.explode("phrases").alias("phrase")).withColumn("terms", tokens("phrase"))
         hay = F.concat_ws(" ", *map(col, ("name", "department", "career", "research_direction", "personal_intro", "papers_text")))
-        hits = self.entities.withColumn("hay", hay).where("trim(hay) <> ''").join(phrases, F.expr("phrase <> ''"))
-        hits = hits.withColumn("score", likeness("phrase", "hay")).where(F.col("score") >= threshold)
+        texts = self.entities.withColumn("hay", hay).where("trim(hay) <> ''")
+        pairs = alike(phrases.select(F.col("phrase").alias("text")), texts.select(F.col("hay").alias("text")), threshold)
+        hits = texts.join(pairs.withColumnRenamed("b", "hay"), "hay").join(phrases.withColumnRenamed("phrase", "a"), "a").withColumn("phrase", F.col("a"))
         return self._entity_hits(hits, F.when(F.size("terms") > 0, F.col("terms")).otherwise(F.array("phrase")), col("personal_intro"))
 
     def run(self, queries: DataFrame, *, top_k: int = 8, relax: bool = True, fuzzy: bool = True, threshold: int = 70, strict_scope: bool = False) -> DataFrame:

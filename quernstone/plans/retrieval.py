@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import query as Q
 from quernstone.functions import text as T
-from quernstone.operators import evaluate, filters, index, phrases, rank
-from quernstone.operators.search import Search, doc_entities, entity_docs, small
+from quernstone.operators import evaluate, filters, index, phrases, rank, vectors
+from quernstone.operators.likeness import alike
+from quernstone.operators.search import Search, doc_entities, entity_docs
+from quernstone.operators.tables import small
 from quernstone.plans import fixtures as X
 
 
@@ -44,15 +46,27 @@ def term_frequency(spark, sf_dir):
     return index.term_frequencies(table(spark, sf_dir, "documents"))
 
 
-_INDEXES: dict[tuple[str, str], index.Index] = {}
+_KEPT: dict[tuple, object] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, kind: str, build):
+    """What build gives for the documents, made once in a session for each state of their files: a table that has changed is read anew."""
+    files = table(spark, sf_dir, "documents").select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h")).distinct()
+    state = files.agg(F.count("h"), F.sum(F.col("h").cast("decimal(20,0)"))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _KEPT or _KEPT[key][0] != tuple(state):
+        _KEPT[key] = tuple(state), build()
+    return _KEPT[key][1]
 
 
 def stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
     """The index of documents, built and stored the first time that a session asks for it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        _INDEXES[key] = index.build_index(table(spark, sf_dir, "documents")).stored()
-    return _INDEXES[key]
+    return _kept(spark, sf_dir, "index", lambda: index.build_index(table(spark, sf_dir, "documents")).stored())
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str) -> vectors.Vectors:
+    """The documents' vectors, made of that index."""
+    return _kept(spark, sf_dir, "vectors", lambda: vectors.document_vectors(stored_index(spark, sf_dir)))
 
 
 @query(f"WITH {_TF} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -88,12 +102,12 @@ def _items(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_TF}, {_HEADS}, scores AS (SELECT query_id, doc_id, sum(weight) / any_value(norm) AS score FROM (SELECT query_id, unnest(tokens) AS term FROM heads) JOIN w USING (term) JOIN norms USING (doc_id) GROUP BY ALL) {_BEST.format(5)}")
 def tfidf_topk_batch(spark, sf_dir):
-    return _ranked(index.token_scores(_items(spark, sf_dir), stored_index(spark, sf_dir)), 5).select("query_id", "doc_id", "score", "rank")
+    return _ranked(vectors.best_documents(_items(spark, sf_dir), stored_vectors(spark, sf_dir), 5), 5).select("query_id", "doc_id", "score", "rank")
 
 
 @query(f"WITH {_TF}, {_HEADS} SELECT query_id, doc_id, round(sum(weight) / any_value(norm), 6) AS score FROM (SELECT query_id, len(tokens) AS n, unnest(tokens) AS term FROM heads) JOIN w USING (term) JOIN norms USING (doc_id) GROUP BY query_id, doc_id, n HAVING count(*) = n")
 def token_search_all_terms(spark, sf_dir):
-    found = index.token_scores(_items(spark, sf_dir), stored_index(spark, sf_dir), require_all=True)
+    found = vectors.documents_with_all(_items(spark, sf_dir), stored_vectors(spark, sf_dir))
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -341,17 +355,33 @@ def eval_modes(spark, sf_dir):
     return details.select("mode", "query_id", "query", "expected", "top1", "topk_names", "hit_at_1", "hit_at_k", "expected_rank", "result_count")
 
 
+def _misspelled(spark, sf_dir) -> DataFrame:
+    """(query_id, query, expected): every part name, and the same without every fifth letter."""
+    names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("expected")).agg(F.min("p_partkey").alias("query_id"))
+    return names.select("query_id", F.regexp_replace("expected", "(.{4}).", "$1").alias("query"), "expected", F.lit("").alias("note"))
+
+
+def _named(spark, sf_dir) -> Search:
+    """Part names as entities without documents."""
+    names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
+    return Search(X.frame(spark, [], X.DOC), names.select("ord", "name", *[F.lit("").alias(c) for c in ("department", "career", "url", "research_direction", "personal_intro", "papers_text")]))
+
+
+@query(None)
+def likeness_join(spark, sf_dir):
+    """Misspelled part names, and the names of all customers and suppliers, that are like the name of a part."""
+    others = table(spark, sf_dir, "customer").select(F.col("c_name").alias("text")).union(table(spark, sf_dir, "supplier").select("s_name"))
+    return alike(_misspelled(spark, sf_dir).select(F.col("query").alias("text")).union(others), table(spark, sf_dir, "part").select(F.col("p_name").alias("text")), 60)
+
+
 @query(None)
 def fuzzy_search(spark, sf_dir):
-    """Part names like misspelled ones."""
-    entities = _parts(spark, sf_dir)
-    plans = spark.createDataFrame([(1, ["blu widgit"]), (2, ["smal gaer"])], "query_id int, phrases array<string>")
-    return rank.dedupe_and_rank(entities.by_likeness(plans, 70), 5).select("query_id", "rank", "score", "name")
+    """The five entities that are most like each misspelled part name."""
+    plans = _misspelled(spark, sf_dir).select("query_id", F.array("query").alias("phrases"))
+    return rank.dedupe_and_rank(_named(spark, sf_dir).by_likeness(plans, 70), 5).select("query_id", "rank", "score", "name")
 
 
 @query(None)
 def threshold_sweep(spark, sf_dir):
-    """How often misspelled queries find what they mean, by the threshold of likeness."""
-    cases = spark.createDataFrame([(1, "neural machne translaton", "王一", ""), (2, "graphcal modles", "Ann Lee", ""), (3, "wirless netwrks lerning", "赵五", "")], _CASE)
-    search = Search(X.frame(spark, X.DOCS, X.DOC), X.frame(spark, X.ENTITIES, X.ENTITY))
-    return evaluate.sweep(search, cases, [50, 70, 90])
+    """How often misspelled part names find what they mean, by the threshold of likeness."""
+    return evaluate.sweep(_named(spark, sf_dir), _misspelled(spark, sf_dir), range(50, 101, 5))

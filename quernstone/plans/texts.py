@@ -10,7 +10,7 @@ from quernstone.functions import query as Q
 from quernstone.functions import text as T
 from quernstone.functions.dictionaries import ABBREVIATIONS, PHRASES
 from quernstone.operators import phrases
-from quernstone.operators.search import small
+from quernstone.operators.tables import small
 from quernstone.plans import fixtures as X
 from quernstone.plans.retrieval import _GRAMS, _NORM, _WS, table
 
