@@ -28,10 +28,10 @@ def summarize(detail: DataFrame) -> DataFrame:
     return detail.groupBy("mode").agg(F.count(F.lit(1)).alias("cases"), *rates)
 
 
-def evaluate_modes(search: Search, cases: DataFrame, top_k: int = 5) -> DataFrame:
-    """Details of two modes: baseline (no relaxing) and optimized (relaxing and likeness)."""
+def evaluate_modes(search: Search, cases: DataFrame, top_k: int = 5, *, fuzzy: bool = True) -> DataFrame:
+    """Details of two modes: baseline (no relaxing) and optimized (relaxing and, with fuzzy, likeness)."""
     queries = cases.select("query_id", F.col("query").alias("raw"))
-    modes = {"baseline": {"relax": False, "fuzzy": False}, "optimized": {"relax": True, "fuzzy": True}}
+    modes = {"baseline": {"relax": False, "fuzzy": False}, "optimized": {"relax": True, "fuzzy": fuzzy}}
     return reduce(DataFrame.unionByName, [evaluate(cases, search.run(queries, top_k=top_k, **o)).withColumn("mode", F.lit(m)) for m, o in modes.items()])
 
 

@@ -14,7 +14,6 @@ from quernstone.functions.text import strip
 from quernstone.operators.tables import checkpointed
 
 
-
 def hit_order() -> list[Column]:
     return [F.desc("score"), *[F.coalesce(F.col(c), F.lit("")) for c in ("name", "department", "url", "doc_id")]]
 
@@ -46,8 +45,9 @@ def cap_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column |
 
 
 def dedupe_and_rank(hits: DataFrame, top_k: int, by: Sequence[str] = ("query_id",)) -> DataFrame:
-    """The best hit for each name (without spaces) and department (trimmed), ranked; at most top_k for each query."""
-    keyed = hits.withColumn("_name", F.replace(F.coalesce("name", F.lit("")), F.lit(" "), F.lit(""))).withColumn("_dept", strip("department"))
+    """The best hit for each name (without spaces) and department (trimmed), ranked; at most top_k for each query. Scores are rounded to nine
+    places before they are compared: sums of the same weights in another order are ties, which names and ids decide."""
+    keyed = hits.withColumn("score", F.round("score", 9)).withColumn("_name", F.replace(F.coalesce("name", F.lit("")), F.lit(" "), F.lit(""))).withColumn("_dept", strip("department"))
     best = first_per_key(keyed, [*by, "_name", "_dept"], hit_order()).drop("_name", "_dept")
     return number(best, by, hit_order()).where(F.col("rank") <= top_k)
 

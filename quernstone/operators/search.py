@@ -16,7 +16,7 @@ from quernstone.operators.likeness import alike
 from quernstone.operators.index import Index, build_index, token_scores
 from quernstone.operators.phrases import phrase_counts
 from quernstone.operators.rank import dedupe_and_rank
-from quernstone.operators.tables import checkpointed, small
+from quernstone.operators.tables import small, stored
 
 NAME, SCOPED, PHRASE, FIELDS, TOKENS, FUZZY = 1, 2, 3, 4, 5, 7
 
@@ -111,7 +111,7 @@ class Search:
 
         A later stage works on the queries that the earlier ones left open. strict_scope: a query scoped to a field that
         finds nothing there stays without result, instead of being searched everywhere."""
-        plans = checkpointed(with_plans(queries))
+        plans = stored(with_plans(queries))
         scoped = "field IN ('papers', 'research')"
         stages = [(NAME, lambda q: self.by_name(q)), (SCOPED, lambda q: self.by_field(q.where("field = 'papers'"), "papers").unionByName(self.by_field(q.where("field = 'research'"), "research")))]
         if relax:
@@ -123,10 +123,12 @@ class Search:
         for stage, find in stages:
             if strict_scope and stage > SCOPED:
                 plans = plans.where(f"field IS NULL OR NOT {scoped}")
-            # kept, as both the result and the next stage read it; it has top_k rows for each query at most
-            found = checkpointed(dedupe_and_rank(find(plans), top_k).withColumn("stage", F.lit(stage)))
-            plans = checkpointed(plans.join(found.select("query_id").distinct(), "query_id", "left_anti"))
+            # written once, as both the result and the next stage read it; it has top_k rows for each query at most
+            found = stored(dedupe_and_rank(find(plans), top_k).withColumn("stage", F.lit(stage)))
             out = found if out is None else out.unionByName(found)
+            plans = stored(plans.join(found.select("query_id").distinct(), "query_id", "left_anti"))
+            if plans.isEmpty():
+                break
         return out.select("query_id", "stage", "rank", "score", "name", "department", "url", "doc_id", "snippet")
 
 

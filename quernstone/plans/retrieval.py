@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from quernstone.functions import text as T
 from quernstone.operators import evaluate, filters, index, phrases, rank, vectors
 from quernstone.operators.likeness import alike
 from quernstone.operators.search import Search, doc_entities, entity_docs
-from quernstone.operators.tables import small
+from quernstone.operators.tables import small, stored
 from quernstone.plans import fixtures as X
 
 
@@ -218,37 +220,77 @@ def cap_per_group(spark, sf_dir):
     return rank.number(capped, ["user_id"], ["ts", "event_id"], "n").select("event_id", "user_id", "n")
 
 
-_E, _D = X.values(X.ENTITIES, X.ENTITY), X.values(X.DOCS, X.DOC)
+_ITEM = f"regexp_replace(regexp_replace(regexp_replace(text, '[-_/]+', ' ', 'g'), '{_WS}+', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+#: Part names as entities, with documents that are dealt out to the first 200 parts, beside the fixture's; and queries made of both.
+_OF_PART = "SELECT min(p_partkey) + 1000 AS ord, p_name AS name, min(p_brand) AS department, '' AS career, 'u/' || min(p_partkey) AS url, min(p_type) AS research_direction, 'Works on ' || max(p_type) AS personal_intro, 'A study of the ' || reverse(p_name) AS papers_text FROM part GROUP BY p_name"
+_OF_DOCUMENT = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'c/' || p_name || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS text, doc_id + 1000 AS ord FROM documents JOIN part ON p_partkey = doc_id % 200"
+_E, _D = (f"(SELECT * FROM {X.values(rows, kind)} UNION ALL {of})" for rows, kind, of in ((X.ENTITIES, X.ENTITY, _OF_PART), (X.DOCS, X.DOC, _OF_DOCUMENT)))
+
+
+def _entities(spark, sf_dir) -> DataFrame:
+    named = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg((F.min("p_partkey") + 1000).alias("ord"), F.min("p_brand").alias("department"), F.min("p_type").alias("research_direction"), F.concat(F.lit("Works on "), F.max("p_type")).alias("personal_intro"))
+    made = named.withColumns({"career": F.lit(""), "url": F.concat(F.lit("u/"), (F.col("ord") - 1000).cast("string")), "papers_text": F.concat(F.lit("A study of the "), F.reverse("name"))})
+    return X.frame(spark, X.ENTITIES, X.ENTITY).unionByName(made)
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    docs = table(spark, sf_dir, "documents").withColumn("p_partkey", F.col("doc_id") % 200).join(parts, "p_partkey")
+    path = F.concat(F.lit("c/"), "p_name", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return X.frame(spark, X.DOCS, X.DOC).unionByName(docs.select(F.col("doc_id").cast("string").alias("doc_id"), path.alias("path"), F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") + 1000).alias("ord")))
 
 
 @query(f"SELECT d.doc_id, min(e.ord) AS entity FROM {_D} d JOIN {_E} e ON length(e.name) > 0 AND contains(d.path, e.name) GROUP BY d.doc_id")
 def doc_entity_bridge(spark, sf_dir):
-    return doc_entities(X.frame(spark, X.DOCS, X.DOC), X.frame(spark, X.ENTITIES, X.ENTITY))
+    return doc_entities(_documents(spark, sf_dir), _entities(spark, sf_dir))
 
 
 @query(f"SELECT e.ord AS entity, arg_min(d.doc_id, d.ord) AS doc_id FROM {_D} d JOIN {_E} e ON length(e.name) > 0 AND contains(d.path, e.name) GROUP BY e.ord")
 def entity_doc_bridge(spark, sf_dir):
-    return entity_docs(X.frame(spark, X.DOCS, X.DOC), X.frame(spark, X.ENTITIES, X.ENTITY)).select("entity", "doc_id")
+    return entity_docs(_documents(spark, sf_dir), _entities(spark, sf_dir)).select("entity", "doc_id")
+
 
+#: Queries of the tables, and their plans: names, types and papers of parts with and without a prefix, and whole benchmark items.
+_ASKED = f"""asked(query_id, query, field) AS (SELECT 1000 + 4 * ord, name, CASE WHEN ord % 2 = 0 THEN 'name' END FROM part_entity UNION ALL SELECT 1001 + 4 * ord, research_direction, 'research' FROM part_entity
+  UNION ALL SELECT 1002 + 4 * ord, papers_text, CASE WHEN ord % 2 = 0 THEN 'papers' END FROM part_entity UNION ALL SELECT 100000000 + item_id, {{item}}, NULL FROM benchmark WHERE {{item}} <> '')"""
 
-def _cascade_results(spark, **options) -> DataFrame:
-    return Search(X.frame(spark, X.DOCS, X.DOC), X.frame(spark, X.ENTITIES, X.ENTITY)).run(X.frame(spark, X.QUERIES, X.QUERY), **options)
+
+def _asked(spark, sf_dir) -> DataFrame:
+    entities = _entities(spark, sf_dir).where("ord >= 1000")
+    prefix = lambda p: F.when(F.col("ord") % 2 == 0, F.lit(p)).otherwise(F.lit(""))
+    kinds = [(0, F.concat(prefix("name: "), "name")), (1, F.concat(F.lit("Research: "), "research_direction")), (2, F.concat(prefix("paper: "), "papers_text"))]
+    made = [entities.select((1000 + k + 4 * F.col("ord")).alias("query_id"), raw.alias("raw")) for k, raw in kinds]
+    made.append(table(spark, sf_dir, "benchmark").select((100_000_000 + F.col("item_id")).alias("query_id"), F.col("text").alias("raw")))
+    return reduce(DataFrame.unionByName, made, X.frame(spark, X.QUERIES, X.QUERY))
+
+
+def _search(spark, sf_dir) -> Search:
+    return Search(stored(_documents(spark, sf_dir)), stored(_entities(spark, sf_dir)))
+
+
+def _cascade_results(spark, sf_dir, **options) -> DataFrame:
+    return _search(spark, sf_dir).run(_asked(spark, sf_dir), **options)
 
 
 #: Plans of the fixture's queries as SQL has them: query_id, text without prefix, field, phrases, tokens.
-_PLANS = """plans(query_id, query, field, phrases, tokens) AS (VALUES
+_PLANS = """fixed(query_id, query, field, phrases, tokens) AS (VALUES
 (1, '王一', NULL, ['王一'], ['王一']), (2, '李二', NULL, ['李二'], ['李二']), (3, 'NLP', NULL, ['自然语言处理', '中文信息处理', 'NLP'], ['自然', '语言', '处理', '中文', '信息', 'nlp']),
 (4, '自然语言处理方向', NULL, ['自然语言处理', '自然语言处理方向'], ['自然', '语言', '处理', '方向']), (5, '偏微分方程', 'research', ['偏微分方程'], ['偏微', '分方', '程']),
 (6, 'wave equations', 'papers', ['wave equations'], ['wave', 'equations']), (7, 'antenna power', NULL, ['antenna power'], ['antenna', 'power']), (9, '赵五', 'name', ['赵五'], ['赵五']),
 (10, 'deep reinforcement learning', NULL, ['深度强化学习', '强化学习', 'deep reinforcement learning'], ['深度', '强化', '学习', 'deep', 'reinforcement', 'learning']), (12, 'zzz', 'papers', ['zzz'], ['zzz']),
 (13, '信号 处理', NULL, ['信号 处理'], ['信号', '处理']), (14, 'graphical models', NULL, ['graphical models'], ['graphical', 'models']), (15, 'DISCOVERY causal graphs', NULL, ['DISCOVERY causal graphs'], ['discovery', 'causal', 'graphs']),
 (16, 'PDE', NULL, ['偏微分方程', '数值方法', 'PDE'], ['偏微', '分方', '程', '数值', '方法', 'pde']))"""
+_PLANS += f""",
+part_entity AS ({_OF_PART}), {_ASKED.replace("{item}", _ITEM)},
+plans AS (SELECT * FROM fixed UNION ALL SELECT query_id, query, field, [query], list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) FROM asked)"""
 _GRAMS = """flatten(list_transform(regexp_extract_all({0}, '[\\x{{4e00}}-\\x{{9fff}}]+'), lambda b: list_concat(string_split(b, ''), list_transform(range(1, length(b)), lambda i: substring(b, i, 2)))))"""
 _CASCADE = f"""WITH e AS (SELECT * FROM {_E}), d AS (SELECT * FROM {_D}), {_PLANS},
 bridge AS (SELECT d.doc_id, min(e.ord) AS entity FROM d JOIN e ON length(e.name) > 0 AND contains(d.path, e.name) GROUP BY d.doc_id),
 first_doc AS (SELECT e.ord AS entity, arg_min(d.doc_id, d.ord) AS doc_id FROM d JOIN e ON length(e.name) > 0 AND contains(d.path, e.name) GROUP BY e.ord),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(regexp_extract_all(lower(text), '[a-z0-9]+'), {_GRAMS.format('text')})) AS term FROM d) GROUP BY ALL),
-idf AS (SELECT term, ln(1 + 6 / (1 + count(*))) AS idf FROM tf GROUP BY term),
+idf AS (SELECT term, ln(1 + (SELECT count(*) FROM d) / (1 + count(*))) AS idf FROM tf GROUP BY term),
 w AS (SELECT doc_id, tf.term, (1 + ln(tf)) * idf AS weight FROM tf JOIN idf USING (term)),
 norms AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY doc_id),
 ph AS (SELECT query_id, {_NORM.format('p')} AS needle FROM (SELECT query_id, unnest(phrases) AS p FROM plans)),
@@ -260,10 +302,11 @@ ents AS (
   UNION ALL SELECT query_id, 2, coalesce(a, 0) + b, ord FROM fs WHERE field = src AND coalesce(a, 0) + b > 0
   UNION ALL SELECT query_id, 3, 1.0, ord FROM e JOIN ph ON needle <> '' AND contains({_NORM.format("concat_ws(' ', name, coalesce(research_direction, ''), coalesce(personal_intro, ''), coalesce(papers_text, ''))")}, needle)
   UNION ALL SELECT query_id, 4, coalesce(a, 0) + b, ord FROM fs WHERE coalesce(a, 0) + b > 0),
-hits AS (
+all_hits AS (
   SELECT query_id, stage, score, e.name, department, url, coalesce(doc_id, e.name) AS doc_id FROM ents JOIN e USING (ord) LEFT JOIN first_doc ON entity = ord
   UNION ALL SELECT query_id, 3, 1 + ln(1 + (length(hay) - length(replace(hay, needle, ''))) // length(needle)), name, department, url, doc_id FROM (SELECT doc_id, {_NORM.format('text')} AS hay FROM d) JOIN ph ON needle <> '' AND contains(hay, needle) JOIN bridge USING (doc_id) JOIN e ON e.ord = entity
   UNION ALL SELECT query_id, 5, sum(weight) / any_value(norm), any_value(name), any_value(department), any_value(url), doc_id FROM (SELECT query_id, unnest(tokens) AS term FROM plans) JOIN w USING (term) JOIN norms USING (doc_id) JOIN bridge USING (doc_id) JOIN e ON e.ord = entity GROUP BY query_id, doc_id),
+hits AS (SELECT * REPLACE (round(score, 9) AS score) FROM all_hits),
 least AS (SELECT *, min(stage) OVER (PARTITION BY query_id) AS m FROM hits WHERE {{stages}}),
 best AS (SELECT * FROM least WHERE stage = m QUALIFY row_number() OVER (PARTITION BY query_id, replace(name, ' ', ''), trim(department) ORDER BY score DESC, name, department, coalesce(url, ''), doc_id) = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name, department, coalesce(url, ''), doc_id) AS rank FROM best)"""
@@ -273,27 +316,26 @@ _CASCADE_ROWS = "SELECT query_id, stage, rank, round(score, 6) AS score, name, d
 @query(_CASCADE.replace("{stages}", "true") + _CASCADE_ROWS)
 def cascade_batch(spark, sf_dir):
     """All stages but the fuzzy one, for a batch of queries."""
-    found = _cascade_results(spark, fuzzy=False)
-    return found.select(F.col("query_id").cast("int").alias("query_id"), "stage", "rank", F.round("score", 6).alias("score"), "name", "department", "doc_id")
+    found = _cascade_results(spark, sf_dir, fuzzy=False)
+    return found.select("query_id", "stage", "rank", F.round("score", 6).alias("score"), "name", "department", "doc_id")
 
 
 @query(_CASCADE.replace("{stages}", "stage IN (1, 2, 5)") + _CASCADE_ROWS)
 def cascade_baseline(spark, sf_dir):
     """Without relaxing: names, scoped fields and terms alone."""
-    found = _cascade_results(spark, relax=False)
-    return found.select(F.col("query_id").cast("int").alias("query_id"), "stage", "rank", F.round("score", 6).alias("score"), "name", "department", "doc_id")
+    found = _cascade_results(spark, sf_dir, relax=False)
+    return found.select("query_id", "stage", "rank", F.round("score", 6).alias("score"), "name", "department", "doc_id")
 
 
 @query(_CASCADE.replace("{stages}", "stage = 3") + "SELECT query_id, rank, round(score, 6) AS score, name, department, doc_id FROM ranked WHERE rank <= 8")
 def phrase_entity_union(spark, sf_dir):
     """Documents and entities that hold a phrase, as one ranking."""
-    search = Search(X.frame(spark, X.DOCS, X.DOC), X.frame(spark, X.ENTITIES, X.ENTITY))
-    plans = X.frame(spark, X.QUERIES, X.QUERY).select("query_id", Q.planned("raw").alias("p")).where("p.query <> ''").select("query_id", "p.phrases", "p.tokens")
+    search = _search(spark, sf_dir)
+    plans = stored(_asked(spark, sf_dir)).select("query_id", Q.planned("raw").alias("p")).where("p.query <> ''").select("query_id", "p.phrases", "p.tokens")
     ranked = rank.dedupe_and_rank(search.by_phrase(plans), 8)
-    return ranked.select(F.col("query_id").cast("int").alias("query_id"), "rank", F.round("score", 6).alias("score"), "name", "department", "doc_id")
+    return ranked.select("query_id", "rank", F.round("score", 6).alias("score"), "name", "department", "doc_id")
 
 
-_ITEM = f"regexp_replace(regexp_replace(regexp_replace(text, '[-_/]+', ' ', 'g'), '{_WS}+', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g')"
 
 
 @query(f"""WITH {_TF}, e AS (SELECT DISTINCT source AS name, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS ord FROM documents WHERE source <> ''),
@@ -301,13 +343,11 @@ q AS (SELECT item_id AS query_id, {_ITEM} AS query FROM benchmark WHERE {_ITEM}
 of_doc AS (SELECT doc_id, min(ord) AS ord FROM documents JOIN e ON contains('/corpus/' || source || '/' || doc_id || '.txt', name) GROUP BY doc_id),
 h AS (SELECT query_id, 3 AS stage, 1 + ln(1 + (length(hay) - length(replace(hay, needle, ''))) // length(needle)) AS score, doc_id FROM (SELECT doc_id, {_NORM.format("coalesce(text, '')")} AS hay FROM documents) JOIN ph ON needle <> '' AND contains(hay, needle)
   UNION ALL SELECT query_id, 5, sum(weight) / any_value(norm), doc_id FROM (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+'))) AS term FROM q) JOIN w USING (term) JOIN norms USING (doc_id) GROUP BY query_id, doc_id),
-n AS (SELECT query_id, stage, score, name, CAST(doc_id AS VARCHAR) AS doc_id FROM h JOIN of_doc USING (doc_id) JOIN e USING (ord) QUALIFY stage = min(stage) OVER (PARTITION BY query_id)),
+n AS (SELECT query_id, stage, round(score, 9) AS score, name, CAST(doc_id AS VARCHAR) AS doc_id FROM h JOIN of_doc USING (doc_id) JOIN e USING (ord) QUALIFY stage = min(stage) OVER (PARTITION BY query_id)),
 best AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id, name ORDER BY score DESC, doc_id) = 1)
-SELECT query_id, stage, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name, doc_id) AS rank, round(score, 6) AS score, CASE WHEN stage = 3 THEN name END AS name, CASE WHEN stage = 3 THEN doc_id END AS doc_id
-FROM best QUALIFY rank <= 8""")
+SELECT query_id, stage, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name, doc_id) AS rank, round(score, 6) AS score, name, doc_id FROM best QUALIFY rank <= 8""")
 def cascade_documents(spark, sf_dir):
-    """The staged search of all benchmark items over all documents, whose sources are the entities. Documents that are copies have equal
-    sums of weights but for their last digits, so which of them the search for terms names isn't compared."""
+    """The staged search of all benchmark items over all documents, whose sources are the entities."""
     docs = table(spark, sf_dir, "documents")
     paths = F.concat(F.lit("/corpus/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     corpus = docs.select(F.col("doc_id").cast("string").alias("doc_id"), paths.alias("path"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("ord"))
@@ -317,31 +357,38 @@ def cascade_documents(spark, sf_dir):
     words = index.Index(known.frequencies.withColumn("doc_id", F.col("doc_id").cast("string")), known.terms, known.norms.withColumn("doc_id", F.col("doc_id").cast("string")), known.documents)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("raw"))
     found = Search(corpus, entities, words).run(items, fuzzy=False)
-    by_phrase = F.col("stage") == 3
-    return found.select("query_id", "stage", "rank", F.round("score", 6).alias("score"), F.when(by_phrase, F.col("name")).alias("name"), F.when(by_phrase, F.col("doc_id")).alias("doc_id"))
+    return found.select("query_id", "stage", "rank", F.round("score", 6).alias("score"), "name", "doc_id")
 
 
 _CASES = [(1, "王一", "王一", "name"), (2, "李二", "李 二", "spaced name"), (3, "NLP", "王一", "abbreviation"), (7, "antenna power", "Ann Lee", "miss"), (12, "paper: zzz", "王一", "no result"), (16, "PDE", "王一凡", "second")]
-_CASE = "query_id int, query string, expected string, note string"
-_EVAL = f""", cases AS (SELECT * FROM (VALUES {', '.join(str(c) for c in _CASES)}) v(query_id, query, expected, note)),
+_CASE = "query_id long, query string, expected string, note string"
+_EVAL = f""", cases AS (SELECT * FROM (VALUES {', '.join(str(c) for c in _CASES)}) v(query_id, query, expected, note)
+  UNION ALL SELECT query_id, CASE field WHEN 'name' THEN 'name: ' WHEN 'papers' THEN 'paper: ' ELSE '' END || query, CASE WHEN query_id % 4 = 0 THEN name ELSE reverse(substring(query, 16)) END, 'part' FROM asked JOIN part_entity ON 4 * ord + 1000 + query_id % 4 = query_id WHERE query_id < 100000000 AND query_id % 4 IN (0, 2)),
 detail AS (SELECT c.query_id, c.query, c.expected, coalesce(max(CASE WHEN rank = 1 THEN name END), '') AS top1, coalesce(string_agg(name, '|' ORDER BY rank), '') AS topk_names,
   CAST(coalesce(max(CASE WHEN rank = 1 THEN name END), '') = c.expected AS INTEGER) AS hit_at_1, CAST(count(CASE WHEN name = c.expected THEN 1 END) > 0 AS INTEGER) AS hit_at_k,
   coalesce(min(CASE WHEN name = c.expected THEN rank END), 0) AS expected_rank, count(rank) AS result_count FROM cases c LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r USING (query_id) GROUP BY c.query_id, c.query, c.expected)"""
 
 
-def _detail(spark) -> DataFrame:
-    results = _cascade_results(spark, top_k=5, fuzzy=False)
-    return evaluate.evaluate(spark.createDataFrame(_CASES, _CASE), results)
+def _cases(spark, sf_dir) -> DataFrame:
+    """The fixture's cases, and names and papers of parts, which are to find the part."""
+    expected = _entities(spark, sf_dir).where("ord >= 1000").select(F.explode(F.array((1000 + 4 * F.col("ord")), (1002 + 4 * F.col("ord")))).alias("query_id"), F.col("name").alias("expected"), F.lit("part").alias("note"))
+    asked = _asked(spark, sf_dir).select("query_id", F.col("raw").alias("query"))
+    return spark.createDataFrame(_CASES, _CASE).unionByName(asked.join(expected, "query_id"))
+
+
+def _detail(spark, sf_dir) -> DataFrame:
+    results = _cascade_results(spark, sf_dir, top_k=5, fuzzy=False)
+    return evaluate.evaluate(_cases(spark, sf_dir), results)
 
 
 @query(_CASCADE.replace("{stages}", "true") + _EVAL + " SELECT * FROM detail")
 def eval_detail(spark, sf_dir):
-    return _detail(spark).select("query_id", "query", "expected", "top1", "topk_names", "hit_at_1", "hit_at_k", "expected_rank", "result_count")
+    return _detail(spark, sf_dir).select("query_id", "query", "expected", "top1", "topk_names", "hit_at_1", "hit_at_k", "expected_rank", "result_count")
 
 
 @query(_CASCADE.replace("{stages}", "true") + _EVAL + " SELECT 'optimized' AS mode, count(*) AS cases, sum(hit_at_1) AS hit_at_1_count, round(avg(hit_at_1), 4) AS hit_at_1_rate, sum(hit_at_k) AS hit_at_k_count, round(avg(hit_at_k), 4) AS hit_at_k_rate FROM detail")
 def eval_summary(spark, sf_dir):
-    return evaluate.summarize(_detail(spark).withColumn("mode", F.lit("optimized")))
+    return evaluate.summarize(_detail(spark, sf_dir).withColumn("mode", F.lit("optimized")))
 
 
 _BASELINE, _OPTIMIZED = (f"({_CASCADE.replace('{stages}', stages)}{_EVAL} SELECT * FROM detail)" for stages in ("stage IN (1, 2, 5)", "true"))
@@ -350,8 +397,7 @@ _BASELINE, _OPTIMIZED = (f"({_CASCADE.replace('{stages}', stages)}{_EVAL} SELECT
 @query(f"SELECT 'baseline' AS mode, * FROM {_BASELINE} UNION ALL SELECT 'optimized' AS mode, * FROM {_OPTIMIZED}")
 def eval_modes(spark, sf_dir):
     """Details of the same cases without and with relaxing."""
-    search = Search(X.frame(spark, X.DOCS, X.DOC), X.frame(spark, X.ENTITIES, X.ENTITY))
-    details = evaluate.evaluate_modes(search, spark.createDataFrame(_CASES, _CASE), 5)
+    details = evaluate.evaluate_modes(_search(spark, sf_dir), _cases(spark, sf_dir), 5, fuzzy=False)
     return details.select("mode", "query_id", "query", "expected", "top1", "topk_names", "hit_at_1", "hit_at_k", "expected_rank", "result_count")
 
 
