@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import papers as P
@@ -48,23 +48,57 @@ def _texts(spark, rows=X.TEXTS) -> DataFrame:
     return X.frame(spark, rows, X.TEXT)
 
 
+#: Nine letters that are written as Han characters where a query needs such text; the tables have none.
+_HAN = ("etaoinsrh", "自然语言处理机器")
+
+
+def _han(x: str) -> str:
+    return f"translate({x}, '{_HAN[0]}', '{_HAN[1]}')"
+
+
+def _digest(x) -> Column:
+    return F.md5(x.cast("binary"))
+
+
+def _member(key: str, xs) -> Column:
+    """One of the texts, by a number."""
+    return F.element_at(F.array(*map(F.lit, xs)), (F.col(key) % len(xs) + 1).cast("int"))
+
+
+def _member_sql(key: str, xs) -> str:
+    return f"{_list(xs)}[{key} % {len(xs)} + 1]"
+
+
+def _said(spark, sf_dir) -> DataFrame:
+    """(id, text) of every turn of the conversations."""
+    return table(spark, sf_dir, "conversations").select((1000 + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+
+
+_SAID = "SELECT 1000 + conv_id * 1000 + turn AS id, text FROM conversations"
+
+
 @query("SELECT doc_id, len(x) AS n, md5(array_to_string(x, ' ')) AS tokens FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS x FROM documents)")
 def tokenize_latin(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", T.tokens("text").alias("x"))
     return docs.select("doc_id", F.size("x").alias("n"), F.md5(F.array_join("x", " ").cast("binary")).alias("tokens"))
 
 
-@query(f"SELECT id, array_to_string(list_concat(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), {_GRAMS.format("coalesce(text, '')")}), ' ') AS tokens FROM {_T}")
+@query(f"SELECT id, array_to_string(list_concat(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), {_GRAMS.format("coalesce(text, '')")}), ' ') AS tokens FROM {_T} UNION ALL SELECT 1000 + doc_id, md5(array_to_string(list_concat(regexp_extract_all(lower(text), '[a-z0-9]+'), {_GRAMS.format("text")}), ' ')) FROM (SELECT doc_id, {_han("coalesce(text, '')")} AS text FROM documents)")
 def tokenize_cjk(spark, sf_dir):
-    return _texts(spark).select("id", F.array_join(T.tokens("text"), " ").alias("tokens"))
+    """Words, characters and pairs of characters of all documents, in which nine letters are Han characters, and of the fixture's texts."""
+    docs = table(spark, sf_dir, "documents").select((1000 + F.col("doc_id")).alias("id"), F.translate("text", *_HAN).alias("text"))
+    return _texts(spark).select("id", F.array_join(T.tokens("text"), " ").alias("tokens")).union(docs.select("id", _digest(F.array_join(T.tokens("text"), " "))))
 
 
 _PIECES = r"list_concat(regexp_extract_all(lower({0}), '[a-z0-9]+'), flatten(list_transform(regexp_extract_all({0}, '[\x{{4e00}}-\x{{9fff}}]+'), lambda b: list_transform(range(1, length(b) + 1, 2), lambda i: substring(b, i, 2)))))"
 
 
-@query(f"SELECT id, string_agg(t, ' ' ORDER BY n) AS terms FROM (SELECT id, t, min(n) AS n FROM (SELECT id, unnest(p) AS t, unnest(range(len(p))) AS n FROM (SELECT id, {_PIECES.format("coalesce(text, '')")} AS p FROM {_T})) GROUP BY id, t) GROUP BY id UNION ALL SELECT id, '' FROM {_T} WHERE coalesce(text, '') = ''")
+@query(f"""WITH t AS (SELECT id, text FROM {_T} UNION ALL SELECT id, {_han('text')} FROM ({_SAID})),
+p AS (SELECT id, t, min(n) AS n FROM (SELECT id, unnest(p) AS t, unnest(range(len(p))) AS n FROM (SELECT id, {_PIECES.format("coalesce(text, '')")} AS p FROM t)) GROUP BY id, t)
+SELECT t.id, md5(coalesce(string_agg(p.t, ' ' ORDER BY n), '')) AS terms FROM t LEFT JOIN p ON p.id = t.id GROUP BY t.id""")
 def relax_terms(spark, sf_dir):
-    return _texts(spark).select("id", F.array_join(T.relax_terms("text"), " ").alias("terms"))
+    said = _said(spark, sf_dir).withColumn("text", F.translate("text", *_HAN))
+    return _texts(spark).union(said).select("id", _digest(F.array_join(T.relax_terms("text"), " ")).alias("terms"))
 
 
 @query(f"SELECT id, {_NORM.format("coalesce(text, '')")} AS norm FROM {_T} UNION ALL SELECT doc_id, md5({_NORM.format("coalesce(text, '')")}) FROM documents")
@@ -76,19 +110,25 @@ def normalize_text(spark, sf_dir):
 _NORMAL_QUERY = _trim(f"regexp_replace(regexp_replace({_trim("coalesce(raw, '')")}, '[-_/]+', ' ', 'g'), '{_WS}+', ' ', 'g')")
 
 
-@query(f"SELECT query_id, {_NORMAL_QUERY} AS query FROM {_Q}")
+@query(f"SELECT query_id, {_NORMAL_QUERY} AS query FROM (SELECT * FROM {_Q} UNION ALL SELECT 1000 + page_id, ' ' || url || chr(10) FROM pages UNION ALL SELECT -id, text FROM ({_SAID}))")
 def normalize_query(spark, sf_dir):
-    return X.frame(spark, X.QUERIES, X.QUERY).select("query_id", T.normalize_query("raw").alias("query"))
+    """The fixture's queries, addresses of all pages, and all that is said in conversations."""
+    pages = table(spark, sf_dir, "pages").select(1000 + F.col("page_id"), F.concat(F.lit(" "), "url", F.lit("\n")))
+    asked = X.frame(spark, X.QUERIES, X.QUERY).union(pages).union(_said(spark, sf_dir).select(-F.col("id"), "text"))
+    return asked.select("query_id", T.normalize_query("raw").alias("query"))
 
 
+_STARTS = [*[x for p, _ in T.FIELD_PREFIXES for x in (p, f" {p.upper()} ", p[:-1])], "", "x "]
 _PREFIX = " ".join(f"WHEN starts_with(lower(r), {_quote(p.lower())}) THEN {{{i}}}" for i, (p, _) in enumerate(T.FIELD_PREFIXES))
 _FIELD = "CASE " + _PREFIX.format(*[_quote(n) for _, n in T.FIELD_PREFIXES]) + " END"
 _REST = "CASE " + _PREFIX.format(*[_trim(f"substring(r, {len(p) + 1})") for p, _ in T.FIELD_PREFIXES]) + " ELSE r END"
 
 
-@query(f"SELECT query_id, {_REST} AS query, {_FIELD} AS field FROM (SELECT query_id, {_trim("coalesce(raw, '')")} AS r FROM {_Q})")
+@query(f"SELECT query_id, {_REST} AS query, {_FIELD} AS field FROM (SELECT query_id, {_trim("coalesce(raw, '')")} AS r FROM (SELECT * FROM {_Q} UNION ALL SELECT 1000 + c_custkey, {_member_sql('c_custkey', _STARTS)} || c_name || ' ' FROM customer))")
 def strip_field_prefix(spark, sf_dir):
-    return X.frame(spark, X.QUERIES, X.QUERY).select("query_id", T.field_prefix(T.strip("raw")).alias("p")).select("query_id", "p.query", "p.field")
+    """The fixture's queries, and names of all customers after something that is, or is almost, a prefix."""
+    named = table(spark, sf_dir, "customer").select(1000 + F.col("c_custkey"), F.concat(_member("c_custkey", _STARTS), "c_name", F.lit(" ")))
+    return X.frame(spark, X.QUERIES, X.QUERY).union(named).select("query_id", T.field_prefix(T.strip("raw")).alias("p")).select("query_id", "p.query", "p.field")
 
 
 _SUFFIXED = [(1, "自然语言处理方向"), (2, "机器学习研究方向"), (3, "方向"), (4, "a方向"), (5, "图像技术应用"), (6, "plain"), (7, "x y 相关技术"), (8, "")]
@@ -96,9 +136,14 @@ _LONGEST = sorted(T.NAVIGATION_SUFFIXES, key=len, reverse=True)
 _CORE = "coalesce(" + ", ".join(f"CASE WHEN ends_with(text, {_quote(s)}) AND length(text) > {len(s) + 1} AND length({_trim(f'left(text, length(text) - {len(s)})')}) >= 2 THEN {_trim(f'left(text, length(text) - {len(s)})')} END" for s in _LONGEST) + ")"
 
 
-@query(f"SELECT id, {_CORE} AS core FROM {X.values(_SUFFIXED, X.TEXT)}")
+_ENDS = ["", *T.NAVIGATION_SUFFIXES, " " + T.NAVIGATION_SUFFIXES[0], T.NAVIGATION_SUFFIXES[-1] * 2]
+
+
+@query(f"SELECT id, {_CORE} AS core FROM (SELECT * FROM {X.values(_SUFFIXED, X.TEXT)} UNION ALL SELECT 1000 + p_partkey, CASE WHEN p_partkey % 7 = 0 THEN left(p_name, 1) ELSE p_name END || {_member_sql('p_partkey', _ENDS)} FROM part)")
 def strip_nav_suffix(spark, sf_dir):
-    return _texts(spark, _SUFFIXED).select("id", T.strip_navigation("text").alias("core"))
+    """The fixture's texts, and names of all parts, some of one letter, before each of the words that are taken off."""
+    named = table(spark, sf_dir, "part").select(1000 + F.col("p_partkey"), F.concat(F.when(F.col("p_partkey") % 7 == 0, F.left("p_name", F.lit(1))).otherwise(F.col("p_name")), _member("p_partkey", _ENDS)))
+    return _texts(spark, _SUFFIXED).union(named).select("id", T.strip_navigation("text").alias("core"))
 
 
 _RULES = "(VALUES " + ", ".join(f"({i}, {_quote(p)}, {_list(a)})" for i, (p, a) in enumerate(PHRASES)) + ") rules(n, pattern, aliases)"
@@ -106,15 +151,28 @@ _ABBR = "(VALUES " + ", ".join(f"({_quote(k)}, {_list(a)})" for k, a in ABBREVIA
 _ASKED = [(1, "NLP"), (2, "deep reinforcement learning"), (3, "机器学习方向"), (4, "5G or AI"), (5, ""), (6, "graph-neural networks"), (7, "event extraction nlp"), (8, "plain words"), (9, "CV 研究"), (10, "NLP nlp")]
 
 
-@query(f"""WITH q AS (SELECT id, {_NORMAL_QUERY.replace('raw', 'text')} AS text FROM {X.values(_ASKED, X.TEXT)}),
+_WORDS = [k for k, _ in ABBREVIATIONS] + ["", "machine learning", "knowledge graph 方向", "deep-learning"]
+#: (id, text) of queries: the fixture's, all benchmark items, and names of all parts beside a word of the dictionaries.
+_WIDENED = f"(SELECT * FROM {X.values(_ASKED, X.TEXT)} UNION ALL SELECT 1000 + p_partkey, p_name || ' ' || {_member_sql('p_partkey', _WORDS)} FROM part UNION ALL SELECT -1 - item_id, text FROM benchmark)"
+
+
+def _widened(spark, sf_dir) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select(1000 + F.col("p_partkey"), F.concat("p_name", F.lit(" "), _member("p_partkey", _WORDS)))
+    return _texts(spark, _ASKED).union(parts).union(table(spark, sf_dir, "benchmark").select(-1 - F.col("item_id"), "text"))
+
+
+#: f(id, p, r): the phrases of the queries of `asked`, in order.
+_PHRASES = f"""q AS (SELECT id, {_NORMAL_QUERY.replace('raw', 'text')} AS text FROM {{asked}}),
 c AS (SELECT id, n, m, unnest(aliases) AS p, unnest(range(len(aliases))) AS k FROM (SELECT id, 1 AS n, n AS m, aliases FROM q JOIN {_RULES} ON regexp_matches(lower(q.text), pattern)
   UNION ALL SELECT id, 2, i, aliases FROM (SELECT id, unnest(w) AS word, unnest(range(len(w))) AS i FROM (SELECT id, regexp_extract_all(text, '[a-zA-Z0-9]+') AS w FROM q)) JOIN {_ABBR} ON k = lower(word)
   UNION ALL SELECT id, 3, 0, [core] FROM (SELECT id, {_CORE} AS core FROM q) WHERE core IS NOT NULL UNION ALL SELECT id, 4, 0, [text] FROM q WHERE text <> '')),
 o AS (SELECT id, p, row_number() OVER (PARTITION BY id ORDER BY n, m, k) AS r, {_NORM.format('p')} AS key FROM c),
-f AS (SELECT * FROM o WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY id, key ORDER BY r) = 1)
-SELECT q.id, coalesce(string_agg(p, '|' ORDER BY r), '') AS phrases FROM q LEFT JOIN f USING (id) GROUP BY q.id""")
+f AS (SELECT * FROM o WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY id, key ORDER BY r) = 1)"""
+
+
+@query(f"WITH {_PHRASES.replace('{asked}', _WIDENED)} SELECT q.id, coalesce(string_agg(p, '|' ORDER BY r), '') AS phrases FROM q LEFT JOIN f USING (id) GROUP BY q.id")
 def expand_query(spark, sf_dir):
-    return _texts(spark, _ASKED).select("id", F.array_join(Q.query_plan("text")["phrases"], "|").alias("phrases"))
+    return _widened(spark, sf_dir).select("id", F.array_join(Q.query_plan("text")["phrases"], "|").alias("phrases"))
 
 
 def _cleaned(text: str) -> str:
@@ -167,9 +225,12 @@ def allowed_url(spark, sf_dir):
 _VALUES = [(1, "研究方向："), (2, "个人简介"), (3, "简介。"), (4, "机器学习"), (5, "a"), (6, ""), (7, "我的研究兴趣包括:"), (8, "ab"), (9, None), (10, "  研究领域: ")]
 
 
-@query(f"SELECT id, s = '' OR regexp_matches(s, '[：:]$') OR list_contains({_list(T.INCOMPLETE)}, c) OR length(c) < 2 AS incomplete FROM (SELECT id, s, {_trim("regexp_replace(s, '[：: 。.]+$', '')")} AS c FROM (SELECT id, {_trim("coalesce(text, '')")} AS s FROM {X.values(_VALUES, X.TEXT)}))")
+@query(f"SELECT id, s = '' OR regexp_matches(s, '[：:]$') OR list_contains({_list(T.INCOMPLETE)}, c) OR length(c) < 2 AS incomplete FROM (SELECT id, s, {_trim("regexp_replace(s, '[：: 。.]+$', '')")} AS c FROM (SELECT id, {_trim("coalesce(text, '')")} AS s FROM (SELECT * FROM {X.values(_VALUES, X.TEXT)} UNION ALL SELECT 1000 + p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name || '：' WHEN 1 THEN left(p_name, 1) || '。' WHEN 2 THEN p_type WHEN 3 THEN '' WHEN 4 THEN ' ' || {_member_sql('p_partkey', T.INCOMPLETE)} || ' 。' ELSE {_member_sql('p_partkey', T.INCOMPLETE)} || p_name END FROM part)))")
 def looks_incomplete(spark, sf_dir):
-    return _texts(spark, _VALUES).select("id", T.looks_incomplete("text").alias("incomplete"))
+    """The fixture's values, and those of all parts: names, types, labels, and pieces of them."""
+    label, kind = _member("p_partkey", T.INCOMPLETE), F.col("p_partkey") % 6
+    made = F.when(kind == 0, F.concat("p_name", F.lit("："))).when(kind == 1, F.concat(F.left("p_name", F.lit(1)), F.lit("。"))).when(kind == 2, F.col("p_type")).when(kind == 3, F.lit("")).when(kind == 4, F.concat(F.lit(" "), label, F.lit(" 。"))).otherwise(F.concat(label, "p_name"))
+    return _texts(spark, _VALUES).union(table(spark, sf_dir, "part").select(1000 + F.col("p_partkey"), made)).select("id", T.looks_incomplete("text").alias("incomplete"))
 
 
 _FIELDS = [(1, "研究 机器学习。 联系方式 x"), (2, "  、a b  c,"), (3, "长" * 190), (4, "联系方式 first"), (5, ""), (6, "text Copyright 2020 招生信息"), (7, "研究方向: 翻译 与 理解 主持 项目")]
@@ -178,9 +239,15 @@ _IN = lambda chars: "[" + "".join(f"\\x{{{ord(c):04x}}}" for c in chars) + "]"
 _FIELD_TRIMMED = _trim(f"regexp_replace({_CUT('text', T.BOILERPLATE)}, '{_WS}+', ' ', 'g')", _IN(T.FIELD_ENDS))
 
 
-@query(f"SELECT id, CASE WHEN length(f) > 180 THEN regexp_replace(left(f, 180), '{_WS}+$', '') || '…' ELSE f END AS field, {_CUT('text', T.FOOTERS)} AS body FROM (SELECT id, text, {_FIELD_TRIMMED} AS f FROM {X.values(_FIELDS, X.TEXT)})")
+_MARKS = [*T.BOILERPLATE, *T.FOOTERS, ""]
+_MARKED = f"(SELECT * FROM {X.values(_FIELDS, X.TEXT)} UNION ALL SELECT 1000 + doc_id, coalesce(text, '') || {_member_sql('doc_id', _MARKS)} || ' ,tail' FROM documents)"
+
+
+@query(f"SELECT id, md5(CASE WHEN length(f) > 180 THEN regexp_replace(left(f, 180), '{_WS}+$', '') || '…' ELSE f END) AS field, md5({_CUT('text', T.FOOTERS)}) AS body FROM (SELECT id, text, {_FIELD_TRIMMED} AS f FROM {_MARKED})")
 def clean_field(spark, sf_dir):
-    return _texts(spark, _FIELDS).select("id", T.clean_field("text", 180, True).alias("field"), T.trim_footer("text").alias("body"))
+    """The fixture's fields, and all documents with each of the markers at which fields and bodies are cut."""
+    docs = table(spark, sf_dir, "documents").select(1000 + F.col("doc_id"), F.concat(F.coalesce("text", F.lit("")), _member("doc_id", _MARKS), F.lit(" ,tail")))
+    return _texts(spark, _FIELDS).union(docs).select("id", _digest(T.clean_field("text", 180, True)).alias("field"), _digest(T.trim_footer("text")).alias("body"))
 
 
 @query(f"""WITH p AS (SELECT item_id, {_NORM.format("text")} AS needle, regexp_extract_all(lower(text), '[a-z0-9]+') AS terms FROM benchmark),
@@ -198,12 +265,19 @@ def snippet(spark, sf_dir):
 _PAIRS = [(1, "NLP 机器学习", "自然语言处理 machine learning nlp"), (2, "机器学习 机器", "机器学习与图像"), (3, "abc abcd", "xx abcd"), (4, "", "x"), (5, "plain text", "nothing")]
 
 
-_MATCHED = [(1, "自然语言处理|nlp"), (2, "机器|学习"), (3, "abcd"), (4, ""), (5, "")]
+_PAIR = f"(SELECT * FROM {X.values(_PAIRS, 'id long, text string, hay string')} UNION ALL SELECT 1000 + p_partkey, p_name || ' ' || {_member_sql('p_partkey', _WORDS)}, p_type || ' old ' || p_name || ' 自然语言处理 graph learning' FROM part)"
 
 
-@query(f"SELECT * FROM {X.values(_MATCHED, 'id long, keywords string')}")
+@query(f"""WITH {_PHRASES.replace('{asked}', _PAIR)},
+t AS (SELECT id, x, 2 AS n, r, k FROM (SELECT id, r, unnest(p) AS x, unnest(range(len(p))) AS k FROM (SELECT id, r, {_PIECES.format('p')} AS p FROM f)) QUALIFY row_number() OVER (PARTITION BY id, {_NORM.format('x')} ORDER BY r, k) = 1),
+w AS (SELECT * FROM (SELECT id, p AS x, 1 AS n, r, 0 AS k FROM f UNION ALL FROM t) QUALIFY row_number() OVER (PARTITION BY id, x ORDER BY n, r, k) = 1),
+m AS (SELECT w.*, row_number() OVER (PARTITION BY w.id ORDER BY length(x) DESC, n, r, k) AS i FROM w JOIN {_PAIR} h ON h.id = w.id AND contains({_NORM.format('h.hay')}, {_NORM.format('x')})),
+k AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m y WHERE y.id = m.id AND y.x <> m.x AND contains(y.x, m.x)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) <= 5)
+SELECT q.id, coalesce(string_agg(k.x, '|' ORDER BY k.i), '') AS keywords FROM q LEFT JOIN k ON k.id = q.id GROUP BY q.id""")
 def match_keywords(spark, sf_dir):
-    rows = spark.createDataFrame(_PAIRS, "id long, raw string, hay string")
+    """The words of a query that a text has, longest first, for the fixture's pairs and for all parts."""
+    parts = table(spark, sf_dir, "part").select(1000 + F.col("p_partkey"), F.concat("p_name", F.lit(" "), _member("p_partkey", _WORDS)), F.concat("p_type", F.lit(" old "), "p_name", F.lit(" 自然语言处理 graph learning")))
+    rows = spark.createDataFrame(_PAIRS, "id long, raw string, hay string").union(parts)
     return rows.select("id", F.array_join(Q.matched_keywords("raw", "hay"), "|").alias("keywords"))
 
 
