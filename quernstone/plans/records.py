@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quernstone.functions import loose_json as J
 from quernstone.functions import papers as P
+from quernstone.functions import text as T
 from quernstone.operators import extract, merge, repair, report
 from quernstone.plans import fixtures as X
 from quernstone.plans.retrieval import table
@@ -105,39 +109,96 @@ def _expected(rows: list[tuple], names: str) -> str:
     return f"SELECT * FROM {X.values(rows, ', '.join(f'{n} {kind(k)}' for k, n in enumerate(names.split())))}"
 
 
+def _kinds(key: str, n: int, *made: Column) -> Column:
+    """The expression whose place is the key modulo n."""
+    return reduce(lambda out, k: F.when(F.col(key) % n == k, made[k]).otherwise(out), range(n - 1), made[n - 1])
+
+
+def _kinds_sql(key: str, n: int, *made: str) -> str:
+    return f"CASE {key} % {n} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(made)) + " END"
+
+
+def _parts(spark, sf_dir, text: Column, *more: Column):
+    """(id, text, ...) made of every part; ids follow those of a fixture."""
+    return table(spark, sf_dir, "part").select((1000 + F.col("p_partkey")).alias("id"), text.alias("text"), *more)
+
+
+_said = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else F.col(p) for i, p in enumerate(parts)])
+
+
 _JSON = [(1, '{"title": "a", "year": "2020"}'), (2, '```json\n{"title": "b"}\n```'), (3, 'Sure: {"title": "c", "venue": "v"} done'), (4, "no json"), (5, '{"title": '), (6, ""), (7, None)]
 
 
-@query(f"SELECT id, json_extract_string(j, '$.title') AS title, json_extract_string(j, '$.venue') AS venue FROM (SELECT id, CASE WHEN json_valid(s) THEN s WHEN json_valid(regexp_extract(s, '(?s)(\\{{.*\\}})', 1)) THEN regexp_extract(s, '(?s)(\\{{.*\\}})', 1) END AS j FROM (SELECT id, trim(regexp_replace(coalesce(text, ''), '```(json)?', '', 'g')) AS s FROM {X.values(_JSON, X.TEXT)}))")
+_OBJECT_SQL = """'{"title": "' || p_name || '", "venue": "' || p_type || '"}'"""
+
+
+@query(f"SELECT id, json_extract_string(j, '$.title') AS title, json_extract_string(j, '$.venue') AS venue FROM (SELECT id, CASE WHEN json_valid(s) THEN s WHEN json_valid(regexp_extract(s, '(?s)(\\{{.*\\}})', 1)) THEN regexp_extract(s, '(?s)(\\{{.*\\}})', 1) END AS j FROM (SELECT id, trim(regexp_replace(coalesce(text, ''), '```(json)?', '', 'g')) AS s FROM (SELECT * FROM {X.values(_JSON, X.TEXT)} UNION ALL SELECT 1000 + p_partkey, {_kinds_sql("p_partkey", 6, "j", "'```json' || chr(10) || j || chr(10) || '```'", "'Sure: ' || j || ' done'", "'no ' || p_name", "left(j, length(j) - 1)", "'```' || chr(10) || 'Here ' || j || '```'")} FROM (SELECT *, {_OBJECT_SQL} AS j FROM part))))")
 def json_repair(spark, sf_dir):
-    return X.frame(spark, _JSON, X.TEXT).select("id", J.parse_object("text", J.PAPER).alias("p")).select("id", "p.title", "p.venue")
+    """Objects of all parts, whole, fenced, inside a sentence, broken, or none, beside the fixture's."""
+    j = _said('{"title": "', "p_name", '", "venue": "', "p_type", '"}')
+    made = _kinds("p_partkey", 6, j, F.concat(F.lit("```json\n"), j, F.lit("\n```")), F.concat(F.lit("Sure: "), j, F.lit(" done")), _said("no ", "p_name"), F.left(j, F.length(j) - 1), F.concat(F.lit("```\nHere "), j, F.lit("```")))
+    return X.frame(spark, _JSON, X.TEXT).union(_parts(spark, sf_dir, made)).select("id", J.parse_object("text", J.PAPER).alias("p")).select("id", "p.title", "p.venue")
+
+
+_LONG, _YEAR = "'A long study of ' || p_name || ' by hand'", "CAST(1990 + p_partkey % 30 AS VARCHAR)"
+
+
+def _long_title() -> Column:
+    return _said("A long study of ", "p_name", " by hand")
 
 
-@query(_expected([(1, "A long title of a paper||2021|"), (2, "Another long title|ACL||A"), (3, ""), (4, None)], "id papers"))
+def _year_of() -> Column:
+    return (1990 + F.col("p_partkey") % 30).cast("string")
+
+
+@query(_expected([(1, "A long title of a paper||2021|"), (2, "Another long title|ACL||A"), (3, ""), (4, None)], "id papers") + f" UNION ALL SELECT 1000 + p_partkey, {_kinds_sql('p_partkey', 4, f"{_LONG} || '||' || {_YEAR} || '|'", f"{_LONG} || '|' || p_type || '||A'", "''", "NULL")} FROM part")
 def papers_json(spark, sf_dir):
+    """Papers that a model lists for all parts: as a list, inside an object with a repeat, none, or no JSON."""
     rows = [(1, '[{"title": "A long title of a paper", "year": "2021"}]'), (2, '{"papers": [{"title": "Another long title", "venue": "ACL", "ccf_rank": "a"}]}'), (3, 'x {"papers": []} y'), (4, "none")]
-    return X.frame(spark, rows, X.TEXT).select("id", F.array_join(F.transform(J.clean_structs(J.parse_papers("text")), lambda p: F.concat_ws("|", p["title"], p["venue"], p["year"], p["ccf_rank"])), ";").alias("papers"))
+    titled = F.concat(F.lit('{"title": "'), _long_title(), F.lit('"'))
+    listed = F.concat(F.lit("["), titled, F.lit(', "year": "'), _year_of(), F.lit('"}]'))
+    nested = F.concat(F.lit('{"papers": ['), titled, _said(', "venue": "', "p_type", '", "ccf_rank": "a"}, '), titled, _said(', "venue": "', "p_type", '"}]}'))
+    found = X.frame(spark, rows, X.TEXT).union(_parts(spark, sf_dir, _kinds("p_partkey", 4, listed, nested, F.lit('x {"papers": []} y'), F.col("p_name"))))
+    return found.select("id", F.array_join(F.transform(J.clean_structs(J.parse_papers("text")), lambda p: F.concat_ws("|", p["title"], p["venue"], p["year"], p["ccf_rank"])), ";").alias("papers"))
 
 
-@query(_expected([(1, "Graph methods", "ACL", "2020", "A"), (2, "KDD (2019)", "KDD", "2019", "A"), (3, None, None, None, None), (4, None, None, None, None), (5, None, None, None, None)], "id title venue year ccf_rank"))
+@query(_expected([(1, "Graph methods", "ACL", "2020", "A"), (2, "KDD (2019)", "KDD", "2019", "A"), (3, None, None, None, None), (4, None, None, None, None), (5, None, None, None, None)], "id title venue year ccf_rank") + f"""
+ UNION ALL SELECT 1000 + p_partkey, {_kinds_sql('p_partkey', 3, _LONG, f"'KDD (' || {_YEAR} || ')'", 'NULL')}, {_kinds_sql('p_partkey', 3, "'ACL'", "'KDD'", 'NULL')}, {_kinds_sql('p_partkey', 3, _YEAR, _YEAR, 'NULL')}, {_kinds_sql('p_partkey', 3, "'A'", "'A'", 'NULL')} FROM part""")
 def dict_literal_parse(spark, sf_dir):
+    """Papers of all parts in the notation of a dictionary literal, without a title, or as plain text."""
     rows = [(1, "{'title': 'Graph methods', 'venue': 'ACL', 'year': 2020, 'ccf_rank': None}"), (2, "{'venue': 'KDD', 'year': '2019'}"), (3, "plain line"), (4, "{'title': 'x'}"), (5, None)]
-    return X.frame(spark, rows, X.TEXT).select("id", J.paper_item(J.parse_literal("text")).alias("p")).select("id", "p.*")
+    made = _kinds("p_partkey", 3, F.concat(F.lit("{'title': '"), _long_title(), F.lit("', 'venue': 'ACL', 'year': "), _year_of(), F.lit(", 'ccf_rank': None}")), F.concat(F.lit("{'venue': 'KDD', 'year': '"), _year_of(), F.lit("'}")), F.col("p_name"))
+    return X.frame(spark, rows, X.TEXT).union(_parts(spark, sf_dir, made)).select("id", J.paper_item(J.parse_literal("text")).alias("p")).select("id", "p.*")
 
 
-@query(_expected([(1, "中文 text"), (2, "中文"), (3, '<meta charset="gb18030">编码'), (4, ""), (5, "")], "id text"))
+@query(_expected([(1, "中文 text"), (2, "中文"), (3, '<meta charset="gb18030">编码'), (4, ""), (5, "")], "id text") + " UNION ALL SELECT 1000 + doc_id, md5(coalesce(text, '')) FROM documents")
 def decode_charset(spark, sf_dir):
+    """The fixture's bytes, and those of all documents: UTF-8 that is declared, UTF-16 that is, and UTF-8 under a wrong name."""
     rows = [(1, "中文 text".encode("gb18030"), "text/html"), (2, "中文".encode(), "text/html; charset=utf-8"), (3, b'<meta charset="gb18030">' + "编码".encode("gb18030"), ""), (4, b"", None), (5, None, None)]
-    return spark.createDataFrame(rows, "id long, content binary, kind string").select("id", R.decoded("content", "kind").alias("text"))
+    docs = table(spark, sf_dir, "documents").select(1000 + F.col("doc_id"), F.when(F.col("doc_id") % 3 == 1, F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8")), _kinds("doc_id", 3, F.lit("text/html; charset=utf-8"), F.lit("text/html; Charset=utf-16"), F.lit("text/html; charset=no-such")))
+    own = spark.createDataFrame(rows, "id long, content binary, kind string").select("id", R.decoded("content", "kind").alias("text"))
+    return own.union(docs.toDF("id", "content", "kind").select("id", F.md5(R.decoded("content", "kind").cast("binary"))))
 
 
 _TOPICS = [(1, "1. 自然语言处理\n2、机器翻译(统计,神经)", "王一", "计算机学院"), (2, "机器学习、王一、某某大学；深度学习等", "王一", ""), (3, "教授\n数据库", "", ""), (4, "", "", ""), (5, "图像识别 https://x.y", "", ""), (6, "国家级项目\n( )视觉/跟踪|检测", "", ""), (7, "软件", "", "软件学院")]
 _TOPIC = "id long, text string, name string, department string"
 
 
-@query(_expected([(1, "自然语言处理|机器翻译|统计|神经", "自然语言处理、机器翻译、统计、神经"), (2, "机器学习|深度学习", "机器学习、深度学习"), (3, "数据库", "数据库"), (4, "", ""), (5, "图像识别", "图像识别"), (6, "视觉|跟踪|检测", "视觉、跟踪、检测"), (7, "", "")], "id tags topics"))
+@query(_expected([(1, "自然语言处理|机器翻译|统计|神经", "自然语言处理、机器翻译、统计、神经"), (2, "机器学习|深度学习", "机器学习、深度学习"), (3, "数据库", "数据库"), (4, "", ""), (5, "图像识别", "图像识别"), (6, "视觉|跟踪|检测", "视觉、跟踪、检测"), (7, "", "")], "id tags topics") + f" UNION ALL SELECT 1000 + p_partkey, array_to_string(x, '|'), array_to_string(x, '、') FROM (SELECT p_partkey, {_kinds_sql('p_partkey', 4, "[p_name, p_type, 'graph', 'nets']", '[p_name]', '[p_name]', '[p_name]')} AS x FROM part)")
 def research_tags(spark, sf_dir):
-    return X.frame(spark, _TOPICS, _TOPIC).select("id", F.array_join(P.research_tags("text", 8, "name", "department"), "|").alias("tags"), P.research_topics("text", 140, "name", "department").alias("topics"))
+    """Topics of all parts: numbered lines with brackets, repeats and a part of the department's name, after a title, before a link."""
+    made = _kinds("p_partkey", 4, _said("1. ", "p_name", "\n2、", "p_type", "(graph,nets)"), _said("", "p_name", "、", "p_type", "；", "p_name"), _said("教授\n", "p_name"), _said("", "p_name", " https://x.y/", "p_type"))
+    where = F.when(F.col("p_partkey") % 4 == 1, _said("School of ", "p_type")).otherwise("")
+    return X.frame(spark, _TOPICS, _TOPIC).union(_parts(spark, sf_dir, made, F.lit(""), where)).select("id", F.array_join(P.research_tags("text", 8, "name", "department"), "|").alias("tags"), P.research_topics("text", 140, "name", "department").alias("topics"))
+
+
+#: (doc_id, source, pos, line) of all lines of all documents, as SQL.
+_LINES = "(SELECT doc_id, coalesce(source, '') AS source, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents))"
+_LINE_IDS = "doc_id * 1000000 + pos + 1000"
+
+
+def _lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
 
 
 _PAPER_ROWS = [(1, "Neural machine translation with long contexts", "", ""), (2, "国家自然科学基金面上项目", "", ""), (3, "IEEE, ACM", "", ""), (4, "自然语言处理、机器翻译", "", "自然语言处理、机器翻译、信息检索"), (5, "王一，基金项目", "王一", ""), (6, "待更新", "", ""), (7, "", "", ""), (8, "Journal of Things", "", ""), (9, "中文论文标题的一个例子说明", "", ""), (10, "机器学习研究", "", "")]
@@ -145,13 +206,15 @@ _PAPER = "id long, text string, name string, research string"
 _NOISE = " OR ".join("regexp_matches(t, '" + p.replace("'", "''") + "')" for p in [*P.PAPER_NOISE, *P.STRICT_NOISE])
 
 
-@query(f"""WITH s AS (SELECT id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t, name, research FROM {X.values(_PAPER_ROWS, _PAPER)}),
+@query(f"""WITH s AS (SELECT id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t, name, research FROM (SELECT * FROM {X.values(_PAPER_ROWS, _PAPER)} UNION ALL SELECT {_LINE_IDS}, line, source, CASE WHEN doc_id % 2 = 0 THEN line || '、' || source ELSE '' END FROM {_LINES})),
 c AS (SELECT *, list_transform(list_filter(string_split_regex(t, '[、，,;；]+'), lambda x: trim(x) <> ''), lambda x: replace(replace(x, '，', '、'), ',', '、')) AS own, list_filter(string_split_regex(research, '[、，,;；]+'), lambda x: trim(x) <> '') AS rd FROM s)
 SELECT id, t = '' OR {_NOISE} OR (regexp_matches(t, '^[\\x{{4e00}}-\\x{{9fff}}、，；;：:\\s]{{4,45}}研究$') AND NOT regexp_matches(t, '[A-Za-z]{{4,}}')) OR (name <> '' AND contains(t, name) AND regexp_matches(t, '基金|项目|,20[0-9]{{2}}'))
   OR (research <> '' AND (contains(research, t) OR (len(own) >= 2 AND len(list_filter(own, lambda x: list_contains(rd, x))) >= greatest(2, floor(len(own) * 0.75)))))
   OR (regexp_matches(t, '{P.JOURNAL_START}') AND NOT contains(t, ':') AND length(t) < 80 AND length(t) - length(replace(t, ' ', '')) <= 6) AS noise FROM c""")
 def paper_predicates(spark, sf_dir):
-    return X.frame(spark, _PAPER_ROWS, _PAPER).select("id", P.paper_noise("text", "name", "research", strict=True).alias("noise"))
+    """Whether the fixture's lines, and all lines of all documents, are noise in a list of papers; half of the latter repeat the research field."""
+    lines = _lines(spark, sf_dir).select(F.col("doc_id") * 1_000_000 + F.col("at") + 1000, "line", "source", F.when(F.col("doc_id") % 2 == 0, F.concat("line", F.lit("、"), "source")).otherwise(""))
+    return X.frame(spark, _PAPER_ROWS, _PAPER).union(lines).select("id", P.paper_noise("text", "name", "research", strict=True).alias("noise"))
 
 
 _SAID = [
@@ -237,14 +300,30 @@ _CANON = "CASE " + " ".join(f"WHEN {' OR '.join(f'starts_with(h, {chr(39)}{n}{ch
 _SECTION_LINES = [(1, "Research Interests"), (2, "graph mining"), (3, "graph mining"), (4, "text mining"), (5, "Links"), (6, "ignored line"), (7, "Publications"), (8, "A paper about something"), (9, "About me"), (10, "I work here."), (11, "Education"), (12, "x:")]
 
 
-@query(f"""WITH l AS (SELECT id, text AS line, lower(trim(regexp_replace(trim(text), '[：:]+$', ''))) AS h FROM {X.values(_SECTION_LINES, X.TEXT)}),
-m AS (SELECT id, line, CASE WHEN length(trim(line)) <= 24 AND h <> '' THEN {_CANON} END AS field, h IN ({', '.join("'" + s.replace("'", "''") + "'" for s in extract.STOP_HEADINGS)}) AS stop FROM l),
-n AS (SELECT *, field IS NOT NULL OR stop AS head, sum(CAST(field IS NOT NULL OR stop AS INTEGER)) OVER (ORDER BY id) AS section FROM m),
-s AS (SELECT n.id, n.line, h.field, lag(n.line) OVER (PARTITION BY n.section ORDER BY n.id) AS before FROM n JOIN n h ON h.section = n.section AND h.head WHERE NOT n.head AND h.field IS NOT NULL)
-SELECT field, string_agg(line, '|' ORDER BY id) AS body FROM s WHERE (before IS NULL OR before <> line) AND NOT regexp_matches(line, '[：:]$') GROUP BY field""")
+_HEADS = ["Research Interests", "Links", "Publications:", "About me", "Education", "contact：", "研究方向", "论文", "Projects 2020", "What is a heading of more than 24 characters"]
+_TITLED = "CASE WHEN pos % 6 = 1 THEN {0}[(doc_id + pos // 6) % {1} + 1] WHEN pos % 6 = 4 THEN '12' ELSE line END"
+_PAGE_LINES = f"(SELECT 1 AS page, id AS pos, text AS line FROM {X.values(_SECTION_LINES, X.TEXT)} UNION ALL SELECT 1000 + doc_id, pos, {_TITLED.format('[' + ', '.join(f"'{h}'" for h in _HEADS) + ']', len(_HEADS))} FROM {_LINES})"
+
+
+def _titled(spark, sf_dir, heads):
+    """(page, at, line): lines of all documents as those of pages, with headings among them."""
+    head = F.element_at(F.array(*map(F.lit, heads)), ((F.col("doc_id") + F.floor(F.col("at") / 6)) % len(heads) + 1).cast("int"))
+    return _lines(spark, sf_dir).select((1000 + F.col("doc_id")).alias("page"), F.col("at").cast("long").alias("at"), F.when(F.col("at") % 6 == 1, head).when(F.col("at") % 6 == 4, "12").otherwise(F.col("line")).alias("line"))
+
+
+_SQUEEZED = "trim(regexp_replace({0}, '[ \t]+', ' ', 'g'))"
+_KEPT_LINE = f"s <> '' AND NOT list_contains([{', '.join(f"'{n}'" for n in T.PAGE_NAVIGATION_LINES)}], s) AND NOT regexp_matches(s, '^[0-9]{{1,6}}$') AND NOT (length(s) <= 12 AND regexp_matches(s, '[：:]$')) AND NOT starts_with(s, '姓名:') AND NOT starts_with(s, '页面标题:')"
+
+
+@query(f"""WITH l AS (SELECT page, pos, line, trim(line) AS t, lower(trim(regexp_replace(trim(line), '[：:]+$', ''))) AS h FROM {_PAGE_LINES}),
+m AS (SELECT page, pos, line, CASE WHEN length(t) <= 24 AND h <> '' THEN {_CANON} END AS field, length(t) <= 24 AND h IN ({', '.join("'" + s.replace("'", "''") + "'" for s in extract.STOP_HEADINGS)}) AS stop FROM l),
+n AS (SELECT *, field IS NOT NULL OR stop AS head, sum(CAST(field IS NOT NULL OR stop AS INTEGER)) OVER (PARTITION BY page ORDER BY pos) AS section FROM m),
+s AS (SELECT page, field, list_filter(list(s ORDER BY pos), lambda s: {_KEPT_LINE}) AS b FROM (SELECT n.page, n.pos, h.field, {_SQUEEZED.format('n.line')} AS s FROM n JOIN n h ON h.page = n.page AND h.section = n.section AND h.head WHERE NOT n.head AND h.field IS NOT NULL) GROUP BY page, field),
+j AS (SELECT page, field, array_to_string(list_filter(b, lambda x, i: i = 1 OR x <> b[i - 1]), chr(10)) AS body FROM s)
+SELECT page, field, md5(body) AS body FROM j WHERE trim(body) <> '' AND NOT regexp_matches(trim(body), '[：:]$') AND NOT list_contains([{', '.join(f"'{n}'" for n in T.PAGE_INCOMPLETE)}], trim(regexp_replace(trim(body), '[：: 。.]+$', ''))) AND length(trim(regexp_replace(trim(body), '[：: 。.]+$', ''))) >= 2""")
 def sections_flat(spark, sf_dir):
-    lines = spark.createDataFrame([(1, i, s) for i, s in _SECTION_LINES], "page int, at long, line string")
-    return extract.flat_sections(lines, "page").select("field", F.replace("body", F.lit("\n"), F.lit("|")).alias("body"))
+    own = spark.createDataFrame([(1, i, s) for i, s in _SECTION_LINES], "page long, at long, line string")
+    return extract.flat_sections(own.union(_titled(spark, sf_dir, _HEADS)), "page").select("page", "field", F.md5(F.col("body").cast("binary")).alias("body"))
 
 
 @query(None)
@@ -271,13 +350,17 @@ def artifact_files(spark, sf_dir):
 _MARKED = [(1, "王一"), (2, "研究方向：翻译"), (3, "机器翻译"), (4, "句法分析"), (5, "论文"), (6, "A paper about something"), (7, "论文"), (8, "工作经历"), (9, "2001 to 2010"), (10, "研究方向：翻译"), (11, "语义"), (12, "科研成果表"), (13, "论文"), (14, "Another paper")]
 
 
-@query(f"""WITH l AS (SELECT id, text, text IN ({", ".join(f"'{m}'" for m in extract.MARKERS)}) OR {" OR ".join(f"starts_with(text, '{m}')" for m in extract.MARKERS[:extract.MARKER_PREFIXES])} AS head FROM {X.values(_MARKED, X.TEXT)}),
-n AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (ORDER BY id) AS section FROM l),
-s AS (SELECT n.section, coalesce(max(h.text), '_header') AS name, string_agg(n.text, '|' ORDER BY n.id) AS body FROM n LEFT JOIN n h ON h.section = n.section AND h.head WHERE NOT n.head GROUP BY n.section)
-SELECT name, body FROM s QUALIFY row_number() OVER (PARTITION BY name ORDER BY section DESC) = 1""")
+_MARKERS_OF = ["研究方向：翻译", "论文", "工作经历", "研究领域 x", "论文集", "个人简介"]
+_MARKED_LINES = f"(SELECT 1 AS page, id AS pos, text FROM {X.values(_MARKED, X.TEXT)} UNION ALL SELECT 1000 + doc_id, pos, {_TITLED.format('[' + ', '.join(f"'{h}'" for h in _MARKERS_OF) + ']', len(_MARKERS_OF))} FROM {_LINES})"
+
+
+@query(f"""WITH l AS (SELECT page, pos, text, text IN ({", ".join(f"'{m}'" for m in extract.MARKERS)}) OR {" OR ".join(f"starts_with(text, '{m}')" for m in extract.MARKERS[:extract.MARKER_PREFIXES])} AS head FROM {_MARKED_LINES}),
+n AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY page ORDER BY pos) AS section FROM l),
+s AS (SELECT n.page, n.section, coalesce(max(h.text), '_header') AS name, regexp_replace(string_agg(n.text, chr(10) ORDER BY n.pos), '^\\s+|\\s+$', '', 'g') AS body FROM n LEFT JOIN n h ON h.page = n.page AND h.section = n.section AND h.head WHERE NOT n.head GROUP BY n.page, n.section)
+SELECT page, name, md5(body) AS body FROM s QUALIFY row_number() OVER (PARTITION BY page, name ORDER BY section DESC) = 1""")
 def sections_by_marker(spark, sf_dir):
-    lines = spark.createDataFrame([(1, i, x) for i, x in _MARKED], "page int, at long, line string")
-    return extract.marker_sections(lines, "page").select("name", F.replace("body", F.lit("\n"), F.lit("|")).alias("body"))
+    own = spark.createDataFrame([(1, i, x) for i, x in _MARKED], "page long, at long, line string")
+    return extract.marker_sections(own.union(_titled(spark, sf_dir, _MARKERS_OF)), "page").select("page", "name", F.md5(F.col("body").cast("binary")).alias("body"))
 
 
 @query("""WITH g AS (SELECT n_nationkey AS nation FROM nation WHERE n_regionkey IN (1, 3)),
