@@ -232,13 +232,34 @@ _SAID = [
 ]
 
 
-@query(_expected(_SAID, "id shown title label placeholder suspicious profile clean"))
-def paper_titles(spark, sf_dir):
-    """What each of the predicates on papers says of the fixture's rows."""
-    return X.frame(spark, _PAPER_ROWS, _PAPER).select("id", P.displayable_paper("text", "name", "research").alias("shown"), P.paper_title("text", "name", "research").alias("title"), P.paper_label("text").alias("label"), P.placeholder_papers("text").alias("placeholder"), P.suspicious_papers("text").alias("suspicious"), P.profile_block("text").alias("profile"), P.clean_title("text").alias("clean"))
+_TITLES_SQL = _kinds_sql("p_partkey", 3, "'A study of ' || p_name || ' with ' || p_type || ' parts'", "'[C' || p_partkey % 90 || '] ' || p_name || ', ' || p_type", "'Journal of ' || p_name")
 
 
-def _records(spark):
+@query(_expected(_SAID, "id shown title label placeholder suspicious profile clean") + f""" UNION ALL SELECT 1000 + p_partkey, said, said, false, true, true, false, t
+  FROM (SELECT p_partkey, t, p_partkey % 3 < 2 AND length(raw) >= 20 AND length(raw) - length(replace(raw, ' ', '')) >= 2 AS said FROM (SELECT p_partkey, raw, regexp_replace(raw, '^\\[C\\d+\\] ', '') AS t FROM (SELECT p_partkey, {_TITLES_SQL} AS raw FROM part)))""")
+def paper_titles(spark, sf_dir):
+    """What each of the predicates on papers says of the fixture's rows, and of one line for each part: a title, a numbered and shorter one, a journal."""
+    made = _kinds("p_partkey", 3, _said("A study of ", "p_name", " with ", "p_type", " parts"), F.concat(F.lit("[C"), (F.col("p_partkey") % 90).cast("string"), _said("] ", "p_name", ", ", "p_type")), _said("Journal of ", "p_name"))
+    return X.frame(spark, _PAPER_ROWS, _PAPER).union(_parts(spark, sf_dir, made, F.lit(""), F.lit(""))).select("id", P.displayable_paper("text", "name", "research").alias("shown"), P.paper_title("text", "name", "research").alias("title"), P.paper_label("text").alias("label"), P.placeholder_papers("text").alias("placeholder"), P.suspicious_papers("text").alias("suspicious"), P.profile_block("text").alias("profile"), P.clean_title("text").alias("clean"))
+
+
+def _records(spark, sf_dir):
+    """The fixture's records, and one for each part: with numbered topics and papers in the full text; with topics in the introduction and a
+    paper as a literal; with a title for a topic and the topics in the full text."""
+    key, none = F.col("p_partkey"), F.lit(None).cast("string")
+    papers = _said("论文\n代表论文\nNeural machine translation of ", "p_name", " contexts [C] ACL 2021\nParsing of ", "p_type", " sentences with graphs. IEEE Transactions on Speech 2019")
+    literal = _said("{'title': 'Query optimization for ", "p_name", " stores', 'venue': 'VLDB', 'year': '2020'}")
+    own = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p/"), key.cast("string")).alias("url"), F.col("p_name").alias("name"), F.col("p_brand").alias("department"), F.when(key % 2 == 0, F.lit("教授")).alias("career"),
+        _kinds("p_partkey", 3, _said("1. ", "p_type", "\n2. ", "p_brand", " methods"), F.lit(""), F.lit("教授")).alias("research_direction"), _kinds("p_partkey", 3, F.lit(""), _said("主要从事", "p_type", "理论研究。"), none).alias("personal_intro"),
+        _kinds("p_partkey", 3, F.lit("专利\n待更新"), literal, none).alias("papers_text"), _kinds("p_partkey", 3, papers, F.lit(""), _said("研究方向：", "p_type", "、", "p_brand", "。")).alias("full_text"),
+        F.when(key % 3 == 0, F.array("p_name")).alias("keywords"), F.lit(None).cast(repair.PAPERS).alias("papers_struct"),
+        F.when(key % 3 == 0, F.create_map(F.lit("research"), F.col("p_type"))).when(key % 3 == 1, F.create_map().cast("map<string,string>")).alias("sections"),
+    )
+    return _fixed_records(spark).unionByName(own)
+
+
+def _fixed_records(spark):
     rows = [
         ("u/1", "王一", "计算机学院", "教授", "1. 自然语言处理\n2. 机器翻译", "", "专利\n待更新", "论文\n代表论文\nNeural machine translation with long contexts [C] ACL 2021\nParsing of long sentences with graphs. IEEE Transactions on Speech 2019", ["NLP"], None, {"research": "自然语言处理"}),
         ("u/2", "李二", "软件学院", "", "", "主要从事数据库系统与查询优化研究。", "{'title': 'Query optimization for graph stores', 'venue': 'VLDB', 'year': '2020'}", "", None, None, {}),
@@ -255,9 +276,20 @@ _CLEAN = [
 ]
 
 
-@query(_expected(_CLEAN, "url research_direction research_from_intro papers_text corpus_text"))
+_TWO_SQL = "'Neural machine translation of ' || p_name || ' contexts [C] ACL 2021' || chr(10) || 'Parsing of ' || p_type || ' sentences with graphs. IEEE Transactions on Speech 2019'"
+_LITERAL_SQL = """'{''title'': ''Query optimization for ' || p_name || ' stores'', ''venue'': ''VLDB'', ''year'': ''2020''}'"""
+_HEAD_SQL = "'姓名:' || p_name || chr(10) || '学院:' || p_brand || chr(10) || '职称:' || CASE WHEN p_partkey % 2 = 0 THEN '教授' ELSE '' END"
+
+
+def _of_parts(*kinds: str) -> str:
+    """SQL of the rows that come of part records: for each column its value in the three kinds, or one for all."""
+    return " UNION ALL SELECT 'p/' || p_partkey, " + ", ".join(k if isinstance(k, str) else _kinds_sql("p_partkey", 3, *k) for k in kinds) + " FROM part"
+
+
+@query(_expected(_CLEAN, "url research_direction research_from_intro papers_text corpus_text") + _of_parts(("p_type || '、' || p_brand || ' methods'", "p_type || '理论研究'", "''"), "p_partkey % 3 = 1", (_TWO_SQL, "''", "''"),
+  (f"{_HEAD_SQL} || chr(10) || '研究方向:' || p_type || '、' || p_brand || ' methods' || chr(10) || '关键词:' || p_name || chr(10) || '论文:' || {_TWO_SQL}", f"{_HEAD_SQL} || chr(10) || '研究方向:' || p_type || '理论研究' || chr(10) || '个人简介:主要从事' || p_type || '理论研究。'", _HEAD_SQL)))
 def sanitize_records(spark, sf_dir):
-    return repair.sanitize(repair.repair_literals(repair.backfill_research(_records(spark)))).select("url", "research_direction", "research_from_intro", "papers_text", "corpus_text")
+    return repair.sanitize(repair.repair_literals(repair.backfill_research(_records(spark, sf_dir)))).select("url", "research_direction", "research_from_intro", "papers_text", "corpus_text")
 
 
 _LITERAL = "{'title': 'Query optimization for graph stores', 'venue': 'VLDB', 'year': '2020'}"
@@ -268,10 +300,10 @@ _FIXED = [
 ]
 
 
-@query(_expected(_FIXED, "url research_direction papers_text years papers research"))
+@query(_expected(_FIXED, "url research_direction papers_text years papers research") + _of_parts(("p_type || '、' || p_brand || ' methods'", "''", "p_type || '、' || p_brand"), (_TWO_SQL, _LITERAL_SQL, "''"), ("'2021|2019'", "'2020'", "NULL"), (_TWO_SQL, _LITERAL_SQL, "''"), ("p_type", "NULL", "p_type || '、' || p_brand")))
 def batch_fix(spark, sf_dir):
     years = F.array_join(F.transform("papers_struct", lambda p: p["year"]), "|")
-    return repair.batch_fix(_records(spark)).select("url", "research_direction", "papers_text", years.alias("years"), F.col("sections")["papers"].alias("papers"), F.col("sections")["research"].alias("research"))
+    return repair.batch_fix(_records(spark, sf_dir)).select("url", "research_direction", "papers_text", years.alias("years"), F.col("sections")["papers"].alias("papers"), F.col("sections")["research"].alias("research"))
 
 
 _COALESCED = [
@@ -281,18 +313,22 @@ _COALESCED = [
 ]
 
 
-@query(_expected(_COALESCED, "url research_direction research_direction_rule papers_text keywords llm_extracted papers_screened"))
+@query(_expected(_COALESCED, "url research_direction research_direction_rule papers_text keywords llm_extracted papers_screened") + _of_parts(("'机器学习、数据挖掘'", "p_type || '理论研究'", "''"), ("'1. ' || p_type || chr(10) || '2. ' || p_brand || ' methods'", "''", "'教授'"), (f"CASE WHEN p_partkey % 2 = 0 THEN '' ELSE {_TWO_SQL} END", "''", "''"), ("'ml'", "NULL", "NULL"), "p_partkey % 3 < 2", "p_partkey % 6 = 0"))
 def coalesce_extraction(spark, sf_dir):
-    """Extracted values replace fields, empty ones leave them; screened papers replace them even by none."""
+    """Extracted values replace fields, empty ones leave them; screened papers replace them even by none. One title without a venue isn't
+    credible, so papers come of the full text again."""
     said = spark.createDataFrame([("u/1", '{"research_direction": "机器学习、数据挖掘", "keywords": ["ml"], "papers": ["Learning with few labels in large graphs"]}'), ("u/2", '{"research_direction": ""}'), ("u/3", "no answer")], "url string, content string")
     screened = spark.createDataFrame([("u/1", '{"papers": []}')], "url string, content string")
-    return repair.apply_screening(repair.apply_extraction(_records(spark), said), screened).select("url", "research_direction", "research_direction_rule", "papers_text", F.array_join("keywords", "|").alias("keywords"), "llm_extracted", "papers_screened")
+    parts, url = table(spark, sf_dir, "part"), F.concat(F.lit("p/"), F.col("p_partkey").cast("string"))
+    answers = _kinds("p_partkey", 3, _said('{"research_direction": "机器学习、数据挖掘", "keywords": ["ml"], "papers": ["Learning with few labels in ', "p_name", ' graphs"]}'), F.lit('{"research_direction": ""}'), F.lit("no answer"))
+    said, screened = said.union(parts.select(url, answers)), screened.union(parts.where("p_partkey % 6 = 0").select(url, F.lit('{"papers": []}')))
+    return repair.apply_screening(repair.apply_extraction(_records(spark, sf_dir), said), screened).select("url", "research_direction", "research_direction_rule", "papers_text", F.array_join("keywords", "|").alias("keywords"), "llm_extracted", "papers_screened")
 
 
-@query(None)
+@query("SELECT url, said FROM (VALUES ('u/1', '138'), ('u/2', '125'), ('u/3', '15')) v(url, said)" + _of_parts((f"CAST(length('论文' || chr(10) || '代表论文' || chr(10) || {_TWO_SQL}) AS VARCHAR)", f"CAST(length({_HEAD_SQL} || chr(10) || '个人简介:主要从事' || p_type || '理论研究。' || chr(10) || '论文:' || {_LITERAL_SQL}) AS VARCHAR)", "CAST(length('研究方向：' || p_type || '、' || p_brand || '。') AS VARCHAR)")))
 def model_call(spark, sf_dir):
     """The external model, stood in for by a function that gives an object."""
-    answers = repair.call_model(repair.rebuild_corpus(_records(spark)), lambda text: '{"personal_intro": "' + str(len(text)) + '"}')
+    answers = repair.call_model(repair.rebuild_corpus(_records(spark, sf_dir)), lambda text: '{"personal_intro": "' + str(len(text)) + '"}')
     return answers.select("url", J.parse_object("content", J.EXTRACTION)["personal_intro"].alias("said"))
 
 
