@@ -34,6 +34,8 @@ TEXTS, CENTROIDS, ROUNDS = 1_500, 4, 6
 #: cosine that nearly all texts had, in the short bands when they were cut to that length.
 REJECTED, MARGIN, SHORT_BANDS, ENOUGH = 0.999, 1.15, 8, 500
 CUT_REJECTED, CUT_SHARE = 0.95, 0.5
+#: Where no language has 20 sampled texts, all have this share of the bound of their texts together.
+RARE_SHARE = 0.5
 #: Bytes and number of texts that are held at once.
 BYTES_AT_ONCE, TEXTS_AT_ONCE = 500_000, 1_000
 UNKNOWN = "und"
@@ -151,10 +153,15 @@ def fit_languages(docs: DataFrame, *, lang_col: str = "lang", id_col: str = "doc
 
 def _bounds(cut: np.ndarray, least: np.ndarray) -> np.ndarray:
     """The least cosine by language and band of lengths: that of cut texts up to SHORT_BANDS, beyond that of whole ones. A band that
-    the sample hardly has takes the next shorter one's; cosines rise with length, so no band has a higher bound than a longer one."""
+    the sample hardly has takes the next shorter one's; cosines rise with length, so no band has a higher bound than a longer one.
+    A language with too few texts for any bound of its own has the bound that three quarters of the others don't exceed; if there is no
+    other, a share of that of all texts together, which is the last row of both."""
     out = np.hstack([cut[:, : SHORT_BANDS + 1], least[:, SHORT_BANDS + 1 :]])
     for band in range(1, out.shape[1]):
         out[:, band] = np.where(np.isnan(out[:, band]), out[:, band - 1], out[:, band])
+    few = np.isnan(np.hstack([cut[:-1, 1 : SHORT_BANDS + 1], least[:-1, SHORT_BANDS + 1 :]])).all(axis=1)
+    out, together = out[:-1], out[-1]
+    out[few] = RARE_SHARE * together if few.all() else np.quantile(out[~few], 0.75, axis=0)
     return np.ascontiguousarray(np.minimum.accumulate(out[:, ::-1], axis=1)[:, ::-1])
 
 
@@ -175,11 +182,11 @@ def _least_when_cut(sample: DataFrame, idf: np.ndarray, middle: np.ndarray, owne
                         cosine = np.where(owner[None] == k[long, None], vectors([rows[i][:size] for i in long], idf) @ middle.T, -1).max(axis=1)
                         yield pa.RecordBatch.from_arrays([pa.array(k[long]), pa.array(np.full(len(long), band, np.int32)), pa.array(cosine, pa.float64())], ["k", "band", "cosine"])
 
-    far = sample.select("k", "text").mapInArrow(cosines, "k int, band int, cosine double").groupBy("k", "band").agg(F.percentile_approx("cosine", 1 - CUT_REJECTED, 10_000).alias("least"), F.count(F.lit(1)).alias("n"))
-    least = np.full((languages, 13), np.nan)
+    far = sample.select("k", "text").mapInArrow(cosines, "k int, band int, cosine double").rollup("band", "k").agg(F.percentile_approx("cosine", 1 - CUT_REJECTED, 10_000).alias("least"), F.count(F.lit(1)).alias("n"))
+    least = np.full((languages + 1, 13), np.nan)
     least[:, 0] = 0
-    for r in far.where("n >= 20").collect():
-        least[r["k"], r["band"]] = CUT_SHARE * max(0.0, r["least"])
+    for r in far.where("band IS NOT NULL AND (k IS NULL OR n >= 20)").collect():
+        least[languages if r["k"] is None else r["k"], r["band"]] = CUT_SHARE * max(0.0, r["least"])
     return least
 
 
@@ -220,10 +227,10 @@ def _least_cosines(points: DataFrame, middle: np.ndarray, owner: np.ndarray, lan
                 yield pa.RecordBatch.from_arrays([pa.array(k), batch.column(2), pa.array(cosine, pa.float64())], ["k", "band", "cosine"])
 
     quantiles = F.percentile_approx("cosine", [1 - REJECTED, 1 - CUT_REJECTED], 10_000)
-    far = points.mapInArrow(cosines, "k int, band int, cosine double").groupBy("k", "band").agg(quantiles.alias("q"), F.count(F.lit(1)).alias("n"))
-    least = np.full((languages, 13), np.nan)
-    for r in far.where("n >= 20").collect():
-        least[r["k"], r["band"]] = max(0.0, 1 - MARGIN * (1 - r["q"][0]) if r["n"] >= ENOUGH else CUT_SHARE * r["q"][1])
+    far = points.mapInArrow(cosines, "k int, band int, cosine double").rollup("band", "k").agg(quantiles.alias("q"), F.count(F.lit(1)).alias("n"))
+    least = np.full((languages + 1, 13), np.nan)
+    for r in far.where("band IS NOT NULL AND (k IS NULL OR n >= 20)").collect():
+        least[languages if r["k"] is None else r["k"], r["band"]] = max(0.0, 1 - MARGIN * (1 - r["q"][0]) if r["n"] >= ENOUGH else CUT_SHARE * r["q"][1])
     return least
 
 

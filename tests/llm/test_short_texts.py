@@ -58,3 +58,24 @@ def test_share_of_many_rows():
     for n in (1_500, 10**7, 10**10, 10**13):
         bound = L.sample_bound(1_500, n)
         assert (bound + 2**63) / 2**64 * n == pytest.approx(1_500, rel=1e-3)
+
+
+@pytest.mark.parametrize("n", [1, 5, 15])
+def test_rare_language(spark, n):
+    """A language with very few texts rejects what is foreign to it as the others do, and keeps its own."""
+    docs = spark.read.parquet(f"{TABLES}/sf0.01/documents.parquet").where("text IS NOT NULL")
+    train = docs.where(~L.held_out(F.col("doc_id")))
+    few = train.where("lang = 'fr' AND length(text) > 200").orderBy(F.xxhash64("text")).limit(n)
+    model = L.fit_languages(train.where("lang IN ('de', 'en')").unionByName(few))
+    own = [r.text for r in docs.where("lang = 'fr' AND length(text) > 200").collect()]
+    for size in (60, 100, 200, 400, 1000, 4000):
+        assert model.identify([(f"{x} " * 40)[:size] for x in FOREIGN])[2].all(), size
+        language, _, rejected = model.identify([x[:size] for x in own])
+        assert sum(x == "fr" and not r for x, r in zip(language, rejected)) >= 0.98 * len(own), size
+
+
+def test_only_rare_languages(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the weather of today is fine and the children play outside all day", "en"), ("das Wetter von heute ist gut und die Kinder spielen den ganzen Tag", "de")] * 3)]
+    model = L.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert not model.identify([t for _, t, _ in rows])[2].any()
+    assert model.identify([x[:150] for x in FOREIGN])[2].all()
