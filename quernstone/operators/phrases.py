@@ -18,6 +18,57 @@ from quernstone.functions.text import occurrences
 FEW, BATCH = 64, 100_000
 
 
+def first_phrases(texts: DataFrame, phrases: DataFrame, *, batch: int = BATCH) -> DataFrame:
+    """(doc_id, place): for each text (doc_id, hay) that holds a phrase (needle, place), the least place of those that it holds. One row for each
+    text leaves a task, however many phrases it holds."""
+    return _held(texts, phrases, batch, per_place=False).groupBy("doc_id").agg(F.min("place").alias("place"))
+
+
+def first_texts(texts: DataFrame, phrases: DataFrame, *, batch: int = BATCH) -> DataFrame:
+    """(place, at): for each phrase (needle, place) that a text (at, hay) holds, the least `at` of those texts. One row for each phrase and batch
+    of rows leaves a task."""
+    found = _held(texts.select(F.col("at").alias("doc_id"), "hay"), phrases, batch, per_place=True)
+    return found.groupBy("place").agg(F.min("doc_id").alias("at"))
+
+
+def _held(texts: DataFrame, phrases: DataFrame, batch: int, *, per_place: bool) -> DataFrame:
+    """(doc_id, place) of texts and the phrases that they hold: of each text the least place, or, per_place, of each place the least
+    text in a batch of rows."""
+    wanted = phrases.select("needle", F.col("place").cast("long").alias("place")).where("needle <> '' AND place IS NOT NULL")
+    n = wanted.count()
+    read = texts.select("doc_id", "hay")
+    kind = read.schema["doc_id"].dataType.simpleString()
+    if not n:
+        return read.select("doc_id", F.lit(0).cast("long").alias("place")).limit(0)
+    parts = -(-n // batch)
+    dealt = wanted.withColumn("part", F.pmod(F.xxhash64("needle"), F.lit(parts)))
+
+    def of_part(k: int) -> DataFrame:
+        named: dict[str, list[int]] = {}
+        for r in dealt.where(F.col("part") == k).select("needle", "place").collect():
+            named.setdefault(r["needle"], []).append(r["place"])
+        shared = texts.sparkSession.sparkContext.broadcast([(x, places if per_place else [min(places)]) for x, places in named.items()])
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for needle, places in shared.value:
+                automaton.add_word(needle, places)
+            automaton.make_automaton()
+            for rows in batches:
+                ids, first_row, first_place = rows.column(0), {}, {}
+                for i, hay in enumerate(rows.column(1)):
+                    for p in {p for _, places in automaton.iter(hay.as_py() or "") for p in places}:
+                        first_place[i] = min(p, first_place.get(i, p))
+                        if per_place and (v := ids[i].as_py()) is not None and (p not in first_row or v < first_row[p][0]):
+                            first_row[p] = v, i
+                pairs = [(i, p) for p, (_, i) in first_row.items()] if per_place else list(first_place.items())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array([i for i, _ in pairs], pa.int64())), pa.array([p for _, p in pairs], pa.int64())], ["doc_id", "place"])
+
+        return read.mapInArrow(find, f"doc_id {kind}, place long")
+
+    return reduce(DataFrame.unionByName, [of_part(k) for k in range(parts)])
+
+
 def phrase_counts(texts: DataFrame, phrases: DataFrame, *, few: int = FEW, batch: int = BATCH) -> DataFrame:
     """(doc_id, needle, n) for texts (doc_id, hay) and phrases (needle), both normalised: n occurrences without overlap, at least one."""
     needles = phrases.select("needle").where("needle <> ''").distinct()

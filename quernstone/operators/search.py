@@ -14,29 +14,27 @@ from quernstone.functions.query import planned
 from quernstone.functions.text import col, normalize_text, snippet, tokens
 from quernstone.operators.likeness import alike
 from quernstone.operators.index import Index, build_index, token_scores
-from quernstone.operators.phrases import phrase_counts
+from quernstone.operators.phrases import first_phrases, first_texts, phrase_counts
 from quernstone.operators.rank import dedupe_and_rank
 from quernstone.operators.tables import small, stored
 
 NAME, SCOPED, PHRASE, FIELDS, TOKENS, FUZZY = 1, 2, 3, 4, 5, 7
 
 
-def _paths_with_names(docs: DataFrame, entities: DataFrame) -> DataFrame:
-    """(doc_id, entity) of every document whose path contains an entity's name: names are looked for together, not pair by pair."""
-    named = entities.where(F.length("name") > 0).select(F.col("name").alias("needle"), F.col("ord").alias("entity"))
-    return phrase_counts(docs.select("doc_id", F.col("path").alias("hay")), named).select("doc_id", "needle").join(named, "needle").select("doc_id", "entity")
+def _names(entities: DataFrame) -> DataFrame:
+    return entities.where(F.length("name") > 0).select(F.col("name").alias("needle"), F.col("ord").alias("place"))
 
 
 def doc_entities(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """(doc_id, entity) of each document with an entity: the first one, in order, whose name the path contains."""
-    return _paths_with_names(docs, entities).groupBy("doc_id").agg(F.min("entity").alias("entity"))
+    found = first_phrases(docs.select("doc_id", F.col("path").alias("hay")), _names(entities))
+    return found.select("doc_id", F.col("place").alias("entity"))
 
 
 def entity_docs(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity, doc_id, doc_text): the first document, in order, whose path contains the entity's name."""
-    hits = _paths_with_names(docs, entities).join(docs.select("ord", "doc_id"), "doc_id")
-    first = hits.groupBy("entity").agg(F.min_by("doc_id", "ord").alias("doc_id"))
-    return first.join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id").select("entity", "doc_id", "doc_text")
+    first = first_texts(docs.select(F.col("ord").alias("at"), F.col("path").alias("hay")), _names(entities))
+    return first.join(docs.select(F.col("ord").alias("at"), "doc_id", F.col("text").alias("doc_text")), "at").select(F.col("place").alias("entity"), "doc_id", "doc_text")
 
 
 def with_plans(queries: DataFrame) -> DataFrame:
@@ -80,17 +78,20 @@ class Search:
         docs = found.join(self.docs.select("doc_id", "text"), "doc_id").select("query_id", "doc_id", (1 + F.log1p("n")).alias("score"), snippet("text", F.col("terms")).alias("snippet"))
         docs = docs.join(self.of_doc, "doc_id").join(self.entities.select(F.col("ord").alias("entity"), "name", "department", "url"), "entity").select("query_id", "score", "name", "department", "url", "doc_id", "snippet")
         hay = normalize_text(F.concat_ws(" ", *map(col, ("name", "research_direction", "personal_intro", "papers_text"))))
-        hits = self.entities.withColumn("hay", hay).join(phrases, F.expr("contains(hay, needle)")).withColumn("score", F.lit(1.0))
+        held = phrase_counts(self.entities.select(F.col("ord").alias("doc_id"), hay.alias("hay")), phrases).select(F.col("doc_id").alias("ord"), "needle")
+        hits = self.entities.join(held, "ord").join(phrases, "needle").withColumn("score", F.lit(1.0))
         return docs.unionByName(self._entity_hits(hits, F.col("terms"), col("personal_intro")))
 
     def by_field(self, plans: DataFrame, field: str) -> DataFrame:
         """Entities whose research or papers hold phrases (3 and 0.2 for each character) or terms (1) of the query."""
         text = {"papers": "papers_text", "research": "research_direction"}[field]
         forms = lambda xs, least: F.filter(F.transform(xs, lambda x: normalize_text(x)), lambda x: F.length(x) >= least)
-        wanted = small(plans.select("query_id", F.concat("phrases", "tokens").alias("terms"), forms("phrases", 1).alias("long"), forms("tokens", 2).alias("short")))
-        has = self.entities.withColumn("hay", normalize_text(text)).where("hay <> ''").join(wanted, F.expr("exists(long, x -> contains(hay, x)) OR exists(short, x -> contains(hay, x))"))
-        score = F.expr("aggregate(filter(long, x -> contains(hay, x)), 0D, (s, x) -> s + 3.0D + 0.2D * length(x)) + size(filter(short, x -> contains(hay, x)))")
-        return self._entity_hits(has.withColumn("score", score).where("score > 0"), F.col("terms"), col(text), col(text))
+        points = F.concat(F.transform(forms("phrases", 1), lambda x: F.struct(x.alias("needle"), (3 + 0.2 * F.length(x)).alias("points"))), F.transform(forms("tokens", 2), lambda x: F.struct(x.alias("needle"), F.lit(1.0).alias("points"))))
+        wanted = small(plans.select("query_id", F.explode(points).alias("p")).select("query_id", "p.*"))
+        held = phrase_counts(self.entities.select(F.col("ord").alias("doc_id"), normalize_text(text).alias("hay")).where("hay <> ''"), wanted).select(F.col("doc_id").alias("ord"), "needle")
+        scored = held.join(wanted, "needle").groupBy("query_id", "ord").agg(F.sum("points").alias("score"))
+        terms = small(plans.select("query_id", F.concat("phrases", "tokens").alias("terms")))
+        return self._entity_hits(self.entities.join(scored, "ord").join(terms, "query_id"), F.col("terms"), col(text), col(text))
 
     def by_tokens(self, plans: DataFrame, *, require_all: bool = False) -> DataFrame:
         hits = token_scores(plans, self.index, require_all=require_all).join(self.of_doc, "doc_id").join(self.entities.select(F.col("ord").alias("entity"), "name", "department", "url"), "entity")
