@@ -53,6 +53,8 @@ def _held(texts: DataFrame, phrases: DataFrame, batch: int, *, per_place: bool)
             automaton = ahocorasick.Automaton()
             for needle, places in shared.value:
                 automaton.add_word(needle, places)
+            if not len(automaton):  # a part without phrases
+                return
             automaton.make_automaton()
             for rows in batches:
                 ids, first_row, first_place = rows.column(0), {}, {}
@@ -89,6 +91,8 @@ def _by_automaton(texts: DataFrame, needles: DataFrame) -> DataFrame:
         automaton = ahocorasick.Automaton()
         for needle in shared.value:
             automaton.add_word(needle, needle)
+        if not len(automaton):  # a part without phrases
+            return
         automaton.make_automaton()
         for batch in batches:
             at, needle, n = [], [], []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import query as Q
 from quernstone.functions import text as T
-from quernstone.operators import evaluate, filters, index, phrases, rank, vectors
+from quernstone.operators import evaluate, filters, grams, index, rank, vectors
 from quernstone.operators.likeness import alike
 from quernstone.operators.search import Search, doc_entities, entity_docs
 from quernstone.operators.tables import small, stored
@@ -71,6 +71,12 @@ def stored_vectors(spark: SparkSession, sf_dir: str) -> vectors.Vectors:
     return _kept(spark, sf_dir, "vectors", lambda: vectors.document_vectors(stored_index(spark, sf_dir)))
 
 
+def stored_grams(spark: SparkSession, sf_dir: str) -> grams.GramIndex:
+    """The normalised documents by sampled grams."""
+    docs = lambda: table(spark, sf_dir, "documents").select("doc_id", T.normalize_text("text").alias("hay"))
+    return _kept(spark, sf_dir, "grams", lambda: grams.gram_index(docs()))
+
+
 @query(f"WITH {_TF} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def document_frequency(spark, sf_dir):
     return stored_index(spark, sf_dir).terms.withColumn("idf", F.round("idf", 6))
@@ -123,8 +129,7 @@ scores AS (SELECT query_id, doc_id, 1 + ln(1 + (length(hay) - length(replace(hay
 def phrase_count_topk(spark, sf_dir):
     """Documents by how often they hold a benchmark item, white space apart."""
     wanted = small(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.normalize_text("text").alias("needle")).where("needle <> ''"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize_text("text").alias("hay"))
-    hits = phrases.phrase_counts(docs, wanted).join(wanted, "needle")
+    hits = grams.look_up(stored_grams(spark, sf_dir), wanted).join(wanted, "needle")
     return _ranked(hits.select("query_id", "doc_id", (1 + F.log1p("n")).alias("score")), 5).select("query_id", "doc_id", "score", "rank")
 
 

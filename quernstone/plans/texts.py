@@ -9,10 +9,10 @@ from quernstone.functions import papers as P
 from quernstone.functions import query as Q
 from quernstone.functions import text as T
 from quernstone.functions.dictionaries import ABBREVIATIONS, PHRASES
-from quernstone.operators import phrases
+from quernstone.operators import grams
 from quernstone.operators.tables import small
 from quernstone.plans import fixtures as X
-from quernstone.plans.retrieval import _GRAMS, _NORM, _WS, table
+from quernstone.plans.retrieval import _GRAMS, _NORM, _WS, stored_grams, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -257,9 +257,8 @@ SELECT item_id, doc_id, left(CASE WHEN pos IS NULL THEN trim(replace(left(text,
 def snippet(spark, sf_dir):
     """The surroundings of the first of an item's words that a document has, for every document that holds the item."""
     items = table(spark, sf_dir, "benchmark").select("item_id", T.normalize_text("text").alias("needle"), T.tokens("text").alias("terms")).where("needle <> ''")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = phrases.phrase_counts(docs.select("doc_id", T.normalize_text("text").alias("hay")), items).join(small(items), "needle")
-    return hits.join(docs, "doc_id").select("item_id", "doc_id", T.snippet("text", F.col("terms")).alias("snippet"))
+    hits = grams.look_up(stored_grams(spark, sf_dir), items).join(small(items), "needle")
+    return hits.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("item_id", "doc_id", T.snippet("text", F.col("terms")).alias("snippet"))
 
 
 _PAIRS = [(1, "NLP 机器学习", "自然语言处理 machine learning nlp"), (2, "机器学习 机器", "机器学习与图像"), (3, "abc abcd", "xx abcd"), (4, "", "x"), (5, "plain text", "nothing")]
