@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import query as Q
 from quernstone.functions import text as T
-from quernstone.operators import evaluate, filters, grams, index, rank, vectors
+from quernstone.operators import display, evaluate, filters, grams, index, rank, vectors
 from quernstone.operators.likeness import alike
 from quernstone.operators.search import Search, doc_entities, entity_docs
 from quernstone.operators.tables import small, stored
@@ -436,3 +436,29 @@ def fuzzy_search(spark, sf_dir):
 def threshold_sweep(spark, sf_dir):
     """How often misspelled part names find what they mean, by the threshold of likeness."""
     return evaluate.sweep(_named(spark, sf_dir), _misspelled(spark, sf_dir), range(50, 101, 5))
+
+
+@query(None)
+def fuzzy_filter(spark, sf_dir):
+    """Customers whose name a misspelled needle matches, contains, or is like, by the filter of result lists."""
+    named = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    return named.where(filters.text_filter("name", "Custmr#000000149", fuzzy=True, threshold=92))
+
+
+def _found(spark, sf_dir):
+    """The search of the fixture and the parts, its results for all queries, and the queries."""
+    search, asked = _search(spark, sf_dir), stored(_asked(spark, sf_dir))
+    return search, search.run(asked, top_k=3, fuzzy=False), asked
+
+
+@query(None)
+def display_results(spark, sf_dir):
+    """What a reader sees of the three best results of every query: masked, cleaned and shortened, as lines of text."""
+    search, results, asked = _found(spark, sf_dir)
+    return display.as_text(display.build_display(results, search.entities, asked))
+
+
+@query(None)
+def form_results(spark, sf_dir):
+    """A search form over the parts: research and name fields without free text, sorted by name."""
+    return filters.form_search(_search(spark, sf_dir), research="economy", name="bolt", k=20, fuzzy=False, order="name").select("rank", "name", "department", "stage", "score")
