@@ -24,8 +24,17 @@ from quernstone.llm.common import fresh, remainder, stored, table
 ORACLE_SQL = None
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches have 1,000 rows at most, unless the session asks for fewer: texts of 10,000 rows, in the JVM and in Python at once, are
+    what an executor's memory is short of. The setting holds on in the session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > 1_000:
+        spark.conf.set(key, 1_000)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.5 or more go."""
+    _small_batches(spark)
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), held_out=remainder(F.col("id"), 5) == 0)
     (score,) = fresh(docs, "_score")
     return model.with_toxicity(docs, out=score).where(F.col(score) < 0.5).drop(score)
@@ -33,16 +42,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that have no letter, or are too far from every language."""
+    _small_batches(spark)
     return language_id.keep_known(docs, language_id.fit_languages(docs.where(~language_id.held_out(F.col("doc_id")))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share four fifths or more of their five-word shingles, or are linked through others, the one with the least id stays."""
+    _small_batches(spark)
     return jaccard_join.one_of_each(docs, words=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark, or a paraphrase of one, go."""
+    _small_batches(spark)
     return decontamination.LatentIndex(docs, table(spark, sf_dir, "benchmark")).keep_clean(docs)
 
 
@@ -50,6 +62,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document that is left."""
     import public_tokenizers
 
+    _small_batches(spark)
     return sentencepiece_codec.piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
