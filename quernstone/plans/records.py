@@ -362,11 +362,37 @@ def sections_flat(spark, sf_dir):
     return extract.flat_sections(own.union(_titled(spark, sf_dir, _HEADS)), "page").select("page", "field", F.md5(F.col("body").cast("binary")).alias("body"))
 
 
-@query(None)
+_FOOTER = "trim(regexp_replace(replace(replace(regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1), '&copy;', '©'), '&middot;', '·'), '[ \\t]+', ' ', 'g'))"
+
+
+def _headed(spark, sf_dir):
+    """All pages; a third have headings and paragraphs at their end, a third a box of the module layout, and of these each links to a subpage."""
+    key = F.col("page_id").cast("string")
+    flat = F.concat(F.lit("<h3>Research Interests</h3><p>graph methods "), key, F.lit("</p><p>text mining</p><p>text mining</p><h3>Links</h3><p>not this</p><h3>Publications:</h3><p>A paper of "), key, F.lit(" about something</p></article>"))
+    box = F.concat(F.lit('<div class="post mbox"><div class="tt">Biography</div><div class="con">Works in room '), key, F.lit('.</div></div><div class="mbox"><div class="tt">Gallery</div><div class="con">of a lesser layout</div></div></article>'))
+    made = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("</article>"), flat)).when(F.col("page_id") % 3 == 1, F.replace("html", F.lit("</article>"), box)).otherwise(F.col("html"))
+    link = F.concat(F.lit('<body><a href="/research/'), key, F.lit('.html">Our research</a>'))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 1, F.replace(made, F.lit("<body>"), link)).otherwise(made).alias("html"))
+
+
+@query(f"""SELECT page_id, 'research' AS field, md5('graph methods ' || page_id || chr(10) || 'text mining') AS body FROM pages WHERE page_id % 3 = 0 AND contains(html, '</article>')
+UNION ALL SELECT page_id, 'papers', md5('A paper of ' || page_id || ' about something' || chr(10) || {_FOOTER}) FROM pages WHERE page_id % 3 = 0 AND contains(html, '</article>')
+UNION ALL SELECT page_id, 'intro', md5('Works in room ' || page_id || '.') FROM pages WHERE page_id % 3 = 1 AND contains(html, '</article>')""")
 def html_sections(spark, sf_dir):
-    """Titles and texts of all pages, with the sections that they have."""
-    pages = extract.walked(table(spark, sf_dir, "pages"))
-    return extract.page_records(pages).select("page_id", "title", F.length("full_text").alias("n_chars"), F.size("sections").alias("sections"))
+    """The sections of all pages, of boxes and of flat text, by a digest of each."""
+    found = extract.page_sections(extract.walked(_headed(spark, sf_dir)))
+    return found.select("page_id", "field", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+@query("""SELECT page_id, 'intro=Works in room ' || page_id || '.|research=topics of page ' || page_id AS sections, 'topics of page ' || page_id AS research_direction FROM pages WHERE page_id % 3 = 1 AND contains(html, '</article>')""")
+def subpage_records(spark, sf_dir):
+    """Records of the pages that have a subpage on their own host, with what the subpage adds."""
+    pages = _headed(spark, sf_dir).where("page_id % 3 = 1")
+    key, host = F.col("page_id").cast("string"), F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)
+    box = F.concat(F.lit('<title>t</title><div class="post mbox"><div class="tt">Research Interests</div><div class="con">topics of page '), key, F.lit("</div></div>"))
+    subpages = pages.select((F.col("page_id") + 1_000_000_000).alias("page_id"), F.concat(host, F.lit("/research/"), key, F.lit(".html")).alias("url"), box.alias("html"))
+    found = extract.page_records(extract.walked(pages.unionByName(subpages)), hosts=["example"]).where("page_id < 1000000000")
+    return found.select("page_id", F.array_join(F.transform(F.sort_array(F.map_entries("sections")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("sections"), "research_direction")
 
 
 @query(None)

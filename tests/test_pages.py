@@ -44,3 +44,31 @@ def test_paged_source(spark, tmp_path):
     some = found.where("published = '1' AND siteId > 0").select("title", "siteId")
     assert sorted(r.title for r in some.collect()) == sorted(r["title"] for r in rows if r["published"] == "1" and r["siteId"] > 0)
     assert spark.read.format("paged_roster").load(str(tmp_path / "none")).count() == 0
+
+
+def test_links_of_all_pages(spark, data):
+    """The first link of each kind to another page of the host, page by page in plain Python."""
+    import re
+    from urllib.parse import urljoin, urlsplit
+
+    from quernstone.plans.records import QUERIES
+
+    def normal(url):
+        return re.sub("/+$", "", re.sub("(?s)[?#].*$", "", url.strip())).lower()
+
+    want = set()
+    rows = [tuple(r) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").collect()]
+    own = '<p><a href="/research">Research</a><a href="pub.html">Publications</a><a href="https://b.org/about">about</a><a href="#top">home</a>'
+    for page, url, html in [*rows, (1, "https://a.example.org/x/", own)]:
+        found = {}
+        for href, text in re.findall(r'<a href="([^"]*)">([^<]*)</a>', html or ""):
+            link, low = normal(urljoin(url or "", href)), f"{text} {href}".lower()
+            parts, base = urlsplit(link), urlsplit((url or "").lower())
+            if not href or re.match("javascript:|#|mailto:|tel:", href) or parts.netloc != base.netloc or link == normal(url or "") or "example" not in parts.netloc:
+                continue
+            if re.search(r"\.html?$", parts.path) or re.match(r"^/[0-9A-Za-z_-]+/?$", parts.path):
+                for field, hints in extract.SUBPAGES:
+                    if any(h in low for h in hints):
+                        found.setdefault(field, link)
+        want |= {(page, field, link) for field, link in found.items()}
+    assert {tuple(r) for r in QUERIES["html_links"](spark, data).collect()} == want
