@@ -53,9 +53,9 @@ class Search:
 
     @property
     def index(self) -> Index:
-        """The index of the documents, which only the search for terms needs; built when that is first asked for."""
+        """The index of the documents, which only the search for terms needs; built and stored when that is first asked for."""
         if self._index is None:
-            self._index = build_index(self.docs)
+            self._index = build_index(self.docs).stored()
         return self._index
 
     def _entity_hits(self, hits: DataFrame, terms: Column, fallback: Column, text: Column | None = None) -> DataFrame:
