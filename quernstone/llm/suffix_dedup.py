@@ -294,4 +294,13 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op12_suffix_dedup": op12_suffix_dedup}
-SQL: dict[str, str] = {}
+SQL = {
+    "op12_suffix_dedup": """WITH d AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5(b[i:i + 199]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d)),
+s AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1),
+m AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM s)),
+runs AS (SELECT r, span, min(i) AS a, max(i) + 199 AS z FROM m GROUP BY r, span),
+kept AS (SELECT r, a, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS from_, a - 1 AS to_ FROM (SELECT r, a, z FROM runs UNION ALL SELECT r, octet_length(b) + 1, NULL FROM d)),
+texts AS (SELECT d.r, string_agg(CASE WHEN to_ >= from_ THEN hex(b[from_:to_]) ELSE '' END, '' ORDER BY a) AS x FROM d JOIN kept USING (r) GROUP BY d.r)
+SELECT d.doc_id, octet_length(b) AS n_bytes, CAST(octet_length(b) - length(x) // 2 AS BIGINT) AS n_removed, (SELECT count(*) FROM runs WHERE runs.r = d.r) AS n_spans, sha256(unhex(x)) AS kept_sha256 FROM d JOIN texts USING (r)"""
+}
