@@ -154,7 +154,8 @@ def _parts(spark, sf_dir) -> Search:
 
 
 def _field_plans(spark) -> DataFrame:
-    return spark.createDataFrame(_FIELD_QUERIES, "query_id int, raw string").select("query_id", Q.planned("raw").alias("p")).select("query_id", "p.phrases", "p.tokens")
+    plans = spark.createDataFrame(_FIELD_QUERIES, "query_id int, raw string").select("query_id", Q.planned("raw").alias("p"))
+    return stored(plans.select("query_id", "p.phrases", "p.tokens"))
 
 
 @query(f"WITH {_PART} SELECT query_id, p_partkey, round(CAST(score AS DOUBLE), 6) AS score FROM f WHERE src = 'papers' AND score > 0")
