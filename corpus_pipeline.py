@@ -25,11 +25,11 @@ ORACLE_SQL = None
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Arrow batches have 1,000 rows at most, unless the session asks for fewer: texts of 10,000 rows, in the JVM and in Python at once, are
-    what an executor's memory is short of. The setting holds on in the session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 1_000:
-        spark.conf.set(key, 1_000)
+    """Arrow batches and those of the Parquet reader have 1,000 rows at most, unless the session asks for fewer: texts of 10,000 rows (4,096 in
+    the reader), in the JVM and in Python at once, are what an executor's memory is short of. The settings hold on in the session."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if int(spark.conf.get(key)) > 1_000:
+            spark.conf.set(key, 1_000)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

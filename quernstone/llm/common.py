@@ -66,8 +66,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 #: Bytes of texts whose words are told apart by white space, and whose A-Z count as a-z, as hashed_words takes them.
 PLAIN = bytes(32 if c in b"\t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Bytes that are hashed at once.
-PIECE = 1_000_000
+#: Bytes that are hashed at once, with some 40 bytes of memory for each.
+PIECE = 250_000
 _BYTES = np.random.default_rng(41).integers(0, 1 << 64, 256, dtype=np.uint64)
 _RATIO = 0x9E3779B97F4A7C13  # odd, and 3 modulo 8
 

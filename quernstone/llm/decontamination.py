@@ -35,8 +35,9 @@ from quernstone.llm.common import append_columns, fresh, hashed_words, slices, s
 TERMS, RANK, POWER_STEPS = 1 << 16, 256, 3
 #: Words of a window are two blocks; a longer item is cut into passages of PASSAGE words, one every half.
 BLOCK, PASSAGE, PASSAGES_AT_ONCE = 16, 64, 20_000
-#: Cosines that are computed at once: windows times passages.
-TILE = 4_000_000
+#: Cosines that are computed at once: windows times passages. Words that are folded into the latent space at once (RANK * 8 bytes each), and
+#: bytes of text that keep_clean looks at at once.
+TILE, FOLDED, CLEANED = 4_000_000, 8_192, 250_000
 #: A term in more than this share of the documents doesn't count, unless an item has no other.
 COMMON = 0.1
 #: A candidate's cosine: the only gate before the bounds of may_match, which lose nothing.
@@ -257,7 +258,7 @@ class LatentIndex:
                 out[[x[0] for x in search(texts, shared.value)]] = True
                 return [pa.array(out)]
 
-            docs = append_columns(docs, text_col, leaks, [(mark, BooleanType())], 1_000_000).where(~F.col(mark)).drop(mark)
+            docs = append_columns(docs, text_col, leaks, [(mark, BooleanType())], CLEANED).where(~F.col(mark)).drop(mark)
         return docs
 
 
@@ -332,7 +333,14 @@ def search(texts: list[str | None], index: dict) -> list[tuple[int, int, int, fl
     block = first[doc] + (hit - start[doc]) // BLOCK
     named, at = np.unique(block, return_index=True)
     weight = index["weights"][term[hit]]
-    sums = np.add.reduceat(index["basis"][row[hit]] * weight[:, None], at, axis=0)
+    sums = np.empty((len(at), index["basis"].shape[1]), np.float32)
+    ends = np.r_[at[1:], len(hit)]
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(ends, at[a] + FOLDED, "right")))
+        some = slice(at[a], ends[b - 1])
+        sums[a:b] = np.add.reduceat(index["basis"][row[hit[some]]] * weight[some, None], at[a:b] - at[a], axis=0)
+        a = b
     # a window is a block, and the next one if that is of the same text and has terms as well
     windows = sums
     follows = np.flatnonzero((np.diff(named) == 1) & (np.searchsorted(first, named[1:], "right") == np.searchsorted(first, named[:-1], "right")))

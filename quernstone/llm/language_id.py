@@ -132,7 +132,9 @@ def fit_languages(docs: DataFrame, *, lang_col: str = "lang", id_col: str = "doc
         return LanguageModel([], np.zeros(1 << BITS), np.zeros((0, 1 << BITS)), np.zeros(0, int), np.zeros((0, 13)))
     idf = _gram_weights(training)
     spark = docs.sparkSession
-    shares = F.broadcast(spark.createDataFrame([(x, k, sample_bound(texts, n)) for k, (x, n) in enumerate(languages)], "lang string, k int, bound long"))  # a row for each language
+    # a row for each language; from Arrow, as rows of Python would start Python workers on the executors
+    bounds = pa.table({"lang": pa.array(names, pa.string()), "k": pa.array(range(len(names)), pa.int32()), "bound": pa.array([sample_bound(texts, n) for _, n in languages], pa.int64())})
+    shares = F.broadcast(spark.createDataFrame(bounds))
     sample = training.join(shares, "lang").where(F.col("h") <= F.col("bound"))
     shared = spark.sparkContext.broadcast(idf)
 
