@@ -31,6 +31,35 @@ def first_texts(texts: DataFrame, phrases: DataFrame, *, batch: int = BATCH) ->
     return found.groupBy("place").agg(F.min("doc_id").alias("at"))
 
 
+def with_first_phrase(texts: DataFrame, hay: str, phrases: DataFrame, name: str, *, batch: int = BATCH) -> DataFrame:
+    """texts without the column hay, and with the least place of the phrases (needle, place) that it holds under a new name; other rows go. What
+    first_phrases finds, without moving the texts to it."""
+    wanted = phrases.select("needle", F.col("place").cast("long").alias("place")).where("needle <> '' AND place IS NOT NULL")
+    parts = -(-wanted.count() // batch)
+    dealt = wanted.withColumn("part", F.pmod(F.xxhash64("needle"), F.lit(max(parts, 1)))).groupBy("part", "needle").agg(F.min("place").alias("place"))
+    out = texts.withColumn(name, F.lit(None).cast("long"))
+    at, last, schema = out.columns.index(hay), len(out.columns) - 1, out.schema
+
+    def of_part(df: DataFrame, k: int) -> DataFrame:
+        shared = texts.sparkSession.sparkContext.broadcast([(r["needle"], r["place"]) for r in dealt.where(F.col("part") == k).collect()])
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for needle, place in shared.value:
+                automaton.add_word(needle, place)
+            if len(automaton):
+                automaton.make_automaton()
+            for rows in batches:
+                least = [min((p for _, p in automaton.iter(x.as_py() or "")), default=None) if len(automaton) else None for x in rows.column(at)]
+                before = rows.column(last).to_pylist()
+                found = [min((p for p in both if p is not None), default=None) for both in zip(before, least, strict=True)]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:last], pa.array(found, pa.int64())], names=rows.schema.names)
+
+        return df.mapInArrow(find, schema)
+
+    return reduce(of_part, range(parts), out).where(F.col(name).isNotNull()).drop(hay)
+
+
 def _held(texts: DataFrame, phrases: DataFrame, batch: int, *, per_place: bool) -> DataFrame:
     """(doc_id, place) of texts and the phrases that they hold: of each text the least place, or, per_place, of each place the least
     text in a batch of rows."""
