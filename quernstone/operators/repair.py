@@ -1,11 +1,11 @@
 """Repair of records: extracted values merged in, fields cleaned, papers and research recovered from a record's own texts.
 
 A record has name, department, career, research_direction, personal_intro, papers_text, full_text, keywords, papers_struct
-and sections. Each step is a projection; columns named *_rule keep what a field was before its first change."""
+and sections. Each step is a projection, done once for each kind of record where it takes long; columns named *_rule keep what a field was before its first change."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import loose_json as J
 from quernstone.functions import papers as P
 from quernstone.functions import text as T
-from quernstone.operators.rank import first_per_key
+from quernstone.operators.tables import small, stored
 
 PAPERS = f"array<{J.PAPER}>"
 RECORD = f"url string, name string, department string, career string, research_direction string, personal_intro string, papers_text string, full_text string, keywords array<string>, papers_struct {PAPERS}, sections map<string,string>"
@@ -181,24 +181,41 @@ def with_entry(field: str, value: Column) -> Column:
     return F.map_concat(others, F.create_map(F.lit(field), value))
 
 
-def fix_papers(records: DataFrame, key: str = "url") -> DataFrame:
+def fix_papers(records: DataFrame) -> DataFrame:
     """The titles of the record's best source: of its paper fields, sections and full text, ordered by how much they look like papers,
     the one that gives most titles. Titles that repeat the research field, or aren't English titles of some length, go."""
     sources = [F.col("papers_text_rule") if "papers_text_rule" in records.columns else F.lit(""), F.try_element_at("sections", F.lit("papers")), F.try_element_at("sections", F.lit("publications")), F.col("papers_text"), F.col("full_text")]
-    rows = records.select(key, "research_direction", F.posexplode(F.array(*[T.col(s) for s in sources])).alias("n", "source")).where("source <> ''")
-    rows = rows.withColumn("found", P.papers_of_block("source")).withColumn("score", P.source_score("source", F.col("found"))).where("score > 0 AND size(found) > 0")
-    best = first_per_key(rows, [key], [F.desc(F.size("found")), F.desc("score"), "n"])
-    valid = F.filter("found", lambda t: P.valid_title(t, F.col("source")))
+
+    def tried(source: Column, n: Column) -> Column:
+        return T.let(P.papers_of_block(source), lambda found: F.struct(F.size(found).alias("titles"), P.source_score(source, found).alias("score"), (-n).alias("n"), found.alias("found"), source.alias("source")))
+
+    filled = F.filter(F.transform(F.array(*[T.col(s) for s in sources]), lambda s, n: F.struct(s.alias("source"), n.alias("n"))), lambda s: s["source"] != "")
+    best = F.array_max(F.filter(F.transform(filled, lambda s: tried(s["source"], s["n"])), lambda t: (t["score"] > 0) & (t["titles"] > 0)))
+    df = records.withColumn("_best", best).withColumn("_valid", F.filter("_best.found", lambda t: P.valid_title(t, F.col("_best.source"))))
     same = lambda t: P.comparable(t)
-    clash = F.exists(valid, lambda t: (F.length(t) >= 6) & (F.contains(P.comparable(T.col("research_direction")), same(t)) | ((T.col("research_direction") != "") & F.contains(same(t), P.comparable(T.col("research_direction"))))))
-    strong = F.filter(valid, lambda t: t.rlike("[A-Za-z]{4,}") & (F.length(F.regexp_replace(t, "[^ ]", "")) >= 2) & (F.length(t) >= 18))
-    best = best.select(key, F.when(clash, F.array().cast("array<string>")).otherwise(F.slice(strong, 1, 12)).alias("_t"), F.col("source").alias("_source"))
-    df = records.join(best, key, "left").withColumn("_t", F.coalesce("_t", F.array().cast("array<string>")))
+    clash = F.exists("_valid", lambda t: (F.length(t) >= 6) & (F.contains(P.comparable(T.col("research_direction")), same(t)) | ((T.col("research_direction") != "") & F.contains(same(t), P.comparable(T.col("research_direction"))))))
+    strong = F.filter("_valid", lambda t: t.rlike("[A-Za-z]{4,}") & (F.length(F.regexp_replace(t, "[^ ]", "")) >= 2) & (F.length(t) >= 18))
+    none = F.array().cast("array<string>")
+    df = df.withColumn("_t", F.coalesce(F.when(clash, none).otherwise(F.slice(strong, 1, 12)), none))
     text = F.substring(F.array_join("_t", "\n"), 1, 5000)
-    df = df.withColumn("papers_struct", F.when(F.size("_t") > 0, F.transform("_t", lambda t: P.paper_meta(t, F.col("_source"))))).withColumn("papers_text", text)
-    return df.withColumn("sections", with_entry("papers", F.col("papers_text"))).drop("_t", "_source")
+    df = df.withColumn("papers_struct", F.when(F.size("_t") > 0, F.transform("_t", lambda t: P.paper_meta(t, F.col("_best.source"))))).withColumn("papers_text", text)
+    return df.withColumn("sections", with_entry("papers", F.col("papers_text"))).drop("_best", "_valid", "_t")
+
+
+def once_per_kind(records: DataFrame, inputs: Sequence[str], outputs: Sequence[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """records with the outputs that work makes of the inputs, row by row. Rows whose inputs are the same are worked on once, and the work is dealt
+    evenly, however few files or tasks the records come in."""
+    spark = records.sparkSession
+    digest = F.sha2(F.to_json(F.struct(*inputs), {"ignoreNullFields": "false"}), 256)
+    keyed = records.withColumn("_kind", digest)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    kinds = keyed.select("_kind", *inputs).dropDuplicates(["_kind"]).repartition(tasks)
+    made = stored(work(kinds).select("_kind", *outputs))
+    return keyed.drop(*outputs).join(small(made), "_kind").select(*records.columns)
 
 
-def batch_fix(records: DataFrame, key: str = "url") -> DataFrame:
+def batch_fix(records: DataFrame) -> DataFrame:
     """Research and papers fixed, the corpus text made anew."""
-    return rebuild_corpus(fix_papers(fix_research(records), key))
+    inputs = ["research_direction", "personal_intro", "papers_text", "full_text", "sections", *[c for c in ("papers_text_rule", "corpus_text") if c in records.columns]]
+    fixed = once_per_kind(records, inputs, ["research_direction", "papers_text", "papers_struct", "sections"], lambda kinds: fix_papers(fix_research(kinds)))
+    return rebuild_corpus(fixed)
