@@ -5,7 +5,8 @@ text once, however many they are; the batch is broadcast, and at most BATCH phra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import occurrences
+from quernstone.functions.text import normalize_text, occurrences
 
 FEW, BATCH = 64, 100_000
 
@@ -100,20 +101,50 @@ def _held(texts: DataFrame, phrases: DataFrame, batch: int, *, per_place: bool)
     return reduce(DataFrame.unionByName, [of_part(k) for k in range(parts)])
 
 
-def phrase_counts(texts: DataFrame, phrases: DataFrame, *, few: int = FEW, batch: int = BATCH) -> DataFrame:
-    """(doc_id, needle, n) for texts (doc_id, hay) and phrases (needle), both normalised: n occurrences without overlap, at least one."""
+def phrase_counts(texts: DataFrame, phrases: DataFrame, *, few: int = FEW, batch: int = BATCH, prepare: Callable[[str], str] | None = None) -> DataFrame:
+    """(doc_id, needle, n) for texts (doc_id, hay) and phrases (needle), both normalised: n occurrences without overlap, at least one.
+    prepare: normalises texts that aren't, for more than a few phrases."""
     needles = phrases.select("needle").where("needle <> ''").distinct()
     n = needles.count()
     if not n:
         return texts.select("doc_id", F.lit("").alias("needle"), F.lit(0).alias("n")).limit(0)
-    if n <= few:
+    if n <= few and prepare is None:
         return texts.select("doc_id", "hay").join(F.broadcast(needles), F.expr("contains(hay, needle)")).select("doc_id", "needle", occurrences(F.col("hay"), F.col("needle")).alias("n"))
     parts = -(-n // batch)
     dealt = needles.withColumn("part", F.pmod(F.xxhash64("needle"), F.lit(parts)))
-    return reduce(DataFrame.unionByName, [_by_automaton(texts, dealt.where(F.col("part") == k)) for k in range(parts)])
+    return reduce(DataFrame.unionByName, [_by_automaton(texts, dealt.where(F.col("part") == k), prepare) for k in range(parts)])
 
 
-def _by_automaton(texts: DataFrame, needles: DataFrame) -> DataFrame:
+_BLANKS = b" \t\n\x0b\x0c\r"
+#: First bytes of the white space beyond ASCII, and all white space that functions.text knows.
+_FAR, _SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80|\xe2\x81\x9f|\xe3\x80\x80"), re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+#: Letters whose lower case the JVM knows and Python may not, of Unicode 16; and the bytes that they begin with.
+_NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+_NEWER_BYTES = re.compile(rb"\xe1\xb2\x89|\xea\x9f[\x8b\x8c\x9a\x9c]|\xf0\x90\xb5")
+
+
+def normalized(text: str) -> str:
+    """What text.normalize_text gives."""
+    raw = text.encode()
+    if _NEWER_BYTES.search(raw):
+        text = text.translate(_NEWER)
+        raw = text.encode()
+    if _FAR.search(raw):
+        return _SPACE.sub("", text).lower()
+    return raw.translate(None, _BLANKS).decode().lower()
+
+
+def counts_in_texts(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """phrase_counts of texts (doc_id, text) as they are; where there are many phrases, tasks normalise the texts beside the automaton."""
+    needles = phrases.select("needle").where("needle <> ''").distinct()
+    if needles.limit(FEW + 1).count() <= FEW:
+        return phrase_counts(texts.select("doc_id", normalize_text("text").alias("hay")), phrases)
+    return phrase_counts(texts.select("doc_id", F.col("text").alias("hay")), phrases, prepare=normalized)
+
+
+def _by_automaton(texts: DataFrame, needles: DataFrame, prepare: Callable[[str], str] | None = None) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast([r["needle"] for r in needles.select("needle").collect()])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +158,7 @@ def _by_automaton(texts: DataFrame, needles: DataFrame) -> DataFrame:
             at, needle, n = [], [], []
             for i, hay in enumerate(batch.column(1)):
                 text = hay.as_py() or ""
+                text = prepare(text) if prepare else text
                 for x in {found for _, found in automaton.iter(text)}:
                     at.append(i)
                     needle.append(x)

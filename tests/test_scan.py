@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quernstone.functions import text as T
 from quernstone.operators import index, phrases, scan, search
 from quernstone.plans import fixtures as X
 
@@ -64,3 +65,14 @@ def test_first_phrases_beside_their_texts(spark):
     want = {tuple(r) for r in phrases.first_phrases(docs.select("doc_id", F.col("path").alias("hay")), names).collect()}
     for batch in (100, 1):
         assert {tuple(r) for r in phrases.with_first_phrase(docs.select("doc_id", "path", "text"), "path", names, "entity", batch=batch).select("doc_id", "entity").collect()} == want
+
+
+def test_texts_are_normalised_alike_beside_the_automaton(spark):
+    """All white space and letters of any case, as text.normalize_text has them; and phrases are counted in texts as they are."""
+    texts = ["".join(map(chr, range(a, a + 256))) for a in range(0, 0x1F000, 256) if not 0xD800 <= a < 0xE000] + ["A B 　c", "ÀÉ x", "ΑΣ Σ", "İK", "", "a \t\r\n\x0b\x0c b", "x​y᠎z "]
+    first = len(texts) - 7
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.hay for r in rows.select("doc_id", T.normalize_text("text").alias("hay")).orderBy("doc_id").collect()] == list(map(phrases.normalized, texts))
+    many = spark.createDataFrame([(f"w{i}",) for i in range(100)] + [("abc",), ("àéx",), ("none",)], "needle string")
+    for wanted in (many, many.where("needle NOT LIKE 'w%'")):
+        assert {tuple(r) for r in phrases.counts_in_texts(rows.where(f"doc_id >= {first}"), wanted).collect()} == {(first, "abc", 1), (first + 1, "àéx", 1)}
