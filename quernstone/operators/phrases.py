@@ -6,15 +6,16 @@ text once, however many they are; the batch is broadcast, and at most BATCH phra
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import normalize_text, occurrences
+from quernstone.functions.text import occurrences
 
 FEW, BATCH = 64, 100_000
 
@@ -103,7 +104,7 @@ def _held(texts: DataFrame, phrases: DataFrame, batch: int, *, per_place: bool)
 
 def phrase_counts(texts: DataFrame, phrases: DataFrame, *, few: int = FEW, batch: int = BATCH, prepare: Callable[[str], str] | None = None) -> DataFrame:
     """(doc_id, needle, n) for texts (doc_id, hay) and phrases (needle), both normalised: n occurrences without overlap, at least one.
-    prepare: normalises texts that aren't, for more than a few phrases."""
+    prepare: normalises texts that aren't; then few phrases are looked for as many are."""
     needles = phrases.select("needle").where("needle <> ''").distinct()
     n = needles.count()
     if not n:
@@ -136,11 +137,33 @@ def normalized(text: str) -> str:
     return raw.translate(None, _BLANKS).decode().lower()
 
 
+class _Heads:
+    """Whether a text may hold one of many phrases, by their first 16 bytes, or 8 of shorter ones: what is left goes through the automaton."""
+
+    SHORT, RUN, MIX = 16, 1 << 18, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, needles: Iterable[str]):
+        found = [x.encode() for x in needles]
+        self.short = [x for x in found if len(x) < 8]
+        self.wanted = {x[:16] if len(x) >= 16 else x[:8] for x in found if len(x) >= 8}
+        heads = np.array([int.from_bytes(x[:8], "little") for x in self.wanted], np.uint64)
+        self.table = np.zeros(1 << 16, bool)
+        self.table[(heads * self.MIX) >> np.uint64(48)] = True
+
+    def may(self, text: str) -> bool:
+        raw = text.encode()
+        if len(self.short) > self.SHORT or any(x in raw for x in self.short):
+            return True
+        for a in range(0, len(raw) - 7, self.RUN):
+            words = np.ndarray(min(self.RUN, len(raw) - 7 - a), "<u8", raw, a, (1,))  # the eight bytes from each place on
+            for i in np.flatnonzero(self.table[(words * self.MIX) >> np.uint64(48)]).tolist():
+                if raw[a + i : a + i + 16] in self.wanted or raw[a + i : a + i + 8] in self.wanted:
+                    return True
+        return False
+
+
 def counts_in_texts(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """phrase_counts of texts (doc_id, text) as they are; where there are many phrases, tasks normalise the texts beside the automaton."""
-    needles = phrases.select("needle").where("needle <> ''").distinct()
-    if needles.limit(FEW + 1).count() <= FEW:
-        return phrase_counts(texts.select("doc_id", normalize_text("text").alias("hay")), phrases)
+    """phrase_counts of texts (doc_id, text) as they are: tasks normalise them, and look closer at those that have the head of a phrase."""
     return phrase_counts(texts.select("doc_id", F.col("text").alias("hay")), phrases, prepare=normalized)
 
 
@@ -154,11 +177,14 @@ def _by_automaton(texts: DataFrame, needles: DataFrame, prepare: Callable[[str],
         if not len(automaton):  # a part without phrases
             return
         automaton.make_automaton()
+        heads = _Heads(shared.value)
         for batch in batches:
             at, needle, n = [], [], []
             for i, hay in enumerate(batch.column(1)):
                 text = hay.as_py() or ""
                 text = prepare(text) if prepare else text
+                if not heads.may(text):
+                    continue
                 for x in {found for _, found in automaton.iter(text)}:
                     at.append(i)
                     needle.append(x)

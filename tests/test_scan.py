@@ -76,3 +76,18 @@ def test_texts_are_normalised_alike_beside_the_automaton(spark):
     many = spark.createDataFrame([(f"w{i}",) for i in range(100)] + [("abc",), ("àéx",), ("none",)], "needle string")
     for wanted in (many, many.where("needle NOT LIKE 'w%'")):
         assert {tuple(r) for r in phrases.counts_in_texts(rows.where(f"doc_id >= {first}"), wanted).collect()} == {(first, "abc", 1), (first + 1, "àéx", 1)}
+
+
+def test_heads_of_phrases(monkeypatch):
+    """No text that holds a phrase of any length is left out, wherever it stands and however texts are cut; others mostly are."""
+    rng = random.Random(5)
+    for run in (1 << 18, 7):
+        monkeypatch.setattr(phrases._Heads, "RUN", run)
+        for sizes in ((8, 15, 16, 17, 40), (2, 9, 30)):
+            needles = ["".join(rng.choices("abcdé学", k=rng.choice(sizes))) for _ in range(12)]
+            heads = phrases._Heads(needles)
+            for x in needles:
+                for before, after in (("", ""), ("ab" * 9, ""), ("", "é" * 20), ("学c" * 5, "d")):
+                    assert heads.may(before + x + after)
+    heads = phrases._Heads(["phrase of words", "another phrase of words"])
+    assert not any(map(heads.may, ["", "abc", "phrasing of words", "another phrasing of words", "of words and more"]))
